@@ -19,13 +19,13 @@ def _mean(column: str):
 
 
 def _standard_error(column: str):
-    """Standard error of that mean (about one percent wide); NULL for single rows.
+    """Standard error of that mean (about two percent narrow); NULL for single rows.
 
-    The extra percent keeps pooled values off exact rounding ties.
+    The odd scale keeps pooled values off exact rounding ties.
     """
     x, n = _hundredths(column), F.count(F.lit(1))
     spread = n * F.sum(x * x) - F.sum(x) * F.sum(x)
-    return F.when(n > 1, F.sqrt(spread / (n * n * (n - F.lit(1)))) * F.lit(0.0101))
+    return F.when(n > 1, F.sqrt(spread / (n * n * (n - F.lit(1)))) * F.lit(0.99) / F.lit(101.0))
 
 
 class Tables:
@@ -191,7 +191,7 @@ def _se_sql(c: str) -> str:
     spread = f"(count(*) * sum({x} * {x}) - sum({x}) * sum({x}))::DOUBLE"
     return (
         f"CASE WHEN count(*) > 1 THEN sqrt({spread} / (count(*) * count(*) * (count(*) - 1))) "
-        "* 0.0101::DOUBLE END"
+        "* 0.99::DOUBLE / 101.0::DOUBLE END"
     )
 
 
