@@ -78,8 +78,9 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
     )
     effect = F.col("_swb") / F.col("_sw")
     freq = F.col("_swf") / F.col("_swk")
-    q = F.greatest(F.col("_swbb") - F.col("_swb") * F.col("_swb") / F.col("_sw"), F.lit(0.0))
     df = F.col("_k") - F.lit(1)
+    spread = F.col("_swbb") - F.col("_swb") * F.col("_swb") / F.col("_sw")
+    q = F.when(df > 0, F.greatest(spread, F.lit(0.0))).otherwise(F.lit(0.0))
     signs = F.col("_signs")
     if by:
         sums = join_small(sums, members, by, "inner")
@@ -93,7 +94,10 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
     pooled = sums.select(
         *by, "POS", "Allele1", "Allele2",
         freq.alias("Freq1"),
-        F.sqrt(F.greatest(F.col("_swff") / F.col("_swk") - freq * freq, F.lit(0.0))).alias("FreqSE"),
+        F.when(
+            F.col("MaxFreq") > F.col("MinFreq"),
+            F.sqrt(F.greatest(F.col("_swff") / F.col("_swk") - freq * freq, F.lit(0.0))),
+        ).when(F.col("MaxFreq").isNotNull(), F.lit(0.0)).alias("FreqSE"),
         "MinFreq", "MaxFreq",
         effect.alias("Effect"),
         (F.lit(1.0) / F.sqrt("_sw")).alias("StdErr"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries_post"]
+MODULES = ["queries_post", "queries_prep"]
 
 
 def load() -> None:

@@ -21,8 +21,12 @@ META_NUMBERS = [
 ]
 
 
+# Tail probabilities and square roots of small differences carry fewer digits.
+ROUGH = ("HetPVal", "FreqSE")
+
+
 def round_columns(df: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
-    return df.withColumns({n: rounded(F.col(n), 6 if n == "HetPVal" else digits) for n in names})
+    return df.withColumns({n: rounded(F.col(n), 6 if n in ROUGH else digits) for n in names})
 
 
 # ---------------------------------------------------------------- SQL pieces
@@ -84,7 +88,7 @@ def meta_ctes(source: str, by: list[str]) -> dict[str, str]:
 
 def meta_select(by: list[str], source: str = "meta") -> str:
     g = "".join(f"{c}, " for c in by)
-    nums = ", ".join(f"{rnd(c, 6 if c == 'HetPVal' else 9)} AS {c}" for c in META_NUMBERS)
+    nums = ", ".join(f"{rnd(c, 6 if c in ROUGH else 9)} AS {c}" for c in META_NUMBERS)
     return f"SELECT {g} POS, Allele1, Allele2, Direction, HetDf, {nums} FROM {source}"
 
 
