@@ -1,0 +1,41 @@
+"""Newton iterations where every step is one Spark aggregation over all variants."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from cohortscan.schemas import SCAN_KEY
+from cohortscan.session import checkpointed
+
+
+def newton(
+    rows: DataFrame, start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
+    max_steps: int,
+) -> DataFrame:
+    """Run ``step(rows, state) -> state`` until every variant has settled.
+
+    ``rows`` is placed by variant once and kept, so a step moves only the
+    state (one row per variant) and its sums.  States are checkpointed; a
+    lost executor costs the current step.  ``state.DONE`` marks settled
+    variants, which are set aside and no longer recomputed.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(parts, *SCAN_KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        state = checkpointed(start)
+        finished: DataFrame | None = None
+        for _ in range(max_steps):
+            state = checkpointed(step(placed, state))
+            left = state.agg(F.count_if(~F.col("DONE")).alias("left")).first()["left"]
+            if left == 0:
+                break
+            done = state.where(F.col("DONE"))
+            finished = done if finished is None else finished.unionByName(done)
+            state = state.where(~F.col("DONE"))
+        return state if finished is None else finished.unionByName(state)
+    finally:
+        placed.unpersist()
