@@ -158,17 +158,22 @@ def to_array(geno: DataFrame, index: DataFrame, key: list[str] | None = None) ->
     """
     key = ["DATASET"] + VARIANT_KEY if key is None else key
     placed = geno.join(index, ["DATASET", "IID"])
-    packed = placed.groupBy(*key, "SB").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("OFFSET", F.col("DOSAGE").cast("float").alias("d")))
-        ).alias("_m"),
-        F.max("OFFSET").alias("_last"),
-    )
-    return packed.select(
-        *key, "SB",
-        F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.try_element_at("_m", i)).alias("DOSAGE"),
+    return dense_arrays(placed, [*key, "SB"], F.col("DOSAGE").cast("float"), "DOSAGE")
+
+
+def dense_arrays(placed: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Arrays indexed by OFFSET; offsets without a row become NULL elements."""
+    packed = placed.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("OFFSET", value.alias("v")))).alias("_e")
     )
 
+    def with_gap(entry: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get("_e", i - F.lit(1))["OFFSET"])
+        blank = F.nullif(entry["v"], entry["v"])
+        return F.concat(F.array_repeat(blank, entry["OFFSET"] - before - F.lit(1)), F.array(entry["v"]))
+
+    return packed.select(*keys, F.flatten(F.transform("_e", with_gap)).alias(name))
+
 
 def to_long(arrays: DataFrame, index: DataFrame, key: list[str] | None = None) -> DataFrame:
     key = ["DATASET"] + VARIANT_KEY if key is None else key

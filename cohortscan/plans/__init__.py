@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries_post", "queries_prep"]
+MODULES = ["queries_post", "queries_prep", "queries_scan"]
 
 
 def load() -> None:
