@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import neglog10_p, two_sided_p
 from cohortscan.functions.numeric import active_inverse, symmetric
-from cohortscan.models.design import SET, join_genotypes, key_schema, prepare, result, sum_products
+from cohortscan.models.design import SET, join_genotypes, key_schema, prepare, result, triangle
 from cohortscan.models.iterate import newton
 from cohortscan.models.linear import NO_CONVERGE, NO_VARIANCE, STATUS_OK
 from cohortscan.schemas import SCAN_KEY
@@ -73,39 +75,45 @@ def cox_scan(
         "SE double, VARIES boolean, DONE boolean"
     )
 
-    def solve(key: tuple, grid: pd.DataFrame) -> pd.DataFrame:
+    tri = p * (p + 1) // 2
+    cuts = np.cumsum([1, 1, p, tri, 1, p, tri, p, 1])
+    width = int(cuts[-1]) + 1
+
+    def advance(grid: np.ndarray, beta: np.ndarray, last: np.ndarray, old: float) -> tuple:
         """One Newton step of one variant from its grid of sums."""
-        grid = grid.sort_values("AT")
-        suffix = lambda c: np.cumsum(np.stack(grid[c].to_numpy())[::-1], axis=0)[::-1]
-        first = grid.iloc[0]
-        beta, last = np.asarray(first["B"]), np.asarray(first["B0"])
-        risk0, risk1, risk2 = np.cumsum(grid["R0"].to_numpy()[::-1])[::-1], suffix("R1"), suffix("R2")
-        d = grid["D"].to_numpy()
-        at = np.flatnonzero((d > 0) & (grid["AT"].to_numpy() > 0))
-        tied1, tied2 = np.stack(grid["E1"].to_numpy()), np.stack(grid["E2"].to_numpy())
-        seen = np.stack(grid["Z"].to_numpy())
+        at, r0, r1, r2, e0, e1, e2, z, lp, d = np.split(grid, cuts, axis=1)
+        risk0, risk1, risk2 = (np.cumsum(x[::-1], axis=0)[::-1] for x in (r0[:, 0], r1, r2))
+        deaths = d[:, 0].astype(int)
+        rows = np.flatnonzero(deaths > 0)
         # One line per death: deaths tied at a time share its risk set less l/d of themselves.
-        line = np.repeat(at, d[at].astype(int))
-        share = np.concatenate([np.arange(k) / k for k in d[at].astype(int)]) if len(at) else np.zeros(0)
-        s0 = risk0[line] - share * grid["E0"].to_numpy()[line]
-        s1 = (risk1[line] - share[:, None] * tied1[line]) / s0[:, None]
-        s2 = (risk2[line] - share[:, None] * tied2[line]) / s0[:, None]
-        ll = float(grid["LP"].sum() - np.log(s0).sum())
-        score = seen.sum(axis=0) - s1.sum(axis=0)
+        line = np.repeat(rows, deaths[rows])
+        first = np.cumsum(deaths[rows]) - deaths[rows]
+        share = (np.arange(len(line)) - np.repeat(first, deaths[rows])) / deaths[line]
+        s0 = risk0[line] - share * e0[line, 0]
+        s1 = (risk1[line] - share[:, None] * e1[line]) / s0[:, None]
+        s2 = (risk2[line] - share[:, None] * e2[line]) / s0[:, None]
+        ll = float(lp.sum() - np.log(s0).sum())
+        score = z.sum(axis=0) - s1.sum(axis=0)
         information = symmetric(s2.sum(axis=0)[None], p)[0] - s1.T @ s1
         inverse, keep = active_inverse(information[None], 1e-9)
-        old = float(first["LL"]) if first["LL"] is not None else np.nan
-        worse = np.isfinite(old) and ll < old - 1e-9 * abs(old)
-        if worse:
-            new, base, kept, done = (beta + last) / 2.0, last, old, False
-        else:
-            new, base, kept = beta + inverse[0] @ score, beta, ll
-            done = bool(np.isfinite(old) and abs(1.0 - old / ll) < TOLERANCE) if ll != 0 else True
-        out = {k: [v] for k, v in zip(SCAN_KEY, key)}
-        out |= {"N_OBS": [first["N_OBS"]], "N_EVENT": [first["N_EVENT"]], "N_GROUP": [first["N_GROUP"]],
-                "B": [new.tolist()], "B0": [base.tolist()], "LL": [kept], "SE": [float(np.sqrt(max(inverse[0, 0, 0], 0.0)))],
-                "VARIES": [bool(keep[0, 0])], "DONE": [done]}
-        return pd.DataFrame(out)
+        se, varies = float(np.sqrt(max(inverse[0, 0, 0], 0.0))), bool(keep[0, 0])
+        if np.isfinite(old) and ll < old - 1e-9 * abs(old):
+            return (beta + last) / 2.0, last, old, se, varies, False
+        done = ll == 0 or (np.isfinite(old) and abs(1.0 - old / ll) < TOLERANCE)
+        return beta + inverse[0] @ score, beta, ll, se, varies, bool(done)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            steps = [
+                advance(np.asarray(g).reshape(-1, width), np.asarray(b), np.asarray(b0), float("nan") if ll is None else float(ll))
+                for g, b, b0, ll in zip(batch["GRID"], batch["B"], batch["B0"], batch["LL"])
+            ]
+            out = batch[SCAN_KEY + ["N_OBS", "N_EVENT", "N_GROUP"]].copy()
+            for i, c in enumerate(["B", "B0", "LL", "SE", "VARIES", "DONE"]):
+                out[c] = [s[i] for s in steps]
+            yield out
 
     def step(placed: DataFrame, state: DataFrame) -> DataFrame:
         current = state.select(*SCAN_KEY, "B").hint("shuffle_hash")
@@ -117,15 +125,21 @@ def cox_scan(
         )
         spread = fitted.select(*SCAN_KEY, "DOSAGE", *covariates, "_lp", "_r", F.inline(ends)).where(F.col("AT") > 0)
         enter, event = F.col("SIGN") * F.col("_r"), F.col("D") * F.col("_r")
-        sums = spread.groupBy(*SCAN_KEY, "AT").agg(
-            F.sum(enter).alias("R0"), F.array(*[F.sum(enter * values[n]) for n in names]).alias("R1"),
-            sum_products(values, enter).alias("R2"),
-            F.sum(event).alias("E0"), F.array(*[F.sum(event * values[n]) for n in names]).alias("E1"),
-            sum_products(values, event).alias("E2"),
-            F.array(*[F.sum(F.col("D") * values[n]) for n in names]).alias("Z"),
-            F.sum(F.col("D") * F.col("_lp")).alias("LP"), F.sum("D").alias("D"),
-        )
-        return sums.join(state, SCAN_KEY).groupBy(*SCAN_KEY).applyInPandas(solve, state_schema)
+        def each(w: Column) -> list[Column]:
+            return [F.sum(w * values[n]) for n in names]
+
+        def pairs(w: Column) -> list[Column]:
+            return [F.sum(w * values[a] * values[b]) for a, b in triangle(names)]
+
+        row = [
+            F.col("AT").cast("double"), F.sum(enter), *each(enter), *pairs(enter), F.sum(event), *each(event),
+            *pairs(event), *each(F.col("D")), F.sum(F.col("D") * F.col("_lp")), F.sum("D"),
+        ]
+        sums = spread.groupBy(*SCAN_KEY, "AT").agg(F.array(*row).alias("V"))
+        # One entry per distinct event day of the set.
+        grids = sums.groupBy(*SCAN_KEY).agg(F.array_sort(F.collect_list(F.struct("AT", "V"))).alias("_g"))
+        flat = grids.select(*SCAN_KEY, F.flatten(F.transform("_g", lambda x: x["V"])).alias("GRID"))
+        return flat.join(state.hint("shuffle_hash"), SCAN_KEY).mapInPandas(solve, state_schema)
 
     fits = newton(joined, start, step, MAX_STEPS)
     beta = F.get("B0", F.lit(0))

@@ -70,7 +70,7 @@ def logistic_scan(
             F.array(*[F.sum(values[n] * (y - mu)) for n in names]).alias("G"),
             (F.lit(2.0) * F.sum(soft - y * F.col("_eta"))).alias("NEW_DEV"),
         )
-        return sums.join(state, SCAN_KEY).mapInPandas(solve, schema)
+        return sums.join(state.hint("shuffle_hash"), SCAN_KEY).mapInPandas(solve, schema)
 
     fits = newton(joined, start, step, MAX_STEPS)
     beta = F.get("B", F.lit(1))

@@ -78,15 +78,17 @@ def binned_moments(geno: DataFrame, table: DataFrame, terms: Terms) -> DataFrame
     """Per variant: one entry per number of visits with its packed matrices."""
     joined = join_genotypes(geno, subject_features(table, terms.covariates))
     pairs = triangle(terms.names)
-    bins = joined.groupBy(*SCAN_KEY, "N_VISITS").agg(
-        F.array(*[F.sum(terms.total(a, b)) for a, b in pairs]).alias("T"),
-        F.array(*[F.sum(terms.subject_sum(a) * terms.subject_sum(b)) for a, b in pairs]).alias("B"),
-        F.count(F.lit(1)).alias("G"),
-    )
+    row = [
+        F.col("N_VISITS").cast("double"), F.count(F.lit(1)).cast("double"),
+        *[F.sum(terms.total(a, b)) for a, b in pairs],
+        *[F.sum(terms.subject_sum(a) * terms.subject_sum(b)) for a, b in pairs],
+    ]
+    bins = joined.groupBy(*SCAN_KEY, "N_VISITS").agg(F.array(*row).alias("V"))
+    n, g = F.get("V", F.lit(0)), F.get("V", F.lit(1))
     # A list has one entry per distinct number of visits.
     return bins.groupBy(*SCAN_KEY).agg(
-        F.collect_list(F.struct("N_VISITS", "G", "T", "B")).alias("BINS"),
-        F.sum(F.col("N_VISITS") * F.col("G")).alias("N_OBS"), F.sum("G").alias("N_GROUP"),
+        F.flatten(F.collect_list("V")).alias("BINS"),
+        F.sum(n * g).cast("long").alias("N_OBS"), F.sum(g).cast("long").alias("N_GROUP"),
     )
 
 
@@ -94,16 +96,16 @@ class Moments:
     """Numeric form of a batch of binned moments, padded to the widest variant."""
 
     def __init__(self, bins: pd.Series, q: int):
-        v, widest = len(bins), max(len(b) for b in bins)
-        self.q = q
-        self.n, self.g = np.ones((v, widest)), np.zeros((v, widest))
-        self.total, self.sums = np.zeros((v, q, q)), np.zeros((v, widest, q, q))
-        for i, entries in enumerate(bins):
-            packed = np.array([e["B"] for e in entries])
-            self.sums[i, : len(entries)] = symmetric(packed, q)
-            self.total[i] = symmetric(np.array([e["T"] for e in entries]).sum(axis=0)[None], q)[0]
-            self.n[i, : len(entries)] = [e["N_VISITS"] for e in entries]
-            self.g[i, : len(entries)] = [e["G"] for e in entries]
+        tri = q * (q + 1) // 2
+        tables = [np.asarray(b).reshape(-1, 2 + 2 * tri) for b in bins]
+        v, widest = len(tables), max(len(t) for t in tables)
+        packed = np.zeros((v, widest, 2 + 2 * tri))
+        packed[:, :, 0] = 1.0
+        for i, t in enumerate(tables):
+            packed[i, : len(t)] = t
+        self.q, self.n, self.g = q, packed[:, :, 0], packed[:, :, 1]
+        self.total = symmetric(packed[:, :, 2 : 2 + tri].sum(axis=1), q)
+        self.sums = symmetric(packed[:, :, 2 + tri :].reshape(v * widest, tri), q).reshape(v, widest, q, q)
         self.count = (self.n * self.g).sum(axis=1)
 
     def weighted(self, c: np.ndarray) -> np.ndarray:

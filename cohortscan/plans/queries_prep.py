@@ -214,13 +214,13 @@ def geno_merge(spark, path):
 def _weights(t: Tables):
     geno = t.geno().select("POS", "J").distinct()
     return geno.where(F.col("J") % 3 == 0).select(
-        "POS", F.when(F.col("J") % 2 == 0, "A").otherwise("G").alias("EFFECT_ALLELE"),
+        "POS", F.when(F.col("J") % 2 == 0, "A").otherwise("T").alias("EFFECT_ALLELE"),
         ((F.col("J") % 7 - 3) / F.lit(10.0)).alias("WEIGHT"),
     )
 
 
 _SCORE_CTES = {
-    "wts": """SELECT DISTINCT POS, CASE WHEN J % 2 = 0 THEN 'A' ELSE 'G' END AS EA, (J % 7 - 3) / 10.0::DOUBLE AS W FROM geno WHERE J % 3 = 0""",
+    "wts": """SELECT DISTINCT POS, CASE WHEN J % 2 = 0 THEN 'A' ELSE 'T' END AS EA, (J % 7 - 3) / 10.0::DOUBLE AS W FROM geno WHERE J % 3 = 0""",
     "cp": """SELECT 'D' || CAST(IID % 5 AS VARCHAR) AS DATASET, IID, CASE WHEN EA = 'A' THEN GT ELSE 2 - GT END AS c, W
  FROM geno g JOIN wts w ON g.POS = w.POS WHERE GT IS NOT NULL""",
 }
@@ -238,7 +238,7 @@ def polygenic_score(spark, path):
  CAST(sum(GT) > 0 AS INTEGER) AS CARRIER FROM geno WHERE J IN (0, 1, 2) AND GT IS NOT NULL GROUP BY 1, 2"""))
 def carrier_score(spark, path):
     t = Tables(spark, path)
-    three = spark.createDataFrame([("1:1000", "A", 1.0), ("2:2000", "A", 10.0), ("3:3000", "A", 100.0)],
+    three = spark.createDataFrame([("1:1000", "A", 1.0), ("2:2000", "C", 10.0), ("3:3000", "A", 100.0)],
                                   "POS string, EFFECT_ALLELE string, WEIGHT double")
     return S.carrier_score(G.hard_calls(t.cohort_geno()), three)
 

@@ -100,7 +100,8 @@ class Tables:
         """Dosages keyed by cohort with allele names, as the scans take them."""
         return self.geno().select(
             F.concat(F.lit("D"), (F.col("IID") % 5).cast("string")).alias("DATASET"),
-            "IID", "POS", F.lit("A").alias("A1"), F.lit("G").alias("A2"), "DOSAGE",
+            "IID", "POS", F.when(F.col("J") % 2 == 0, "A").otherwise("C").alias("A1"),
+            F.when(F.col("J") % 3 == 0, "T").otherwise("G").alias("A2"), "DOSAGE",
         )
 
     def assoc(self) -> DataFrame:
@@ -216,7 +217,8 @@ VIEW_SQL = {
  CASE WHEN (IID + J) % 29 <> 0 THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, 1 + 4 * CAST(X AS DOUBLE))) END AS DOSAGE,
  CASE WHEN (IID + J) % 29 <> 0 THEN CAST(round(greatest(0.0::DOUBLE, least(2.0::DOUBLE, 1 + 4 * CAST(X AS DOUBLE)))) AS INTEGER) END AS GT
  FROM (SELECT vec_id AS IID, unnest(embedding) AS X, generate_subscripts(embedding, 1) - 1 AS J FROM embeddings)""",
-    "cgeno": """SELECT 'D' || CAST(IID % 5 AS VARCHAR) AS DATASET, IID, POS, 'A' AS A1, 'G' AS A2, DOSAGE FROM geno""",
+    "cgeno": """SELECT 'D' || CAST(IID % 5 AS VARCHAR) AS DATASET, IID, POS, CASE WHEN J % 2 = 0 THEN 'A' ELSE 'C' END AS A1,
+ CASE WHEN J % 3 = 0 THEN 'T' ELSE 'G' END AS A2, DOSAGE FROM geno""",
     "assoc": f"""SELECT * FROM (SELECT 'S' || CAST(l_suppkey % 13 AS VARCHAR) AS DATASET,
  CAST(1 + l_partkey % 22 AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) AS POS,
  CASE WHEN (l_suppkey % 13 + l_partkey) % 2 = 0 THEN 'A' ELSE 'G' END AS A1,
