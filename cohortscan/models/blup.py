@@ -32,7 +32,7 @@ def slope_blup(
     others = others or []
     names = [*others, "Y"]
     columns = {c: F.col(c).cast("double") for c in [time, *names]}
-    kept = complete_cases(rows, [time, *names]).withColumns(columns)
+    kept = complete_cases(rows, [time, *names]).select(*SET, "IID", *[c.alias(n) for n, c in columns.items()])
     inner = demean(kept, SET + ["IID"], [time, *names])
     subject = checkpointed(inner.groupBy(*SET, "IID").agg(
         (F.count(F.lit(1)) - 1).alias("n"), F.sum(F.col(time) * F.col(time)).alias("tt"),

@@ -42,6 +42,8 @@ def prepare(
         ).drop("_cov")
     table = complete_cases(table, response + covariates)
     if scale and covariates:
+        # The statistics and the scaled rows both read this; upstream runs once.
+        table = checkpointed(table)
         table = zscore(table, covariates, SET)
         table = table.fillna(0.0, subset=covariates)
     return table

@@ -18,6 +18,7 @@ from cohortscan.operators.bounded import attach_stats, join_small
 from cohortscan.operators.contrast import demean
 from cohortscan.operators.pheno import complete_cases
 from cohortscan.schemas import SCAN_KEY, VARIANT_KEY
+from cohortscan.session import checkpointed
 
 STATUS_OK, NO_VARIANCE, NO_CONVERGE = "OK", "NO_VARIANCE", "NO_CONVERGE"
 
@@ -102,8 +103,8 @@ def conditional_scan(
     """
     others = others or []
     x = [time, *others]
-    kept = complete_cases(rows, ["Y", *x]).withColumns({c: F.col(c).cast("double") for c in ["Y", *x]})
-    inner = demean(kept, SET + ["IID"], ["Y", *x])
+    kept = complete_cases(rows, ["Y", *x]).select(*SET, "IID", *[F.col(c).cast("double").alias(c) for c in ["Y", *x]])
+    inner = checkpointed(demean(kept, SET + ["IID"], ["Y", *x]))
     subject = inner.groupBy(*SET, "IID").agg(
         F.sum(F.col(time) * F.col(time)).alias("_tt"),
         *[F.sum(F.col(time) * F.col(c)).alias(f"_t_{c}") for c in x],

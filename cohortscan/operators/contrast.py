@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import snap_small
@@ -17,15 +17,11 @@ def demean(rows: DataFrame, subject: list[str], columns: list[str]) -> DataFrame
     """Columns less their subject mean, with N_VISITS; single-visit subjects drop out.
 
     Cross-products of the result equal those of the orthogonal contrast rows,
-    so the scans need no more than this.
+    so the scans need no more than this.  A subject has one row per visit day.
     """
-    means = rows.groupBy(*subject).agg(
-        F.count(F.lit(1)).alias("N_VISITS"), *[F.avg(c).alias(f"_mean_{c}") for c in columns]
-    )
-    joined = rows.join(means.where(F.col("N_VISITS") > 1), subject, "inner")
-    return joined.withColumns(
-        {c: snap_small(F.col(c) - F.col(f"_mean_{c}")) for c in columns}
-    ).drop(*[f"_mean_{c}" for c in columns])
+    own = Window.partitionBy(*subject)
+    centred = {c: snap_small(F.col(c) - F.avg(c).over(own)) for c in columns}
+    return rows.withColumns({"N_VISITS": F.count(F.lit(1)).over(own), **centred}).where(F.col("N_VISITS") > 1)
 
 
 def visit_ordinal(rows: DataFrame, subject: list[str], order: str = "TSTART") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import CHI2_MEDIAN, chi2_sf, neglog10_p, two_sided_p
-from cohortscan.operators.bounded import distinct_values, join_small
+from cohortscan.operators.bounded import distinct_values, join_small, small_rows
 from cohortscan.operators.ordered import exact_median
 
 TEST = ["MODEL", "OUTCOME"]
@@ -46,6 +46,16 @@ def _direction(cohorts: list[str]) -> Column:
     )
 
 
+def _members(named: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """(by..., _cohorts) with the sorted cohorts of each test, and all cohort names."""
+    lists = named.groupBy(*by).agg(F.sort_array(F.collect_list("DATASET")).alias("_cohorts"))
+    rows = small_rows(lists)
+    if rows is None:  # very many tests: leave the lists distributed
+        return lists, distinct_values(named, "DATASET")
+    local = named.sparkSession.createDataFrame(rows, lists.schema)
+    return F.broadcast(local), sorted({d for r in rows for d in r["_cohorts"]})
+
+
 def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False) -> DataFrame:
     """Pool (by..., DATASET, POS, A1, A2, BETA, SE[, ALT_FRQ]) over DATASET.
 
@@ -60,9 +70,9 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
     has_frequency = "ALT_FRQ" in assoc.columns
     f = F.col("ALT_FRQ") if has_frequency else F.lit(None).cast("double")
 
-    names = aligned.select(*by, "DATASET").distinct()
-    cohorts = distinct_values(names, "DATASET")
-    members = names.groupBy(*by).agg(F.sort_array(F.collect_list("DATASET")).alias("_cohorts"))
+    # Which cohorts take part in which test: few rows, looked at once.
+    named = aligned.select(*by, "DATASET").distinct()
+    members, cohorts = _members(named, by)
     w, b = F.col("_w"), F.col("BETA")
     sums = aligned.groupBy(*by, "POS", "Allele1", "Allele2").agg(
         F.sum(w).alias("_sw"),
@@ -83,7 +93,7 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
     q = F.when(df > 0, F.greatest(spread, F.lit(0.0))).otherwise(F.lit(0.0))
     signs = F.col("_signs")
     if by:
-        sums = join_small(sums, members, by, "inner")
+        sums = sums.join(members, by, "inner")
         direction = F.array_join(
             F.transform("_cohorts", lambda d: F.coalesce(F.element_at(signs, d), F.lit("?"))), ""
         )

@@ -9,29 +9,6 @@ from cohortscan.operators.bounded import join_small
 from cohortscan.session import checkpointed
 
 
-def next_row(
-    df: DataFrame, keys: list[str], order: str, columns: list[str], width: float
-) -> DataFrame:
-    """Add ``NEXT``: a struct of ``columns`` from the following row of the group.
-
-    The order column is cut into slices of ``width``.  Inside a slice a plain
-    ``lead`` applies; the last row of a slice takes the head of the next
-    non-empty slice, found on the one-row-per-slice summary.
-    """
-    payload = F.struct(*[F.col(c) for c in columns])
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
-    between = Window.partitionBy(*keys).orderBy("_slice")
-    heads = sliced.groupBy(*keys, "_slice").agg(F.min_by(payload, F.col(order)).alias("_head"))
-    after = heads.select(*keys, "_slice", F.lead("_head").over(between).alias("_after"))
-    return (
-        sliced.withColumn("_inner", F.lead(payload).over(inside))
-        .join(after, keys + ["_slice"], "left")
-        .withColumn("NEXT", F.coalesce("_inner", "_after"))
-        .drop("_slice", "_inner", "_after")
-    )
-
-
 def ordinal(
     df: DataFrame, keys: list[str], order: list[str], slice_by: Column, name: str
 ) -> DataFrame:
@@ -92,6 +69,7 @@ def exact_median(df: DataFrame, keys: list[str], value: Column, bins: int = 1 <<
     values inside them are ordered.  NULLs are ignored.
     """
     v = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull())
+    v = checkpointed(v)  # one narrow column, read twice
     v = v.withColumn("_bin", F.floor(F.col("_v") / (F.lit(1.0) + F.col("_v")) * F.lit(bins)))
     below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

@@ -14,6 +14,7 @@ from cohortscan.functions.columns import (
 from cohortscan.operators.bounded import attach_stats, distinct_values, join_small
 from cohortscan.operators.meta import TEST
 from cohortscan.operators.ordered import exact_median, global_rank
+from cohortscan.session import checkpointed
 
 GENOME_WIDE_P = 5e-8
 GENOME_WIDE_NEGLOG10P = 7.301
@@ -72,12 +73,16 @@ def crosstab(meta: DataFrame, tests: list[str] | None = None) -> DataFrame:
     One aggregate replaces a chain of full joins.
     """
     long = meta.select("POS", test_name().alias("TEST"), "NEGLOG10P")
-    tests = sorted(tests) if tests else distinct_values(long, "TEST", 2_000)
+    if not tests:
+        long = checkpointed(long)
+        tests = distinct_values(long, "TEST", 2_000)
+    tests = sorted(tests)
     return long.groupBy("POS").pivot("TEST", tests).agg(F.max("NEGLOG10P"))
 
 
 def test_counts(meta_long: DataFrame) -> DataFrame:
     """Add N_TESTS per variant and N_VARIANTS per test from non-null cells."""
+    meta_long = checkpointed(meta_long)  # read three times below
     per_variant = meta_long.groupBy("POS").agg(
         F.count("NEGLOG10P").alias("N_TESTS")
     )
@@ -188,6 +193,7 @@ def manhattan_points(
 ) -> DataFrame:
     """-log10 P at cumulative genome coordinates, for well calibrated sets only."""
     by = TEST if by is None else by
+    meta = checkpointed(meta)  # read for the lengths, the points and the calibration
     if max_lambda is not None:
         calm = lambda_gc(meta, by).where(F.col("LAMBDA") < max_lambda).select(*by)
         meta = join_small(meta, calm, by, "left_semi")

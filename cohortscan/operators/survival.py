@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscan.operators.bounded import attach_stats
-from cohortscan.operators.ordered import next_row
 from cohortscan.operators.pheno import one_row_per_visit, unpivot_columns
 from cohortscan.schemas import DAYS_PER_YEAR, MIN_EVENTS
+from cohortscan.session import checkpointed
 
 SUBJECT = ["DATASET", "OUTCOME", "IID"]
 
@@ -20,21 +20,24 @@ def long_outcomes(visits: DataFrame, outcomes: list[str], carry: list[str]) -> D
     return one_row_per_visit(long.withColumn("STATUS", F.col("STATUS").cast("int")), SUBJECT + ["TSTART"])
 
 
-def follow_up(long: DataFrame) -> DataFrame:
-    """BEGIN and END per subject: first observed visit to first event or last visit."""
-    seen = F.when(F.col("STATUS").isNotNull(), F.col("TSTART"))
-    event = F.when(F.col("STATUS") == 1, F.col("TSTART"))
-    return (
-        long.groupBy(*SUBJECT)
-        .agg(F.min(seen).alias("BEGIN"), F.coalesce(F.min(event), F.max(seen)).alias("END"))
-        .where(F.col("BEGIN").isNotNull())
-    )
+def _subject() -> Window:
+    """A subject's visits; ``long_outcomes`` left at most one per day."""
+    return Window.partitionBy(*SUBJECT)
 
 
 def windowed_visits(long: DataFrame) -> DataFrame:
-    """Visits inside the follow-up window; an unrecorded status there counts as none."""
+    """Visits inside the follow-up window; an unrecorded status there counts as none.
+
+    The window runs from the first observed visit (BEGIN) to the first event
+    or, without one, the last observed visit (END).
+    """
+    seen = F.when(F.col("STATUS").isNotNull(), F.col("TSTART"))
+    event = F.when(F.col("STATUS") == 1, F.col("TSTART"))
+    own = _subject()
     return (
-        long.join(follow_up(long), SUBJECT, "inner")
+        long.withColumns(
+            {"BEGIN": F.min(seen).over(own), "END": F.coalesce(F.min(event).over(own), F.max(seen).over(own))}
+        )
         .where(F.col("TSTART").between(F.col("BEGIN"), F.col("END")))
         .withColumn("STATUS", F.coalesce("STATUS", F.lit(0)))
     )
@@ -44,20 +47,19 @@ def intervals(long: DataFrame, years: str | None = "BLDfDIAG") -> DataFrame:
     """(TSTART, TSTOP] rows whose event is the status at the stop visit.
 
     Time starts at the window's first visit, which shifts the years from
-    diagnosis by the same amount.
+    diagnosis by the same amount.  Follow-up window and next visit share one
+    partitioning, so the whole build shuffles the visits once more at most.
     """
-    rows = windowed_visits(long)
-    ahead = next_row(rows, SUBJECT, "TSTART", ["TSTART", "STATUS"], 365.0)
-    shifted = {
-        "TSTOP": F.col("NEXT.TSTART") - F.col("BEGIN"),
-        "EVENT": F.col("NEXT.STATUS"),
-        "TSTART": F.col("TSTART") - F.col("BEGIN"),
-    }
+    ahead = _subject().orderBy("TSTART")
+    rows = windowed_visits(long).withColumns(
+        {"_next": F.lead("TSTART").over(ahead), "EVENT": F.lead("STATUS").over(ahead)}
+    )
+    shifted = {"TSTOP": F.col("_next") - F.col("BEGIN"), "TSTART": F.col("TSTART") - F.col("BEGIN")}
     if years:
         shifted[years] = F.col(years) + F.col("BEGIN") / F.lit(DAYS_PER_YEAR)
     return (
-        ahead.where(F.col("NEXT").isNotNull()).withColumns(shifted)
-        .where(F.col("TSTART") < F.col("TSTOP")).drop("NEXT", "STATUS")
+        rows.where(F.col("_next").isNotNull()).withColumns(shifted)
+        .where(F.col("TSTART") < F.col("TSTOP")).drop("_next", "STATUS")
     )
 
 
@@ -76,7 +78,7 @@ def event_counts(table: DataFrame) -> DataFrame:
 def build_survival(
     visits: DataFrame, outcomes: list[str], carry: list[str], more_than: int = MIN_EVENTS
 ) -> DataFrame:
-    return frequent_events(intervals(long_outcomes(visits, outcomes, carry)), more_than)
+    return frequent_events(checkpointed(intervals(long_outcomes(visits, outcomes, carry))), more_than)
 
 
 def risk_sets(table: DataFrame) -> DataFrame:

@@ -71,9 +71,9 @@ def meta_ctes(source: str, by: list[str]) -> dict[str, str]:
         "pooled": f"""SELECT {g} POS, Allele1, Allele2, sum(w) AS sw, sum(w * b) / sum(w) AS Effect,
  sum(w * f) / sum(w) AS Freq1, min(f) AS MinFreq, max(f) AS MaxFreq, CAST(count(*) - 1 AS BIGINT) AS HetDf
  FROM al GROUP BY ALL""",
-        "het": f"""SELECT {eg} e.POS, e.Allele1, e.Allele2, sum(a.w * (a.b - e.Effect) * (a.b - e.Effect)) AS Q,
+        "het": f"""SELECT {eg} e.POS, e.Allele1, e.Allele2, CASE WHEN e.HetDf = 0 THEN 0.0 ELSE sum(a.w * (a.b - e.Effect) * (a.b - e.Effect)) END AS Q,
  sqrt(sum(a.w * (a.f - e.Freq1) * (a.f - e.Freq1)) / sum(a.w)) AS FreqSE
- FROM pooled e JOIN al a ON {on} GROUP BY ALL""",
+ FROM pooled e JOIN al a ON {on} GROUP BY {eg} e.POS, e.Allele1, e.Allele2, e.HetDf""",
         "dirs": f"""SELECT {sg} s.POS, s.Allele1, s.Allele2, string_agg(CASE WHEN a.b > 0 THEN '+' WHEN a.b < 0 THEN '-'
  WHEN a.b = 0 THEN '0' ELSE '?' END, '' ORDER BY d.DATASET) AS Direction
  FROM pooled s JOIN (SELECT DISTINCT {g} DATASET FROM al) d ON {md}

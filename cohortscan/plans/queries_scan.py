@@ -312,3 +312,11 @@ def ld_prune(spark, path):
 @query("pca5")
 def pca5(spark, path):
     return round_columns(S.principal_components(calls(Tables(spark, path))), [f"PC{i}" for i in range(1, 6)], 4)
+
+
+@query("mixed_slope_scan")
+def mixed_slope_scan(spark, path):
+    from cohortscan.models import slope
+
+    t = Tables(spark, path)
+    return _shown(slope.random_slope_scan(t.cohort_geno(), visit_rows(t), ["AAO", "YEARfDIAG"]), 4)

@@ -223,3 +223,16 @@ def test_large_side_takes_the_shuffled_join(spark, study, frames, monkeypatch):
     monkeypatch.setattr(design, "BROADCAST_CELLS", 0)
     again = collected(mixed.mixed_scan(frames[0], frames[1], COVS))
     assert np.allclose(wide.BETA, again.BETA) and np.allclose(wide.SE, again.SE)
+
+
+def test_random_slope(spark, study, frames):
+    from cohortscan.models import slope
+
+    got = collected(slope.random_slope_scan(frames[0], frames[1], COVS, raw_time=False))
+    for d, pos, m in cells(study[0], scaled(study[1], COVS)):
+        x = np.column_stack([np.ones(len(m)), m.DOSAGE, m[COVS], m.DOSAGE * m.YEARfDIAG])
+        z = np.column_stack([np.ones(len(m)), m.YEARfDIAG])
+        b, se, _ = dense.reml(x, m.Y.to_numpy(), m.IID.to_numpy(), z, [1.0, 0.0, 0.5])
+        row = got.loc[(d, pos, "snp:time")]
+        assert row.STATUS == "OK"
+        assert row.BETA == pytest.approx(b[4], rel=1e-4, abs=1e-6) and row.SE == pytest.approx(se[4], rel=1e-4)
