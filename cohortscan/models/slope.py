@@ -105,7 +105,8 @@ def random_slope_scan(
             step = _propose(f, h)
         size = np.abs(step).max() / max(1.0, np.abs(trials[0]).max())
         se = float(np.sqrt(max(rss[0] / free[0] * inverse[0, last, last], 0.0)))
-        if size < 1e-5 or (h.max() < 5e-4 and fit - f[at] < 1e-9 and size < 1e-3):
+        flat = abs(fit - f[at]) < 1e-8 and f[0] - f[at] < 1e-8  # nothing left to gain
+        if size < 1e-5 or flat:
             return row.TRIALS, h, trials[0], f[0], float(beta[0, last]), se, bool(keep[0, last]), True
         limit = 0.5 * np.maximum(np.abs(trials[0]), 0.5)
         step = step * min(1.0, float((limit / np.maximum(np.abs(step), 1e-300)).min()))
