@@ -38,12 +38,22 @@ def align_alleles(assoc: DataFrame) -> DataFrame:
     return assoc.withColumns(out)
 
 
-def _direction(cohorts: list[str]) -> Column:
-    """One character per cohort: sign of its effect, ? where it has no result."""
-    sign = F.when(F.col("BETA") > 0, "+").when(F.col("BETA") < 0, "-").otherwise("0")
-    return F.create_map(
-        *[x for d in cohorts for x in (F.lit(d), F.max(F.when(F.col("DATASET") == d, sign)))]
-    )
+def _signs(cohorts: list[str]) -> Column:
+    """Sign of each cohort's effect; fixed-width values keep the aggregate hashed."""
+    sign = F.signum("BETA")
+    return F.array(*[F.max(F.when(F.col("DATASET") == d, sign)) for d in cohorts])
+
+
+def _direction(cohorts: list[str], members: Column | None) -> Column:
+    """One character per cohort of the test: + - 0, or ? where it has no result."""
+    places = F.create_map(*[x for i, d in enumerate(cohorts) for x in (F.lit(d), F.lit(i))])
+
+    def character(sign: Column) -> Column:
+        return F.when(sign > 0, "+").when(sign < 0, "-").when(sign == 0, "0").otherwise("?")
+
+    if members is None:
+        return F.array_join(F.transform("_signs", character), "")
+    return F.array_join(F.transform(members, lambda d: character(F.get("_signs", F.element_at(places, d)))), "")
 
 
 def _members(named: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -84,23 +94,16 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
         F.sum(w * f * f).alias("_swff"),
         F.min(f).alias("MinFreq"),
         F.max(f).alias("MaxFreq"),
-        _direction(cohorts).alias("_signs"),
+        _signs(cohorts).alias("_signs"),
     )
     effect = F.col("_swb") / F.col("_sw")
     freq = F.col("_swf") / F.col("_swk")
     df = F.col("_k") - F.lit(1)
     spread = F.col("_swbb") - F.col("_swb") * F.col("_swb") / F.col("_sw")
     q = F.when(df > 0, F.greatest(spread, F.lit(0.0))).otherwise(F.lit(0.0))
-    signs = F.col("_signs")
     if by:
         sums = sums.join(members, by, "inner")
-        direction = F.array_join(
-            F.transform("_cohorts", lambda d: F.coalesce(F.element_at(signs, d), F.lit("?"))), ""
-        )
-    else:
-        direction = F.array_join(
-            F.array(*[F.coalesce(F.element_at(signs, F.lit(d)), F.lit("?")) for d in cohorts]), ""
-        )
+    direction = _direction(cohorts, F.col("_cohorts") if by else None)
     pooled = sums.select(
         *by, "POS", "Allele1", "Allele2",
         freq.alias("Freq1"),

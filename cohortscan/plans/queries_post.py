@@ -14,6 +14,7 @@ from cohortscan.operators import meta as M
 from cohortscan.operators import post as P
 from cohortscan.plans.registry import query
 from cohortscan.plans.views import Tables, log_erfc_sql, nlp_sql, rnd, sql_with
+from cohortscan.session import checkpointed
 
 META_NUMBERS = [
     "Freq1", "FreqSE", "MinFreq", "MaxFreq", "Effect", "StdErr", "Z", "NEGLOG10P",
@@ -108,8 +109,13 @@ def _meta_out(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def stored(results: DataFrame) -> DataFrame:
+    """Cohort results are a stored table in a real run; write them out once."""
+    return checkpointed(results)
+
+
 def pooled_tests(t: Tables) -> DataFrame:
-    return M.meta_fixed(t.assoc_tests())
+    return M.meta_fixed(stored(t.assoc_tests()))
 
 
 # ------------------------------------------------------------------ pooling
@@ -137,12 +143,12 @@ def assoc_join_info(spark, path):
 
 @query("meta_fixed", sql_with("assoc", meta_select([]), **meta_ctes("assoc", [])))
 def meta_fixed(spark, path):
-    return _meta_out(M.meta_fixed(Tables(spark, path).assoc(), []), [])
+    return _meta_out(M.meta_fixed(stored(Tables(spark, path).assoc()), []), [])
 
 
 @query("meta_genomic_control", sql_with("assoc", meta_select([]), **GC_CTES, **meta_ctes("gcassoc", [])))
 def meta_genomic_control(spark, path):
-    return _meta_out(M.meta_fixed(Tables(spark, path).assoc(), [], gc=True), [])
+    return _meta_out(M.meta_fixed(stored(Tables(spark, path).assoc()), [], gc=True), [])
 
 
 @query("meta_by_test", sql_with("assoc_tests", meta_select(BY), **meta_ctes("assoc_tests", BY)))
@@ -171,8 +177,9 @@ def _register_filter(rule: str) -> None:
     @query(f"meta_filtered_{rule}", sql)
     def run(spark, path):
         t = Tables(spark, path)
-        counts = M.cohort_counts(t.assoc_tests())
-        return _meta_out(M.filter_meta(pooled_tests(t), counts, rule), BY)
+        results = stored(t.assoc_tests())
+        counts = M.cohort_counts(results)
+        return _meta_out(M.filter_meta(M.meta_fixed(results), counts, rule), BY)
 
 
 for _rule in _RULES:
@@ -216,7 +223,7 @@ def genome_wide_hits(spark, path):
  SELECT POS FROM annot WHERE FXNCLASS = 'ECONOMY')""", **meta_ctes("assoc_tests", BY)))
 def hit_list(spark, path):
     t = Tables(spark, path)
-    meta = pooled_tests(t)
+    meta = checkpointed(pooled_tests(t))
     parts = [meta.where(F.col("MODEL") == m) for m in ("coxhm", "lnmxs")]
     return P.variant_list(P.hit_positions(parts, HIT_P), t.annot().where(F.col("FXNCLASS") == "ECONOMY"))
 
@@ -224,8 +231,8 @@ def hit_list(spark, path):
 @query("hit_lookup", sql_with("assoc_tests", f"""SELECT DATASET, MODEL, OUTCOME, POS, {rnd('BETA')} AS BETA, {rnd('SE')} AS SE FROM assoc_tests
  WHERE POS IN (SELECT POS FROM meta WHERE NEGLOG10P > {HIT_BAR!r})""", **meta_ctes("assoc_tests", BY)))
 def hit_lookup(spark, path):
-    t = Tables(spark, path)
-    found = P.lookup(t.assoc_tests(), P.hit_positions([pooled_tests(t)], HIT_P))
+    results = stored(Tables(spark, path).assoc_tests())
+    found = P.lookup(results, P.hit_positions([M.meta_fixed(results)], HIT_P))
     return round_columns(found.select("DATASET", "MODEL", "OUTCOME", "POS", "BETA", "SE"), ["BETA", "SE"])
 
 
@@ -401,8 +408,8 @@ def score_rows_split(spark, path):
 def flagship(spark, path) -> DataFrame:
     """Cohort results to tiers: pool, filter, count tests, grade."""
     t = Tables(spark, path)
-    counts = M.cohort_counts(t.assoc_tests())
-    kept = M.filter_meta(pooled_tests(t), counts, "b")
+    results = stored(t.assoc_tests())
+    kept = M.filter_meta(M.meta_fixed(results), M.cohort_counts(results), "b")
     graded = P.tiers(kept)
     return round_columns(
         graded.select("MODEL", "OUTCOME", "POS", "Effect", "StdErr", "NEGLOG10P", "HetDf", "N_TESTS", "N_VARIANTS", "TIER"),
