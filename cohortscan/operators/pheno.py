@@ -87,6 +87,14 @@ def active_columns(df: DataFrame, columns: list[str], by: list[str] | None = Non
     return covariate_variance(df, columns, by).where(F.col("VARIANCE") > 0)
 
 
+def active_lists(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(DATASET, COV): sorted varying columns; empty where none varies."""
+    varies = F.when(F.col("VARIANCE") > 0, F.col("NAME"))
+    return covariate_variance(df, columns).groupBy("DATASET").agg(
+        F.array_sort(F.collect_list(varies)).alias("COV")
+    )
+
+
 def outcome_case_counts(coded: DataFrame, outcomes: list[str]) -> DataFrame:
     """(DATASET, OUTCOME, N_CASES) of case-coded outcomes."""
     wide = coded.groupBy("DATASET").agg(
@@ -162,9 +170,7 @@ def build_baseline(
         "Y", F.col("Y").cast("int")
     )
     table = attach_components(join_small(long, kept.select("DATASET", "OUTCOME"), ["DATASET", "OUTCOME"], "left_semi"), components)
-    names = active_columns(rows, covariates).groupBy("DATASET").agg(
-        F.array_sort(F.collect_list("NAME")).alias("COV")
-    )
+    names = active_lists(rows, covariates)
     specs = kept.join(names, "DATASET").select(F.lit("lgsbl").alias("TYPE"), "DATASET", "OUTCOME", "COV")
     return table, specs
 
@@ -185,9 +191,7 @@ def build_longitudinal(
     table = attach_components(
         tagged.where((F.col("KIND") == "longitudinal") | (F.col("TSTART") == 0)), components
     )
-    varying = active_columns(visits, names).groupBy("DATASET").agg(
-        F.array_sort(F.collect_list("NAME")).alias("COV")
-    )
+    varying = active_lists(visits, names)
     models = F.when(F.col("KIND") == "single", F.array(F.lit("lnsgl"))).otherwise(
         F.array(F.lit("lnmxi"), F.lit("lnmxs"), F.lit("lncns"))
     )
