@@ -139,11 +139,16 @@ class Moments:
         low = LOG_THETA[np.maximum(at - 1, 1)]
         high = LOG_THETA[np.minimum(at + 1, len(LOG_THETA) - 1)]
         ratio = (np.sqrt(5.0) - 1.0) / 2.0
-        for _ in range(48):
+        for _ in range(32):
             a, b = high - ratio * (high - low), low + ratio * (high - low)
             left = self.reml(np.exp(a)) < self.reml(np.exp(b))
             low, high = np.where(left, low, a), np.where(left, b, high)
-        theta = np.exp((low + high) / 2.0)
+        # The criterion is flat to rounding near its minimum; a parabola finds the vertex.
+        centre, h = (low + high) / 2.0, 1e-4
+        f0, up, down = (self.reml(np.exp(centre + d)) for d in (0.0, h, -h))
+        bend = up - 2.0 * f0 + down
+        shift = np.where(bend > 0, h * (down - up) / (2.0 * np.where(bend > 0, bend, 1.0)), 0.0)
+        theta = np.exp(centre + np.clip(shift, -10.0 * h, 10.0 * h))
         return np.where(self.reml(theta) < grid[0], theta, 0.0)
 
 

@@ -50,6 +50,111 @@ def case_rows(t: Tables) -> DataFrame:
 _FIRST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY DATASET, IID ORDER BY TSTART) AS rn FROM sv WHERE HY IS NOT NULL) WHERE rn = 1"""
 
 
+
+# ----------------------------------------------- SQL of regressions by elimination
+def _products(names: list[str], prefix: str = "a", weight: str = "") -> str:
+    return ", ".join(
+        f"sum({weight}{x} * {y}) AS {prefix}_{x}_{y}" for i, x in enumerate(names) for y in names[i:]
+    )
+
+
+def _eliminate(source: str, names: list[str], pivots: int, keep: str, tag: str) -> tuple[dict[str, str], str]:
+    """CTEs that eliminate the leading columns from the packed products.
+
+    Each step also adds the log of its pivot to ``ld``.
+    """
+    ctes, last = {}, source
+    for k in range(pivots):
+        p = names[k]
+        rest = names[k + 1:]
+        cells = ", ".join(
+            f"a_{x}_{y} - a_{p}_{x} * a_{p}_{y} / a_{p}_{p} AS a_{x}_{y}" for i, x in enumerate(rest) for y in rest[i:]
+        )
+        ld = "ln" if k == 0 else "ld + ln"
+        ctes[f"{tag}{k}"] = f"SELECT {keep}, {ld}(a_{p}_{p}) AS ld, {cells} FROM {last}"
+        last = f"{tag}{k}"
+    return ctes, last
+
+
+_ZC = ["AAO", "YEARSEDUC", "FEMALE", "YEARfDIAG"]
+
+
+def _scaled_sql(source: str, names: list[str]) -> str:
+    z = ", ".join(f"({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w AS z{i}" for i, c in enumerate(names))
+    return f"SELECT DATASET, IID, HY AS y, 1.0::DOUBLE AS one, {z} FROM {source} WHERE HY IS NOT NULL WINDOW w AS (PARTITION BY DATASET)"
+
+
+def _linear_full_sql() -> str:
+    names = ["one", "z0", "z1", "z2", "z3", "s", "y"]
+    ctes = {
+        "f": _FIRST, "zf": _scaled_sql("f", _ZC),
+        "d": "SELECT g.POS, DOSAGE AS s, zf.* FROM cgeno g JOIN zf ON g.DATASET = zf.DATASET AND g.IID = zf.IID WHERE DOSAGE IS NOT NULL",
+        "m": f"SELECT DATASET, POS, CAST(count(*) AS BIGINT) AS N_OBS, {_products(names)} FROM d GROUP BY 1, 2",
+    }
+    steps, last = _eliminate("m", names, 5, "DATASET, POS, N_OBS", "w")
+    return sql_with("sv cgeno", f"""SELECT DATASET, POS, N_OBS, {rnd('b', 6)} AS BETA, {rnd('se', 6)} AS SE, {rnd('b / se', 6)} AS STAT FROM (SELECT *, a_s_y / a_s_s AS b,
+ sqrt((a_y_y - a_s_y * a_s_y / a_s_s) / (N_OBS - 6) / a_s_s) AS se FROM {last})""", **ctes, **steps)
+
+
+def _conditional_full_sql() -> str:
+    names = ["t", "d", "st", "y"]
+    ctes = {
+        "dm": """SELECT DATASET, IID, YEARfDIAG - avg(YEARfDIAG) OVER w AS t, DOPA - avg(DOPA) OVER w AS d, HY - avg(HY) OVER w AS y,
+ count(*) OVER w AS n FROM sv WHERE HY IS NOT NULL WINDOW w AS (PARTITION BY DATASET, IID)""",
+        "i": "SELECT DATASET, IID, POS, coalesce(DOSAGE, avg(DOSAGE) OVER (PARTITION BY DATASET, POS)) AS s FROM cgeno",
+        "dd": "SELECT i.POS, dm.*, s * t AS st FROM i JOIN dm ON i.DATASET = dm.DATASET AND i.IID = dm.IID WHERE n > 1",
+        "m": f"""SELECT DATASET, POS, CAST(count(*) - count(DISTINCT IID) AS BIGINT) AS N_OBS, CAST(count(DISTINCT IID) AS BIGINT) AS N_GROUP,
+ {_products(names)} FROM dd GROUP BY 1, 2""",
+    }
+    steps, last = _eliminate("m", names, 2, "DATASET, POS, N_OBS, N_GROUP", "w")
+    return sql_with("sv cgeno", f"""SELECT DATASET, POS, N_OBS, N_GROUP, {rnd('b', 6)} AS BETA, {rnd('se', 6)} AS SE, {rnd(nlp_sql('(b / se)'), 6)} AS NEGLOG10P FROM
+ (SELECT *, a_st_y / a_st_st AS b, sqrt((a_y_y - a_st_y * a_st_y / a_st_st) / (N_OBS - 4) / a_st_st) AS se FROM {last})""", **ctes, **steps)
+
+
+def _mixed_sql(interaction: bool, rounds: int = 5) -> str:
+    """Restricted likelihood on narrowing grids of the variance ratio, last a parabola's vertex."""
+    fixed = ["one", "z0", "z1", "z2", "z3", "s"] + (["st"] if interaction else [])
+    names, p = fixed + ["y"], len(fixed)
+    pair = [(x, y) for i, x in enumerate(names) for y in names[i:]]
+    ctes = {
+        "zv": _scaled_sql("sv", _ZC),
+        "d": """SELECT g.POS, DOSAGE AS s, DOSAGE * z3 AS st, zv.* FROM cgeno g JOIN zv ON g.DATASET = zv.DATASET AND g.IID = zv.IID WHERE DOSAGE IS NOT NULL""",
+        "tot": f"SELECT DATASET, POS, count(*) AS nobs, count(DISTINCT IID) AS ngrp, {_products(names)} FROM d GROUP BY 1, 2",
+        "sub": f"SELECT DATASET, POS, IID, count(*) AS n, {', '.join(f'sum({x}) AS {x}' for x in names)} FROM d GROUP BY 1, 2, 3",
+        "bins": f"SELECT DATASET, POS, n, count(*) AS g, {_products(names, 'b')} FROM sub GROUP BY 1, 2, 3",
+        "g0": """SELECT DATASET, POS, unnest(list_concat([0.0::DOUBLE], list_transform(range(0, 41), lambda k: exp(ln(1e-4) + k * ln(1e8) / 40)))) AS th FROM tot""",
+    }
+    step = 18.420680743952367 / 40  # ln(1e8) / 40
+    for r in range(rounds + 1):
+        cells = ", ".join(f"any_value(t.a_{x}_{y}) - sum(th / (1 + b.n * th) * b.b_{x}_{y}) AS a_{x}_{y}" for x, y in pair)
+        ctes[f"e{r}"] = f"""SELECT t.DATASET, t.POS, th, any_value(nobs) AS nobs, any_value(ngrp) AS ngrp, sum(g * ln(1 + b.n * th)) AS lv, {cells}
+ FROM g{r} q JOIN tot t ON q.DATASET = t.DATASET AND q.POS = t.POS JOIN bins b ON b.DATASET = t.DATASET AND b.POS = t.POS GROUP BY t.DATASET, t.POS, th"""
+        # The interaction term comes last, so both tests can be read off after one elimination.
+        steps, last = _eliminate(f"e{r}", names, p - (2 if interaction else 1), "DATASET, POS, th, nobs, ngrp, lv", f"k{r}_")
+        ctes |= steps
+        if interaction:
+            det = "(a_s_s * a_st_st - a_s_st * a_s_st)"
+            extra = f"""(a_s_y * a_st_st - a_st_y * a_s_st) / {det} AS b1, (a_st_y * a_s_s - a_s_y * a_s_st) / {det} AS b2,
+ a_st_st / {det} AS v1, a_s_s / {det} AS v2, ld + ln({det}) AS dt"""
+            rss = "a_y_y - b1 * a_s_y - b2 * a_st_y"
+        else:
+            extra = "a_s_y / a_s_s AS b1, 0.0 AS b2, 1 / a_s_s AS v1, 0.0 AS v2, ld + ln(a_s_s) AS dt"
+            rss = "a_y_y - b1 * a_s_y"
+        ctes[f"c{r}"] = f"""SELECT *, (nobs - {p}) * ln(rs / (nobs - {p})) + lv + dt AS crit FROM (SELECT *, {rss} AS rs FROM (SELECT *, {extra} FROM {last}))"""
+        ctes[f"t{r}"] = f"""SELECT * FROM (SELECT *, lag(crit) OVER w AS fm, lead(crit) OVER w AS fp FROM c{r} WINDOW w AS (PARTITION BY DATASET, POS ORDER BY th))
+ QUALIFY row_number() OVER (PARTITION BY DATASET, POS ORDER BY crit, th) = 1"""
+        if r == rounds - 1:
+            ctes[f"g{r + 1}"] = f"SELECT DATASET, POS, CASE WHEN th = 0 THEN 0.0 ELSE th * exp({step!r}::DOUBLE * (fm - fp) / (2 * (fm - 2 * crit + fp))) END AS th FROM t{r}"
+        elif r < rounds:
+            ctes[f"g{r + 1}"] = f"""SELECT DATASET, POS, unnest(CASE WHEN th = 0 THEN [0.0::DOUBLE] ELSE list_transform(range(-10, 11), lambda k: th * exp(k * {step!r}::DOUBLE / 8)) END) AS th FROM t{r}"""
+            step = step / 8
+    out = []
+    for model, term, i in ([("lnmxs_intcp", "snp", 1), ("lnmxs", "snp:time", 2)] if interaction else [("lnmxi", "snp", 1)]):
+        out.append(f"""SELECT '{model}' AS MODEL, DATASET, POS, '{term}' AS TERM, CAST(nobs AS BIGINT) AS N_OBS, CAST(ngrp AS BIGINT) AS N_GROUP,
+ {rnd(f'b{i}', 3)} AS BETA, {rnd(f'sqrt(rs / (nobs - {p}) * v{i})', 3)} AS SE FROM t{rounds}""")
+    return sql_with("sv cgeno", " UNION ALL ".join(out), **ctes)
+
+
 @query("linear_scan", sql_with("sv cgeno", f"""SELECT DATASET, POS, N_OBS, {rnd('b', 6)} AS BETA, {rnd('sqrt((syy - b * sxy) / (N_OBS - 2) / sxx)', 6)} AS SE,
  {rnd('b / sqrt((syy - b * sxy) / (N_OBS - 2) / sxx)', 6)} AS STAT FROM (SELECT g.DATASET, g.POS, CAST(count(*) AS BIGINT) AS N_OBS,
  regr_slope(HY, DOSAGE) AS b, regr_sxx(HY, DOSAGE) AS sxx, regr_syy(HY, DOSAGE) AS syy, regr_sxy(HY, DOSAGE) AS sxy
@@ -70,10 +175,10 @@ def linear_scan_adjusted(spark, path):
     return _brief(linear.linear_scan(t.cohort_geno(), first_visits(t), ["AAO"]), ["N_OBS", "BETA", "SE", "STAT"])
 
 
-@query("linear_scan_full")
+@query("linear_scan_full", _linear_full_sql())
 def linear_scan_full(spark, path):
     t = Tables(spark, path)
-    return _shown(linear.linear_scan(t.cohort_geno(), first_visits(t), COVS))
+    return _brief(linear.linear_scan(t.cohort_geno(), first_visits(t), COVS), ["N_OBS", "BETA", "SE", "STAT"])
 
 
 _DEMEANED = """SELECT DATASET, IID, YEARfDIAG - avg(YEARfDIAG) OVER w AS t, HY - avg(HY) OVER w AS y, count(*) OVER w AS n FROM sv
@@ -94,10 +199,11 @@ def conditional_scan(spark, path):
     return _brief(scan, ["N_OBS", "N_GROUP", "BETA", "SE", "NEGLOG10P"])
 
 
-@query("conditional_scan_full")
+@query("conditional_scan_full", _conditional_full_sql())
 def conditional_scan_full(spark, path):
     t = Tables(spark, path)
-    return _shown(linear.conditional_scan(t.cohort_geno(), visit_rows(t), "YEARfDIAG", ["DOPA"]))
+    scan = linear.conditional_scan(t.cohort_geno(), visit_rows(t), "YEARfDIAG", ["DOPA"])
+    return _brief(scan, ["N_OBS", "N_GROUP", "BETA", "SE", "NEGLOG10P"])
 
 
 def _solve3(h: str, g: str) -> list[str]:
@@ -195,16 +301,21 @@ def cox_scan_full(spark, path):
     return _shown(cox.cox_scan(t.cohort_geno(), survival_table(t, carry), carry))
 
 
-@query("mixed_intercept_scan")
+_MIXED = ["TERM", "N_OBS", "N_GROUP", "BETA", "SE"]
+
+
+@query("mixed_intercept_scan", _mixed_sql(False))
 def mixed_intercept_scan(spark, path):
     t = Tables(spark, path)
-    return _shown(mixed.mixed_scan(t.cohort_geno(), visit_rows(t), COVS), 5)
+    scan = mixed.mixed_scan(t.cohort_geno(), visit_rows(t), COVS)
+    return round_columns(scan.select("MODEL", "DATASET", "POS", *_MIXED), ["BETA", "SE"], 3)
 
 
-@query("mixed_interaction_scan")
+@query("mixed_interaction_scan", _mixed_sql(True))
 def mixed_interaction_scan(spark, path):
     t = Tables(spark, path)
-    return _shown(mixed.mixed_scan(t.cohort_geno(), visit_rows(t), COVS, "YEARfDIAG"), 5)
+    scan = mixed.mixed_scan(t.cohort_geno(), visit_rows(t), COVS, "YEARfDIAG")
+    return round_columns(scan.select("MODEL", "DATASET", "POS", *_MIXED), ["BETA", "SE"], 3)
 
 
 @query("gee_scan")
