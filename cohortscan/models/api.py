@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cohortscan.models.cox import cox_scan
+from cohortscan.models.design import SET
 from cohortscan.models.linear import conditional_scan, linear_scan, plain_linear_scan
 from cohortscan.models.logistic import logistic_scan
 from cohortscan.models.mixed import gee_scan, mixed_scan
 from cohortscan.models.slope import random_slope_scan
+from cohortscan.operators.bounded import join_small
 from cohortscan.schemas import PCS
 
 TIME = "YEARfDIAG"
@@ -40,6 +42,9 @@ def scan(
     if model == "lnmxi":
         return mixed_scan(geno, rows, names, None, manifest, scale)
     if model == "lncns":
+        if manifest is not None:
+            planned = manifest.where("TYPE = 'lncns'").select(*SET).distinct()
+            rows = join_small(rows, planned, SET, "left_semi")
         return conditional_scan(geno, rows, TIME, [c for c in covariates if c != TIME])
     if model == "slope":
         return plain_linear_scan(geno, rows)

@@ -171,7 +171,7 @@ def filter_meta(
     return kept.drop("N_COHORTS", "THRESHOLD")
 
 
-def to_metal_layout(meta: DataFrame) -> DataFrame:
+def to_pooled_layout(meta: DataFrame) -> DataFrame:
     """The fifteen-column export layout of a pooled table."""
     return meta.select(
         F.col("POS").alias("MarkerName"), "Allele1", "Allele2", "Freq1", "FreqSE", "MinFreq",

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscan.functions.numeric import hardy_weinberg_p, symmetric
+from cohortscan.functions.numeric import hardy_weinberg_p
 from cohortscan.operators.bounded import join_small
 from cohortscan.operators.genotype import BIN, dense_arrays, variant_stats
 from cohortscan.operators.ordered import global_rank, ordinal

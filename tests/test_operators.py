@@ -189,7 +189,7 @@ def test_meta_invariants(spark):
     assert a.HetPVal == pytest.approx(math.erfc(math.sqrt(q / 2)), abs=1e-6) and a.Direction == "+-"
     no_freq = meta.meta_fixed(assoc(spark, [one, other]).drop("ALT_FRQ")).first()
     assert no_freq.Freq1 is None and no_freq.Effect == pytest.approx(eff)
-    assert meta.to_metal_layout(meta.meta_fixed(assoc(spark, [one]))).columns[0] == "MarkerName"
+    assert meta.to_pooled_layout(meta.meta_fixed(assoc(spark, [one]))).columns[0] == "MarkerName"
 
 
 def test_direction_covers_only_the_cohorts_of_the_test(spark):
