@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortscan.llm.common import table
+from cohortscan.llm.quality import quality
 from cohortscan.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,8 @@ def query(fn):
 @query
 def op10_toxicity(spark: SparkSession, path: str) -> DataFrame:
     return toxicity(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
+    return quality(table(spark, path, "documents"), table(spark, path, "labels"))
