@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortscan.llm.common import table
+from cohortscan.llm.language import language
 from cohortscan.llm.quality import quality
 from cohortscan.llm.toxicity import toxicity
 
@@ -27,3 +28,8 @@ def op10_toxicity(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op6_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
     return quality(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query
+def op2_language_id(spark: SparkSession, path: str) -> DataFrame:
+    return language(table(spark, path, "documents"))
