@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortscan.llm.common import table
 from cohortscan.llm.language import language
+from cohortscan.llm.pieces import round_trip
 from cohortscan.llm.quality import quality
 from cohortscan.llm.toxicity import toxicity
 
@@ -15,6 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -33,3 +40,8 @@ def op6_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op2_language_id(spark: SparkSession, path: str) -> DataFrame:
     return language(table(spark, path, "documents"))
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, path: str) -> DataFrame:
+    return round_trip(table(spark, path, "documents"), piece_model())
