@@ -11,6 +11,7 @@ from cohortscan.llm.language import language
 from cohortscan.llm.pieces import round_trip
 from cohortscan.llm.quality import quality
 from cohortscan.llm.toxicity import toxicity
+from cohortscan.llm.urls import LISTED, RULES, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,8 +23,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def query(fn):
+def query(fn, sql: str | None = None):
     QUERIES[fn.__name__] = fn
+    if sql is not None:
+        ORACLES[fn.__name__] = sql
     return fn
 
 
@@ -45,3 +48,32 @@ def op2_language_id(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op5_sentencepiece(spark: SparkSession, path: str) -> DataFrame:
     return round_trip(table(spark, path, "documents"), piece_model())
+
+
+def op1_url_filter(spark: SparkSession, path: str) -> DataFrame:
+    return judge(table(spark, path, "pages"), RULES + LISTED)
+
+
+def _url_sql() -> str:
+    rows = ", ".join(f"('{e.pattern}', '{e.verdict}', '{e.kind}')" for e in RULES + LISTED)
+    return f"""
+WITH entries(pattern, verdict, kind) AS (VALUES {rows}),
+parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    row_number() OVER () AS nr
+  FROM pages),
+hits AS (
+  SELECT nr, pattern, entries.verdict, kind FROM parts JOIN entries
+  ON concat('.', host, path) LIKE concat('%.', pattern, '%')
+   AND (host = split_part(pattern, '/', 1) OR ends_with(host, concat('.', split_part(pattern, '/', 1))))
+   AND starts_with(path, substr(pattern, strpos(pattern, '/')))),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY nr ORDER BY kind = 'rule' DESC, length(pattern) DESC) AS rank FROM hits)
+SELECT page_id, host, path, CASE WHEN kind = 'rule' THEN pattern END AS rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM best WHERE rank = 1) b USING (nr)"""
+
+
+query(op1_url_filter, _url_sql())
