@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortscan.llm.common import table
 from cohortscan.llm.language import language
+from cohortscan.llm.mixing import mixed_sources
 from cohortscan.llm.pieces import round_trip
 from cohortscan.llm.quality import quality
 from cohortscan.llm.toxicity import toxicity
@@ -77,3 +78,8 @@ FROM parts LEFT JOIN (SELECT * FROM best WHERE rank = 1) b USING (nr)"""
 
 
 query(op1_url_filter, _url_sql())
+
+
+@query
+def op4_source_mix(spark: SparkSession, path: str) -> DataFrame:
+    return mixed_sources(table(spark, path, "documents"))
