@@ -11,6 +11,7 @@ from cohortscan.llm.language import language
 from cohortscan.llm.mixing import mixed_sources
 from cohortscan.llm.pieces import round_trip
 from cohortscan.llm.quality import quality
+from cohortscan.llm.simhash import edited_fingerprints
 from cohortscan.llm.toxicity import toxicity
 from cohortscan.llm.urls import LISTED, RULES, judge
 
@@ -83,3 +84,8 @@ query(op1_url_filter, _url_sql())
 @query
 def op4_source_mix(spark: SparkSession, path: str) -> DataFrame:
     return mixed_sources(table(spark, path, "documents"))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    return edited_fingerprints(table(spark, path, "documents"))
