@@ -10,6 +10,7 @@ from cohortscan.llm.common import table
 from cohortscan.llm.language import language
 from cohortscan.llm.mixing import mixed_sources
 from cohortscan.llm.pieces import round_trip
+from cohortscan.llm.pii import personal_data
 from cohortscan.llm.quality import quality
 from cohortscan.llm.simhash import edited_fingerprints
 from cohortscan.llm.toxicity import toxicity
@@ -89,3 +90,8 @@ def op4_source_mix(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op9_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return edited_fingerprints(table(spark, path, "documents"))
+
+
+@query
+def op3_personal_data(spark: SparkSession, path: str) -> DataFrame:
+    return personal_data(table(spark, path, "documents"))
