@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortscan.llm.common import table
+from cohortscan.llm.jaccard import jaccard_join
 from cohortscan.llm.language import language
 from cohortscan.llm.mixing import mixed_sources
 from cohortscan.llm.pieces import round_trip
@@ -95,3 +96,27 @@ def op9_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op3_personal_data(spark: SparkSession, path: str) -> DataFrame:
     return personal_data(table(spark, path, "documents"))
+
+
+def op8_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
+    return jaccard_join(table(spark, path, "documents"))
+
+
+query(op8_jaccard_join, r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM words),
+sets AS (SELECT list_sort(g) AS g, min(doc_id) AS node, count(*) AS m FROM grams WHERE len(g) > 0 GROUP BY 1),
+flat AS (SELECT node, len(g) AS n, unnest(g) AS x FROM sets),
+hits AS (
+  SELECT a.node AS a, b.node AS b FROM flat a JOIN flat b USING (x) WHERE a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING count(*) * 9 >= 4 * (a.n + b.n)),
+reach(a, b) AS (SELECT node, node FROM sets UNION SELECT reach.a, hits.b FROM reach JOIN hits ON reach.b = hits.a),
+labels AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY 1),
+counted AS (SELECT a AS node, sum(m) AS links FROM hits JOIN sets ON hits.b = sets.node GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id,
+  CAST(coalesce(m - 1 + coalesce(links, 0), 0) AS BIGINT) AS n_links
+FROM grams LEFT JOIN sets ON list_sort(grams.g) = sets.g
+LEFT JOIN labels USING (node) LEFT JOIN counted USING (node)""")
