@@ -10,6 +10,7 @@ from cohortscan.llm.common import table
 from cohortscan.llm.jaccard import jaccard_join
 from cohortscan.llm.language import language
 from cohortscan.llm.mixing import mixed_sources
+from cohortscan.llm.nearest import search
 from cohortscan.llm.pieces import round_trip
 from cohortscan.llm.pii import personal_data
 from cohortscan.llm.quality import quality
@@ -120,3 +121,8 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id,
   CAST(coalesce(m - 1 + coalesce(links, 0), 0) AS BIGINT) AS n_links
 FROM grams LEFT JOIN sets ON list_sort(grams.g) = sets.g
 LEFT JOIN labels USING (node) LEFT JOIN counted USING (node)""")
+
+
+@query
+def op7_nearest(spark: SparkSession, path: str) -> DataFrame:
+    return search(table(spark, path, "embeddings"))
