@@ -153,7 +153,7 @@ _FOUND = "query_id long, found array<struct<less:double,vec_id:long>>"
 
 def _found(q_ids, results) -> pd.DataFrame:
     lists = [[{"less": -float(s), "vec_id": int(i)} for i, s in zip(*r)] for r in results]
-    return pd.DataFrame({"query_id": pd.Series(q_ids, dtype="int64"), "found": lists})
+    return pd.DataFrame({"query_id": pd.Series(q_ids, dtype="int64"), "found": pd.Series(lists, dtype=object)})
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:

@@ -303,9 +303,10 @@ def personal_data(documents: DataFrame) -> DataFrame:
     documents = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = spans(documents, fit(documents), "doc_id")
     every = F.array_sort(F.concat("base", "added"))
-    counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)
-    ]
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return got.select(
         "doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         written(every).alias("spans"),

@@ -32,9 +32,11 @@ FACTORS = 4
 def hashed_terms(text: Column) -> Column:
     """64-bit hashes of the distinct words and of their beginnings."""
     words = F.array_distinct(letter_words(text))
-    hashed = [F.transform(words, lambda w: F.xxhash64(w))]
-    for n in PREFIXES:
-        hashed.append(F.transform(words, lambda w, n=n: F.xxhash64(F.lit(n), F.substring(w, 1, n))))
+
+    def beginnings(n):
+        return F.transform(words, lambda w: F.xxhash64(F.lit(n), F.substring(w, 1, n)))
+
+    hashed = [F.transform(words, lambda w: F.xxhash64(w)), *map(beginnings, PREFIXES)]
     return F.array_distinct(F.flatten(F.array(*hashed)))
 
 
