@@ -175,8 +175,9 @@ def taken(rows: DataFrame, rates: DataFrame) -> DataFrame:
         (F.col("rest") - F.coalesce("under.upto", F.lit(0))).alias("more"),
         F.coalesce("open", F.lit(BUCKETS)).alias("open"),
     )
+    # One row of numbers for each of at most MAX_PATTERNS patterns: it is sent to the rows, as one may hold most of them.
     cut = checkpointed(cut)
-    edge = rows.select("pattern", "place", "size").join(cut, "pattern").where(bucket == F.col("open"))
+    edge = rows.select("pattern", "place", "size").join(F.broadcast(cut), "pattern").where(bucket == F.col("open"))
     edge = edge.groupBy("pattern", "place").agg(F.sum("size").alias("words"), F.first("more").alias("more"))
     edge = edge.withColumn("upto", F.expr(upto.format("place")))
     last = edge.where(F.col("upto") <= F.col("more")).groupBy("pattern").agg(F.max(F.struct("place", "upto")).alias("last"))
@@ -184,7 +185,7 @@ def taken(rows: DataFrame, rates: DataFrame) -> DataFrame:
     cut = cut.withColumn("gap", F.col("more") - F.coalesce("last.upto", F.lit(0)))
     within = (bucket <= F.col("closed")) | ((bucket == F.col("open")) & (F.col("place") <= F.col("last_place")))
     # What is still missing is filled by the one document whose size comes nearest to it.
-    rest = rows.select("pattern", "place", "size").join(cut, "pattern").where(~within)
+    rest = rows.select("pattern", "place", "size").join(F.broadcast(cut), "pattern").where(~within)
     rest = rest.groupBy("pattern", "place").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
     off = F.abs(F.col("words") - F.col("gap"))
     extra = rest.where(off < F.col("gap")).groupBy("pattern").agg(F.min_by("place", F.struct(off, "place")).alias("extra"))
@@ -192,7 +193,7 @@ def taken(rows: DataFrame, rates: DataFrame) -> DataFrame:
     within = within | F.coalesce(F.col("place") == F.col("extra"), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("full") + within.cast("long")).otherwise(F.lit(0)).cast("long")
     kept = [F.col(c) for c in rows.columns]
-    return rows.join(cut, "pattern").select(*kept, copies.alias("copies"))
+    return rows.join(F.broadcast(cut), "pattern").select(*kept, copies.alias("copies"))
 
 
 @dataclass
@@ -239,7 +240,7 @@ def mixed_sources(documents: DataFrame) -> DataFrame:
     done = mix(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("source")), F.array("source"))
     by_pattern = [("-" if s is None else "+" + s, done.sizes[s], done.wanted[s]) for s in done.sizes]
     goals = documents.sparkSession.createDataFrame(by_pattern, "pattern string, source_size long, target double")
-    return done.rows.join(goals, "pattern").select(
+    return done.rows.join(F.broadcast(goals), "pattern").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
