@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortscan.models.cox import cox_scan
-from cohortscan.models.design import SET
 from cohortscan.models.linear import conditional_scan, linear_scan, plain_linear_scan
 from cohortscan.models.logistic import logistic_scan
 from cohortscan.models.mixed import gee_scan, mixed_scan
 from cohortscan.models.slope import random_slope_scan
-from cohortscan.operators.bounded import join_small
 from cohortscan.schemas import PCS
 
 TIME = "YEARfDIAG"
@@ -30,8 +29,6 @@ def scan(
     extra = [c for c in PCS if c in rows.columns and c not in covariates]
     names = [*covariates, *extra]
     if manifest is not None and extra:
-        from pyspark.sql import functions as F
-
         manifest = manifest.withColumn("COV", F.array_union("COV", F.array(*[F.lit(c) for c in extra])))
     if model == "lgsbl":
         return logistic_scan(geno, rows, names, manifest, scale)
@@ -42,10 +39,8 @@ def scan(
     if model == "lnmxi":
         return mixed_scan(geno, rows, names, None, manifest, scale)
     if model == "lncns":
-        if manifest is not None:
-            planned = manifest.where("TYPE = 'lncns'").select(*SET).distinct()
-            rows = join_small(rows, planned, SET, "left_semi")
-        return conditional_scan(geno, rows, TIME, [c for c in covariates if c != TIME])
+        # Components do not vary within a subject.
+        return conditional_scan(geno, rows, TIME, [c for c in covariates if c != TIME], manifest)
     if model == "slope":
         return plain_linear_scan(geno, rows)
     if model == "lnmxs":

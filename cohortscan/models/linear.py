@@ -14,7 +14,6 @@ from cohortscan.functions.numeric import active_inverse, symmetric, t_neglog10_p
 from cohortscan.models.design import SET, join_genotypes, key_schema, prepare, result, sum_products
 from cohortscan.operators.bounded import attach_stats, join_small
 from cohortscan.operators.contrast import demean
-from cohortscan.operators.pheno import complete_cases
 from cohortscan.schemas import SCAN_KEY, VARIANT_KEY
 from cohortscan.session import checkpointed
 
@@ -89,7 +88,8 @@ def plain_linear_scan(geno: DataFrame, rows: DataFrame, model: str = "slope") ->
 
 
 def conditional_scan(
-    geno: DataFrame, rows: DataFrame, time: str = "YEARfDIAG", others: list[str] | None = None
+    geno: DataFrame, rows: DataFrame, time: str = "YEARfDIAG", others: list[str] | None = None,
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
     """Within-subject slope effect of every variant (model lncns).
 
@@ -97,11 +97,18 @@ def conditional_scan(
     dosage x time.  Per subject three kinds of sums remain (time-time,
     time-covariate, time-response); per variant they are weighted by the
     dosage and its square.  A missing dosage takes the variant's mean, added
-    afterwards from the sums over the subjects that miss it.
+    afterwards from the sums over the subjects that miss it.  Subjects without
+    any genotype row take no part.  With a manifest, only its sets are kept and
+    a covariate that it does not list for a set is held at zero there.
     """
     others = others or []
     x = [time, *others]
-    kept = complete_cases(rows, ["Y", *x]).select(*SET, "IID", *[F.col(c).cast("double").alias(c) for c in ["Y", *x]])
+    if manifest is not None:  # time is the effect itself, listed or not
+        manifest = manifest.withColumn("COV", F.array_union("COV", F.array(F.lit(time))))
+    planned = prepare(rows, x, ["Y"], manifest, "lncns", scale=False)
+    genotyped = geno.select("DATASET", "IID").distinct()
+    kept = planned.join(genotyped, ["DATASET", "IID"], "left_semi").select(
+        *SET, "IID", *[F.col(c).cast("double").alias(c) for c in ["Y", *x]])
     inner = checkpointed(demean(kept, SET + ["IID"], ["Y", *x]))
     subject = inner.groupBy(*SET, "IID").agg(
         F.sum(F.col(time) * F.col(time)).alias("_tt"),
@@ -137,7 +144,7 @@ def conditional_scan(
                 continue
             full = symmetric(np.stack(batch["_xx"].to_numpy()), k + 1)
             sx, ss = np.stack(batch["_sx"].to_numpy()), batch["_ss"].to_numpy()
-            inverse, _ = active_inverse(full[:, :k, :k])
+            inverse, used = active_inverse(full[:, :k, :k])
             xy = full[:, :k, k]
             project = np.einsum("vij,vj->vi", inverse, sx[:, :k])
             residual = ss - np.einsum("vi,vi->v", project, sx[:, :k])
@@ -146,7 +153,10 @@ def conditional_scan(
             ok = residual > 1e-10 * np.maximum(ss, 1e-300)
             safe = np.where(ok, residual, 1.0)
             beta = product / safe
-            sigma = (rss0 - beta * beta * safe) / (batch["N_OBS"].to_numpy() - k - 2)
+            # Covariates in use, and two more for the intercept and the effect itself.
+            df = batch["N_OBS"].to_numpy() - used.sum(axis=1) - 2
+            sigma = (rss0 - beta * beta * safe) / np.where(df > 0, df, 1)
+            ok &= df > 0
             out = batch[SCAN_KEY].copy()
             out["BETA"] = np.where(ok, beta, np.nan)
             out["SE"] = np.where(ok & (sigma > 0), np.sqrt(np.maximum(sigma, 0.0) / safe), np.nan)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortscan.functions.columns import neglog10_p, two_sided_p
 from cohortscan.functions.numeric import active_inverse, symmetric
 from cohortscan.models.design import SET, join_genotypes, key_schema, prepare, result, triangle
-from cohortscan.models.linear import NO_VARIANCE, STATUS_OK
+from cohortscan.models.linear import NO_CONVERGE, NO_VARIANCE, STATUS_OK
 from cohortscan.operators.bounded import attach_stats
 from cohortscan.schemas import SCAN_KEY
 
@@ -208,9 +208,9 @@ def mixed_scan(
 
 def gee_scan(
     geno: DataFrame, rows: DataFrame, covariates: list[str], time: str = "YEARfDIAG",
-    manifest: DataFrame | None = None, scale: bool = True, bound: float = 5.0,
+    manifest: DataFrame | None = None, scale: bool = True,
 ) -> DataFrame:
-    """Exchangeable-correlation GEE with robust errors; both dosage terms.
+    """Exchangeable-correlation GEE with robust errors; both dosage terms of every variant.
 
     The first pass gives the estimate and the moment correlation from binned
     sums.  The second adds up each subject's squared score along the two
@@ -221,7 +221,7 @@ def gee_scan(
     moments = binned_moments(geno, table, terms)
     q, tests = len(terms.names), terms.tests
     schema = key_schema(moments) + (
-        ", ALPHA double, B array<double>, W array<array<double>>, OK array<boolean>, N_OBS long, N_GROUP long"
+        ", ALPHA double, MOVED double, B array<double>, W array<array<double>>, OK array<boolean>, N_OBS long, N_GROUP long"
     )
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,6 +231,7 @@ def gee_scan(
             m = Moments(batch["BINS"], q)
             alpha = np.zeros(len(batch))
             pairs = (m.g * m.n * (m.n - 1) / 2.0).sum(axis=1)
+            moved = np.full(len(batch), np.inf)
             for _ in range(100):
                 c = alpha[:, None] / (1.0 + (m.n - 1.0) * alpha[:, None])
                 _, inverse, keep, beta, _ = m.fit(c)
@@ -240,12 +241,12 @@ def gee_scan(
                 sums = np.einsum("vi,vbij,vj->v", g, m.sums, g)
                 phi = squares / (m.count - p)
                 fresh = (sums - squares) / 2.0 / np.where(pairs > p, pairs - p, np.inf) / phi
-                moved = np.abs(fresh - alpha).max()
+                moved = np.abs(fresh - alpha)
                 alpha = fresh
-                if moved < 1e-12:
+                if moved.max() < 1e-12:
                     break
             out = batch[SCAN_KEY].copy()
-            out["ALPHA"], out["B"] = alpha, list(beta)
+            out["ALPHA"], out["B"], out["MOVED"] = alpha, list(beta), moved
             out["W"] = [[row[j].tolist() for j in tests.values()] for row in inverse]
             out["OK"] = [[bool(row[j]) for j in tests.values()] for row in keep]
             out["N_OBS"], out["N_GROUP"] = batch["N_OBS"], batch["N_GROUP"]
@@ -284,10 +285,11 @@ def gee_scan(
     rows_out = F.array(*[
         F.struct(
             F.lit(term).alias("TERM"), b[j].alias("BETA"), F.sqrt(f"_v{k}").alias("SE"),
-            F.when(F.get("OK", F.lit(k)), STATUS_OK).otherwise(NO_VARIANCE).alias("STATUS"),
+            F.when(~F.get("OK", F.lit(k)), NO_VARIANCE).when(F.col("MOVED") < 1e-9, STATUS_OK)
+            .otherwise(NO_CONVERGE).alias("STATUS"),
         )
         for k, (term, j) in enumerate(tests.items())
     ])
-    fits = both.select(*SCAN_KEY, "N_OBS", "N_GROUP", F.inline(rows_out)).where(F.abs("BETA") < bound)
+    fits = both.select(*SCAN_KEY, "N_OBS", "N_GROUP", F.inline(rows_out))
     models = {"snp": "lnmxs_intcp", "snp:time": "lnmxs"}
     return _explode_terms(fits, models, F.try_divide(F.col("BETA"), F.col("SE")))

@@ -38,25 +38,39 @@ def join_info(assoc: DataFrame, info: DataFrame, on: list[str], how: str = "inne
 
 
 def to_minor_allele(assoc: DataFrame) -> DataFrame:
-    """Orient every row to the minor allele: allele pair, effect sign, frequency."""
-    keep = F.col("ALT_FRQ") <= 0.5
+    """Orient every row to the minor allele: allele pair, effect sign, frequency.
+
+    Which allele is the minor one is unknown without a frequency, so all four
+    are NULL there.
+    """
+    keep, swap = F.col("ALT_FRQ") <= 0.5, F.col("ALT_FRQ") > 0.5
     return assoc.select(
         *[c for c in assoc.columns if c not in ("A1", "A2", "BETA", "ALT_FRQ")],
-        F.when(keep, F.col("A1")).otherwise(F.col("A2")).alias("MINOR_ALLELE"),
-        F.when(keep, F.col("A2")).otherwise(F.col("A1")).alias("MAJOR_ALLELE"),
-        F.when(keep, F.col("BETA")).otherwise(-F.col("BETA")).alias("BETA"),
-        F.when(keep, F.col("ALT_FRQ")).otherwise(F.lit(1.0) - F.col("ALT_FRQ")).alias("MAF"),
+        F.when(keep, F.col("A1")).when(swap, F.col("A2")).alias("MINOR_ALLELE"),
+        F.when(keep, F.col("A2")).when(swap, F.col("A1")).alias("MAJOR_ALLELE"),
+        F.when(keep, F.col("BETA")).when(swap, -F.col("BETA")).alias("BETA"),
+        F.when(keep, F.col("ALT_FRQ")).when(swap, F.lit(1.0) - F.col("ALT_FRQ")).alias("MAF"),
     )
 
 
 def fold_models(assoc: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
-    """Relabel models so that single-visit cohorts pool with the intercept model."""
+    """Relabel models so that single-visit cohorts pool with the intercept model.
+
+    A cohort enters the pooled term once: where it has rows of the intercept
+    term itself, its rows of a model that would be relabelled to it are left
+    out, and of several such models the first in ``renames`` is taken.
+    """
     # Models that are pooled under the intercept term.
     renames = renames or {"lnmxi": "lnmxs_intcp", "lnsgl": "lnmxs_intcp"}
-    folded = F.col("MODEL")
+    source = [n for n in ("DATASET", "OUTCOME") if n in assoc.columns]
+    order = {old: 1 + i for i, old in enumerate(renames)}
+    folded, rank = F.col("MODEL"), F.lit(0)
     for old, new in renames.items():
         folded = F.when(F.col("MODEL") == old, F.lit(new)).otherwise(folded)
-    return assoc.withColumn("MODEL", folded)
+        rank = F.when(F.col("MODEL") == old, F.lit(order[old])).otherwise(rank)
+    named = assoc.withColumns({"_fold": rank, "MODEL": folded})
+    first = named.groupBy(*source, "MODEL").agg(F.min("_fold").alias("_first"))
+    return named.join(first, [*source, "MODEL"]).where("_fold = _first").select(*assoc.columns)
 
 
 def swap_alleles(assoc: DataFrame) -> DataFrame:

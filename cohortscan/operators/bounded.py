@@ -1,35 +1,23 @@
-"""Joining per-group statistics back without a hot-key shuffle.
+"""Joining per-group statistics back without a hot-key window.
 
 A cohort or an outcome can own a third of all rows, so ``Window.partitionBy``
 on such a key would put that third on one task.  Statistics are aggregated
-with map-side combine instead and joined back: by broadcast when a bounded
-look shows they are small, by a salted join otherwise.
+with map-side combine instead and joined back by a plain join: adaptive
+execution sends the statistics to the rows when they turn out small and splits
+the partitions of hot keys otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 20_000
 SALTS = 64
 
 
-def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> list[Row] | None:
-    """All rows when there are at most ``max_rows``, else None."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
-def join_small(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = SMALL_ROWS
-) -> DataFrame:
-    """Join a table that is expected to be small, after checking that it is."""
-    rows = small_rows(small, max_rows)
-    if rows is not None:
-        local = big.sparkSession.createDataFrame(rows, small.schema)
-        return big.join(F.broadcast(local), on, how)
-    return salted_join(big, small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a table that is expected to be small; right at any size."""
+    return big.join(small, on, how)
 
 
 def salted_join(
@@ -52,11 +40,3 @@ def attach_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFr
     """Add group aggregates as columns (a skew-safe unordered window)."""
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
     return join_small(df, stats, keys, "inner")
-
-
-def distinct_values(df: DataFrame, column: str, max_rows: int = SMALL_ROWS) -> list:
-    """Sorted distinct values of a column that names few things."""
-    rows = small_rows(df.select(column).where(F.col(column).isNotNull()).distinct(), max_rows)
-    if rows is None:
-        raise ValueError(f"{column} has more than {max_rows} distinct values")
-    return sorted(r[0] for r in rows)

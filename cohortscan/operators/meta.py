@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import CHI2_MEDIAN, chi2_sf, neglog10_p, two_sided_p
-from cohortscan.operators.bounded import distinct_values, join_small, small_rows
+from cohortscan.operators.bounded import join_small
 from cohortscan.operators.ordered import exact_median
 
 TEST = ["MODEL", "OUTCOME"]
@@ -38,39 +38,23 @@ def align_alleles(assoc: DataFrame) -> DataFrame:
     return assoc.withColumns(out)
 
 
-def _signs(cohorts: list[str]) -> Column:
-    """Sign of each cohort's effect; fixed-width values keep the aggregate hashed."""
-    sign = F.signum("BETA")
-    return F.array(*[F.max(F.when(F.col("DATASET") == d, sign)) for d in cohorts])
-
-
-def _direction(cohorts: list[str], members: Column | None) -> Column:
+def _direction(members: Column) -> Column:
     """One character per cohort of the test: + - 0, or ? where it has no result."""
-    places = F.create_map(*[x for i, d in enumerate(cohorts) for x in (F.lit(d), F.lit(i))])
-
-    def character(sign: Column) -> Column:
+    def character(cohort: Column) -> Column:
+        own = F.filter("_signs", lambda x: x["DATASET"] == cohort)
+        sign = F.array_max(F.transform(own, lambda x: x["sign"]))
         return F.when(sign > 0, "+").when(sign < 0, "-").when(sign == 0, "0").otherwise("?")
 
-    if members is None:
-        return F.array_join(F.transform("_signs", character), "")
-    return F.array_join(F.transform(members, lambda d: character(F.get("_signs", F.element_at(places, d)))), "")
-
-
-def _members(named: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    """(by..., _cohorts) with the sorted cohorts of each test, and all cohort names."""
-    lists = named.groupBy(*by).agg(F.sort_array(F.collect_list("DATASET")).alias("_cohorts"))
-    rows = small_rows(lists)
-    if rows is None:  # very many tests: leave the lists distributed
-        return lists, distinct_values(named, "DATASET")
-    local = named.sparkSession.createDataFrame(rows, lists.schema)
-    return F.broadcast(local), sorted({d for r in rows for d in r["_cohorts"]})
+    return F.array_join(F.transform(members, character), "")
 
 
 def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False) -> DataFrame:
     """Pool (by..., DATASET, POS, A1, A2, BETA, SE[, ALT_FRQ]) over DATASET.
 
-    One shuffle: every output is a function of sums that combine map-side, so a
-    marker or a cohort of any size is spread over the input partitions.
+    Every output is a function of sums that combine map-side and of the signs
+    of a marker's cohorts.  A cohort counts once for a marker of a test: choose
+    one result for each before pooling (``fold_models``); ``repeated_inputs``
+    lists those that have several.
     """
     by = TEST if by is None else by
     usable = assoc.where(F.col("BETA").isNotNull() & (F.col("SE") > 0))
@@ -80,9 +64,8 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
     has_frequency = "ALT_FRQ" in assoc.columns
     f = F.col("ALT_FRQ") if has_frequency else F.lit(None).cast("double")
 
-    # Which cohorts take part in which test: few rows, looked at once.
-    named = aligned.select(*by, "DATASET").distinct()
-    members, cohorts = _members(named, by)
+    # The cohorts that take part in each test, in alphabetic order.
+    members = aligned.groupBy(*by).agg(F.array_sort(F.collect_set("DATASET")).alias("_cohorts"))
     w, b = F.col("_w"), F.col("BETA")
     sums = aligned.groupBy(*by, "POS", "Allele1", "Allele2").agg(
         F.sum(w).alias("_sw"),
@@ -94,16 +77,15 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
         F.sum(w * f * f).alias("_swff"),
         F.min(f).alias("MinFreq"),
         F.max(f).alias("MaxFreq"),
-        _signs(cohorts).alias("_signs"),
+        F.collect_list(F.struct("DATASET", F.signum("BETA").alias("sign"))).alias("_signs"),
     )
     effect = F.col("_swb") / F.col("_sw")
     freq = F.col("_swf") / F.col("_swk")
     df = F.col("_k") - F.lit(1)
     spread = F.col("_swbb") - F.col("_swb") * F.col("_swb") / F.col("_sw")
     q = F.when(df > 0, F.greatest(spread, F.lit(0.0))).otherwise(F.lit(0.0))
-    if by:
-        sums = sums.join(members, by, "inner")
-    direction = _direction(cohorts, F.col("_cohorts") if by else None)
+    sums = join_small(sums, members, by, "inner") if by else sums.crossJoin(F.broadcast(members))  # one row
+    direction = _direction(F.col("_cohorts"))
     pooled = sums.select(
         *by, "POS", "Allele1", "Allele2",
         freq.alias("Freq1"),
@@ -131,6 +113,14 @@ def meta_fixed(assoc: DataFrame, by: list[str] | None = None, gc: bool = False)
     )
 
 
+def repeated_inputs(assoc: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., DATASET, POS, alleles, N) that a pooling would count more than once."""
+    by = TEST if by is None else by
+    usable = align_alleles(assoc.where(F.col("BETA").isNotNull() & (F.col("SE") > 0)))
+    keys = [*by, "DATASET", "POS", "Allele1", "Allele2"]
+    return usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("N")).where("N > 1")
+
+
 def cohort_counts(manifest: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number of cohorts planned per test and its integer half.
 

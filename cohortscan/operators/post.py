@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortscan.functions.columns import (
     CHI2_MEDIAN, base_pair, chi2_1_upper_quantile, chromosome, neglog10, variant_label,
 )
-from cohortscan.operators.bounded import attach_stats, distinct_values, join_small
+from cohortscan.operators.bounded import attach_stats, join_small
 from cohortscan.operators.meta import TEST
 from cohortscan.operators.ordered import exact_median, global_rank
 from cohortscan.session import checkpointed
@@ -70,14 +70,14 @@ def without_tests(meta: DataFrame, *fragments: str) -> DataFrame:
 def crosstab(meta: DataFrame, tests: list[str] | None = None) -> DataFrame:
     """POS x OUTCOME_MODEL table of -log10 P, columns in alphabetic order.
 
-    One aggregate replaces a chain of full joins.
+    One aggregate replaces a chain of full joins.  Columns are a stated list
+    of tests; without one the table stays long (POS, TEST, NEGLOG10P), which
+    holds any number of tests.
     """
     long = meta.select("POS", test_name().alias("TEST"), "NEGLOG10P")
-    if not tests:
-        long = checkpointed(long)
-        tests = distinct_values(long, "TEST", 2_000)
-    tests = sorted(tests)
-    return long.groupBy("POS").pivot("TEST", tests).agg(F.max("NEGLOG10P"))
+    if tests is None:
+        return long.groupBy("POS", "TEST").agg(F.max("NEGLOG10P").alias("NEGLOG10P"))
+    return long.groupBy("POS").pivot("TEST", sorted(tests)).agg(F.max("NEGLOG10P"))
 
 
 def test_counts(meta_long: DataFrame) -> DataFrame:

@@ -204,6 +204,31 @@ def fold_single_visit(spark, path):
     return round_columns(folded.select("MODEL", "OUTCOME", "DATASET", "POS", "BETA"), ["BETA"])
 
 
+@query("fold_one_source_per_cohort", sql_with("assoc_tests", f"""SELECT 'lnmxs_intcp' AS MODEL, OUTCOME, DATASET, POS,
+ {rnd("CASE WHEN DATASET = 'S0' THEN 3 * BETA ELSE BETA END")} AS BETA FROM assoc_tests WHERE MODEL = 'lnmxs'"""))
+def fold_one_source_per_cohort(spark, path):
+    """Three models offer the pooled term; each cohort gives one of them."""
+    t = Tables(spark, path).assoc_tests().where(F.col("MODEL") == "lnmxs")
+    own = t.where(F.col("DATASET") == "S0").withColumns({"MODEL": F.lit("lnmxs_intcp"), "BETA": 3 * F.col("BETA")})
+    single = t.withColumns({"MODEL": F.lit("lnsgl"), "BETA": 2 * F.col("BETA")})
+    folded = A.fold_models(own.unionByName(single).unionByName(t.withColumn("MODEL", F.lit("lnmxi"))))
+    return round_columns(folded.select("MODEL", "OUTCOME", "DATASET", "POS", "BETA"), ["BETA"])
+
+
+@query("harmonise_left_join", sql_with("assoc info", f"""SELECT DATASET, POS,
+ CASE WHEN f <= 0.5 THEN A1 WHEN f > 0.5 THEN A2 END AS MINOR_ALLELE, CASE WHEN f <= 0.5 THEN A2 WHEN f > 0.5 THEN A1 END AS MAJOR_ALLELE,
+ {rnd('CASE WHEN f <= 0.5 THEN BETA WHEN f > 0.5 THEN -BETA END')} AS BETA, {rnd('SE')} AS SE,
+ {rnd('CASE WHEN f <= 0.5 THEN f WHEN f > 0.5 THEN 1 - f END')} AS MAF FROM (SELECT a.DATASET, a.POS, a.A1, a.A2, a.BETA, a.SE, i.ALT_FRQ AS f
+ FROM assoc a LEFT JOIN (SELECT SNP, A1, ALT_FRQ FROM info WHERE RSQ >= 0.5) i ON a.POS = i.SNP AND a.A1 = i.A1)"""))
+def harmonise_left_join(spark, path):
+    """Results without a described variant keep their row, and no orientation."""
+    t = Tables(spark, path)
+    info = t.info().where(F.col("RSQ") >= 0.5).select(F.col("SNP").alias("POS"), "A1", "ALT_FRQ")
+    joined = A.join_info(t.assoc().drop("ALT_FRQ", "RSQ"), info, ["POS", "A1"], "left")
+    return round_columns(A.to_minor_allele(joined), ["BETA", "SE", "MAF"]).select(
+        "DATASET", "POS", "MINOR_ALLELE", "MAJOR_ALLELE", "BETA", "SE", "MAF")
+
+
 # --------------------------------------------------------------- post-analysis
 HIT_P = 0.005
 HIT_BAR = 2.301029995663981
@@ -265,8 +290,15 @@ def p_crosstab(spark, path):
 ) + " FROM meta WHERE MODEL <> 'lnmxs' GROUP BY POS", **meta_ctes("assoc_tests", BY)))
 def p_crosstab_subset(spark, path):
     kept = P.without_tests(pooled_tests(Tables(spark, path)), "lnmxs", "slope")
-    wide = P.crosstab(kept)
-    return round_columns(wide, [c for c in wide.columns if c != "POS"])
+    tests = [t for t in _TESTS if "lnmxs" not in t]
+    return round_columns(P.crosstab(kept, tests), tests)
+
+
+@query("p_crosstab_long", sql_with("assoc_tests", f"SELECT POS, OUTCOME || '_' || MODEL AS TEST, {rnd('max(NEGLOG10P)')} AS NEGLOG10P FROM meta GROUP BY 1, 2",
+                                   **meta_ctes("assoc_tests", BY)))
+def p_crosstab_long(spark, path):
+    """The cross-tab of any number of tests."""
+    return round_columns(P.crosstab(pooled_tests(Tables(spark, path))), ["NEGLOG10P"])
 
 
 @query("annotate", sql_with("assoc_tests annot", f"""SELECT m.MODEL, m.OUTCOME, m.POS, a.ID, a.FXNCLASS,

@@ -185,20 +185,33 @@ _DEMEANED = """SELECT DATASET, IID, YEARfDIAG - avg(YEARfDIAG) OVER w AS t, HY -
  WHERE HY IS NOT NULL WINDOW w AS (PARTITION BY DATASET, IID)"""
 
 
-@query("conditional_scan", sql_with("sv cgeno", f"""SELECT DATASET, POS, N_OBS, N_GROUP, {rnd('b', 6)} AS BETA, {rnd('se', 6)} AS SE, {rnd(nlp_sql('(b / se)'), 6)} AS NEGLOG10P FROM
+def _conditional_sql(geno: str, where: str, **extra: str) -> str:
+    return sql_with("sv cgeno", f"""SELECT DATASET, POS, N_OBS, N_GROUP, {rnd('b', 6)} AS BETA, {rnd('se', 6)} AS SE, {rnd(nlp_sql('(b / se)'), 6)} AS NEGLOG10P FROM
  (SELECT *, (sy - st * ty / tt) / (ss - st * st / tt) AS b, sqrt(((yy - ty * ty / tt) - power(sy - st * ty / tt, 2) / (ss - st * st / tt))
  / (N_OBS - 3) / (ss - st * st / tt)) AS se FROM (SELECT i.DATASET, i.POS, sum(s * s * p.pt) AS ss, sum(s * p.pt) AS st, sum(s * p.pty) AS sy, any_value(w.tt) AS tt,
  any_value(w.ty) AS ty, any_value(w.yy) AS yy, any_value(w.N_OBS) AS N_OBS, any_value(w.N_GROUP) AS N_GROUP FROM
- (SELECT DATASET, IID, POS, coalesce(DOSAGE, avg(DOSAGE) OVER (PARTITION BY DATASET, POS)) AS s FROM cgeno) i
+ (SELECT DATASET, IID, POS, coalesce(DOSAGE, avg(DOSAGE) OVER (PARTITION BY DATASET, POS)) AS s FROM {geno}) i
  JOIN (SELECT DATASET, IID, sum(t * t) AS pt, sum(t * y) AS pty FROM dm WHERE n > 1 GROUP BY 1, 2) p ON i.DATASET = p.DATASET AND i.IID = p.IID
  JOIN (SELECT DATASET, sum(t * t) AS tt, sum(t * y) AS ty, sum(y * y) AS yy, CAST(count(*) - count(DISTINCT IID) AS BIGINT) AS N_OBS,
- CAST(count(DISTINCT IID) AS BIGINT) AS N_GROUP FROM dm WHERE n > 1 GROUP BY 1) w ON i.DATASET = w.DATASET GROUP BY 1, 2))""", dm=_DEMEANED))
+ CAST(count(DISTINCT IID) AS BIGINT) AS N_GROUP FROM dm WHERE n > 1 GROUP BY 1) w ON i.DATASET = w.DATASET GROUP BY 1, 2))""", **extra, dm=_DEMEANED.replace("HY IS NOT NULL", f"HY IS NOT NULL{where}"))
+
+
+@query("conditional_scan", _conditional_sql("cgeno", ""))
 def conditional_scan(spark, path):
     t = Tables(spark, path)
     scan = linear.conditional_scan(t.cohort_geno(), visit_rows(t))
     return _brief(scan, ["N_OBS", "N_GROUP", "BETA", "SE", "NEGLOG10P"])
 
 
+@query("conditional_scan_partial_geno", _conditional_sql(
+    "pgeno", " AND IID IN (SELECT IID FROM pgeno)", pgeno="SELECT * FROM cgeno WHERE IID % 3 <> 0"))
+def conditional_scan_partial_geno(spark, path):
+    """A third of the visited subjects have no genotypes at all; they take no part."""
+    t = Tables(spark, path)
+    scan = linear.conditional_scan(t.cohort_geno().where(F.col("IID") % 3 != 0), visit_rows(t))
+    return _brief(scan, ["N_OBS", "N_GROUP", "BETA", "SE", "NEGLOG10P"])
+
+
 @query("conditional_scan_full", _conditional_full_sql())
 def conditional_scan_full(spark, path):
     t = Tables(spark, path)
@@ -379,15 +392,16 @@ _LF = "lgamma(({0}) + 1)"
 def _hwe_sql() -> str:
     lp = f"k * ln(2.0) - {_LF.format('(rare - k) / 2')} - {_LF.format('k')} - {_LF.format('(2 * called - rare - k) / 2')}"
     return sql_with("geno", f"""SELECT DATASET, POS, N0, N1, N2, {rnd('P', 6)} AS HWE_P FROM (SELECT DATASET, POS, any_value(N0) AS N0, any_value(N1) AS N1,
- any_value(N2) AS N2, sum(CASE WHEN w <= seen + 1e-9 THEN exp(w - top) ELSE 0 END) / sum(exp(w - top)) AS P FROM
+ any_value(N2) AS N2, any_value(N_MISSING) AS N_MISSING, any_value(N) AS N, sum(CASE WHEN w <= seen + 1e-9 THEN exp(w - top) ELSE 0 END) / sum(exp(w - top)) AS P FROM
  (SELECT *, max(w) OVER (PARTITION BY DATASET, POS) AS top, max(CASE WHEN k = N1 THEN w END) OVER (PARTITION BY DATASET, POS) AS seen FROM
  (SELECT *, {lp} AS w FROM (SELECT *, unnest(range(rare % 2, rare + 1, 2)) AS k FROM (SELECT *, N0 + N1 + N2 AS called,
- N1 + 2 * least(N0, N2) AS rare FROM st)))) GROUP BY 1, 2) WHERE P >= 0.00001""", st=_STATS_SQL)
+ N1 + 2 * least(N0, N2) AS rare FROM st)))) GROUP BY 1, 2) WHERE P >= 0.00001 AND N_MISSING * 20 <= N
+ AND least(N1 + 2 * N2, N1 + 2 * N0) / (2.0 * (N0 + N1 + N2)) >= 0.05""", st=_STATS_SQL)
 
 
 @query("hwe_filter", _hwe_sql())
 def hwe_filter(spark, path):
-    kept = S.array_qc(calls(Tables(spark, path)), ["DATASET", "POS"], maf=0.0, missing=1.0)
+    kept = S.array_qc(calls(Tables(spark, path)), ["DATASET", "POS"])
     return round_columns(kept.select("DATASET", "POS", "N0", "N1", "N2", "HWE_P"), ["HWE_P"], 6)
 
 

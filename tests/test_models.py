@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortscan.models import blup, cox, linear, logistic, mixed
 from tests import dense
@@ -186,6 +187,31 @@ def test_conditional(spark, study, frames):
         assert row.N_OBS == n
 
 
+def test_conditional_without_genotypes_of_some(spark, study, frames):
+    """Subjects that have no genotype row leave the sums and the counts."""
+    keep = sorted(study[0].IID.unique())[::2]
+    part = frames[0].where(frames[0].IID.isin([int(i) if str(i).isdigit() else i for i in keep]))
+    got = collected(linear.conditional_scan(part, frames[1], "YEARfDIAG", ["DOPA"]))
+    want = collected(linear.conditional_scan(part, spark.createDataFrame(study[1][study[1].IID.isin(keep)]), "YEARfDIAG", ["DOPA"]))
+    assert len(got) and np.allclose(got.BETA, want.BETA) and np.allclose(got.SE, want.SE) and (got.N_OBS == want.N_OBS).all()
+
+
+def test_conditional_ignores_constant_and_unlisted_covariates(spark, study, frames):
+    plain = collected(linear.conditional_scan(frames[0], frames[1], "YEARfDIAG"))
+    flat = collected(linear.conditional_scan(frames[0], frames[1].withColumn("K", F.lit(1.0)), "YEARfDIAG", ["K"]))
+    assert np.allclose(plain.SE, flat.SE) and np.allclose(plain.BETA, flat.BETA)
+    manifest = spark.createDataFrame([("lncns", d, "HY", []) for d in ("D0", "D1")], "TYPE string, DATASET string, OUTCOME string, COV array<string>")
+    unseen = frames[1].withColumn("K", F.lit(None).cast("double"))
+    listed = collected(linear.conditional_scan(frames[0], unseen, "YEARfDIAG", ["K"], manifest))
+    assert np.allclose(plain.SE, listed.SE) and (plain.N_OBS == listed.N_OBS).all()
+
+
+def test_gee_returns_every_variant_and_term(spark, study, frames):
+    got = mixed.gee_scan(frames[0], frames[1], COVS)
+    assert got.count() == 2 * frames[0].select("DATASET", "POS").distinct().count()
+    assert got.where("STATUS IS NULL").count() == 0
+
+
 def test_slope_blup(spark, study, frames):
     from cohortscan.operators.contrast import contrast_matrix
 

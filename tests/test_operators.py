@@ -88,13 +88,13 @@ def test_exact_median(spark):
         assert rows(ordered.exact_median(df, ["k"], F.col("v"), bins)) == want
 
 
-def test_join_small_falls_back_to_a_salted_join(spark):
+def test_join_small_equals_a_salted_join(spark):
     df = hot(spark)
     stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     near = bounded.join_small(df, stats, ["k"], "inner")
-    far = bounded.join_small(df, stats, ["k"], "inner", max_rows=3)
+    far = bounded.salted_join(df, stats, ["k"], "inner")
     assert rows(near.select("k", "id", "n")) == rows(far.select("k", "id", "n")) and near.count() == 3000
-    assert bounded.join_small(df, stats.where("k = 'hot'"), ["k"], "left_semi", max_rows=0).count() == 1000
+    assert bounded.join_small(df, stats.where("k = 'hot'"), ["k"], "left_semi").count() == 1000
     with pytest.raises(ValueError):
         bounded.salted_join(df, stats, ["k"], "full")
 
@@ -217,6 +217,24 @@ def test_harmonise_keeps_p_and_size(spark):
     assert rows(A.swap_alleles(df).select("A1", "A2").distinct()) == [("G", "A")]
 
 
+def test_unknown_frequency_has_no_orientation(spark):
+    df = assoc(spark, [("m", "o", "D0", "1:1", "A", "G", 0.4, 0.1, None)])
+    got = A.to_minor_allele(df).first()
+    assert got.BETA is None and got.MINOR_ALLELE is None and got.MAJOR_ALLELE is None and got.MAF is None
+
+
+def test_a_cohort_is_pooled_once(spark):
+    both = [(m, "o", d, "1:1", "A", "G", b, 0.1, 0.2) for d, m, b in (
+        ("D0", "lnmxs_intcp", 0.1), ("D0", "lnmxi", 0.9), ("D1", "lnmxi", 0.2), ("D1", "lnsgl", 0.9), ("D2", "lnsgl", 0.3))]
+    table = assoc(spark, both)
+    folded = A.fold_models(table)
+    assert {(r.DATASET, r.BETA) for r in folded.collect()} == {("D0", 0.1), ("D1", 0.2), ("D2", 0.3)}
+    assert meta.repeated_inputs(folded).count() == 0
+    assert meta.repeated_inputs(folded.unionByName(folded.where("DATASET = 'D0'"))).first().N == 2
+    pooled = meta.meta_fixed(folded).first()
+    assert pooled.HetDf == 2 and pooled.StdErr == pytest.approx(0.1 / 3**0.5)
+
+
 def test_tiers_and_fixed_cuts(spark):
     nlp = [(f"1:{i}", "m", "o", float(i)) for i in range(0, 9)] + [("1:0", "m", "p", None)]
     table = spark.createDataFrame(nlp, "POS string, MODEL string, OUTCOME string, NEGLOG10P double")
