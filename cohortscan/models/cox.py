@@ -2,152 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import neglog10_p, two_sided_p
-from cohortscan.functions.numeric import active_inverse, symmetric
-from cohortscan.models.design import SET, join_genotypes, key_schema, prepare, result, triangle
-from cohortscan.models.iterate import newton
+from cohortscan.models.arrays import array_scan, cox_fit
+from cohortscan.models.design import prepare, result
 from cohortscan.models.linear import NO_CONVERGE, NO_VARIANCE, STATUS_OK
-from cohortscan.schemas import SCAN_KEY
 
 MAX_STEPS = 30
 TOLERANCE = 1e-9
 
 
-def on_event_grid(table: DataFrame) -> DataFrame:
-    """Replace interval ends by positions on the grid of event times of the set.
-
-    LO and HI count the event times up to TSTART and TSTOP: the row is at risk
-    at grid points LO+1..HI.  The grid has one row per distinct day.
-    """
-    marks = F.array(
-        F.struct(F.col("TSTOP").alias("TIME"), F.col("EVENT").alias("D")),
-        F.struct(F.col("TSTART").alias("TIME"), F.lit(0).alias("D")),
-    )
-    upto = Window.partitionBy(*SET).orderBy("TIME").rowsBetween(Window.unboundedPreceding, 0)
-    grid = (
-        table.select(*SET, F.inline(marks)).groupBy(*SET, "TIME").agg(F.max("D").alias("D"))
-        .select(*SET, "TIME", F.sum("D").over(upto).cast("int").alias("AT"))
-    )
-    start = grid.select(*SET, F.col("TIME").alias("TSTART"), F.col("AT").alias("LO"))
-    stop = grid.select(*SET, F.col("TIME").alias("TSTOP"), F.col("AT").alias("HI"))
-    return table.join(start, SET + ["TSTART"]).join(stop, SET + ["TSTOP"])
-
-
 def cox_scan(
     geno: DataFrame, rows: DataFrame, covariates: list[str], manifest: DataFrame | None = None,
     scale: bool = True,
 ) -> DataFrame:
     """Surv(TSTART, TSTOP, EVENT) ~ dosage + covariates with Efron ties.
 
-    A risk-set sum at grid point j is a suffix sum: rows enter at their stop
-    position and are taken out at their start position.  So one aggregation
-    per Newton step by (variant, grid point) replaces the interval join, and
-    only grid-sized tables reach the per-variant solve.
+    A risk-set sum at an event time is a suffix sum over the rows in order of
+    their ends: rows enter at their stop and are taken out at their start, so
+    no interval join is needed.  Counts are over all intervals, including
+    those that end before any event.
     """
     table = prepare(rows, covariates, ["TSTART", "TSTOP", "EVENT"], manifest, "coxhm", scale)
-    gridded = on_event_grid(table.select(*SET, "IID", "TSTART", "TSTOP", "EVENT", *covariates))
-    joined = join_genotypes(
-        geno, gridded.where(F.col("HI") > 0).select(*SET, "IID", "LO", "HI", "EVENT", *covariates)
-    )
-    names = ["S", *covariates]
-    p = len(names)
-    values = {"S": F.col("DOSAGE"), **{c: F.col(c) for c in covariates}}
-    # Counts are over all intervals, including those that end before any event.
-    sizes_rows = join_genotypes(geno, gridded.groupBy(*SET, "IID").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("EVENT").alias("_d")
-    ))
-    start = sizes_rows.groupBy(*SCAN_KEY).agg(
-        F.sum("_n").alias("N_OBS"), F.sum("_d").cast("long").alias("N_EVENT"), F.count(F.lit(1)).alias("N_GROUP")
-    ).select(
-        *SCAN_KEY, "N_OBS", "N_EVENT", "N_GROUP", F.array_repeat(F.lit(0.0), p).alias("B"),
-        F.array_repeat(F.lit(0.0), p).alias("B0"), F.lit(None).cast("double").alias("LL"),
-        F.lit(None).cast("double").alias("SE"), F.lit(True).alias("VARIES"), F.lit(False).alias("DONE"),
+    fits = array_scan(
+        geno, table, ["TSTART", "TSTOP", "EVENT", *covariates], cox_fit(covariates, MAX_STEPS, TOLERANCE),
+        "B double, SE double, N_OBS long, N_EVENT long, N_GROUP long, VARIES boolean, DONE boolean",
     )
-    state_schema = key_schema(start) + (
-        ", N_OBS long, N_EVENT long, N_GROUP long, B array<double>, B0 array<double>, LL double, "
-        "SE double, VARIES boolean, DONE boolean"
-    )
-
-    tri = p * (p + 1) // 2
-    cuts = np.cumsum([1, 1, p, tri, 1, p, tri, p, 1])
-    width = int(cuts[-1]) + 1
-
-    def advance(grid: np.ndarray, beta: np.ndarray, last: np.ndarray, old: float) -> tuple:
-        """One Newton step of one variant from its grid of sums."""
-        at, r0, r1, r2, e0, e1, e2, z, lp, d = np.split(grid, cuts, axis=1)
-        risk0, risk1, risk2 = (np.cumsum(x[::-1], axis=0)[::-1] for x in (r0[:, 0], r1, r2))
-        deaths = d[:, 0].astype(int)
-        rows = np.flatnonzero(deaths > 0)
-        # One line per death: deaths tied at a time share its risk set less l/d of themselves.
-        line = np.repeat(rows, deaths[rows])
-        first = np.cumsum(deaths[rows]) - deaths[rows]
-        share = (np.arange(len(line)) - np.repeat(first, deaths[rows])) / deaths[line]
-        s0 = risk0[line] - share * e0[line, 0]
-        s1 = (risk1[line] - share[:, None] * e1[line]) / s0[:, None]
-        s2 = (risk2[line] - share[:, None] * e2[line]) / s0[:, None]
-        ll = float(lp.sum() - np.log(s0).sum())
-        score = z.sum(axis=0) - s1.sum(axis=0)
-        information = symmetric(s2.sum(axis=0)[None], p)[0] - s1.T @ s1
-        inverse, keep = active_inverse(information[None], 1e-9)
-        se, varies = float(np.sqrt(max(inverse[0, 0, 0], 0.0))), bool(keep[0, 0])
-        if np.isfinite(old) and ll < old - 1e-9 * abs(old):
-            return (beta + last) / 2.0, last, old, se, varies, False
-        done = ll == 0 or (np.isfinite(old) and abs(1.0 - old / ll) < TOLERANCE)
-        return beta + inverse[0] @ score, beta, ll, se, varies, bool(done)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            steps = [
-                advance(np.asarray(g).reshape(-1, width), np.asarray(b), np.asarray(b0), float("nan") if ll is None else float(ll))
-                for g, b, b0, ll in zip(batch["GRID"], batch["B"], batch["B0"], batch["LL"])
-            ]
-            out = batch[SCAN_KEY + ["N_OBS", "N_EVENT", "N_GROUP"]].copy()
-            for i, c in enumerate(["B", "B0", "LL", "SE", "VARIES", "DONE"]):
-                out[c] = [s[i] for s in steps]
-            yield out
-
-    def step(placed: DataFrame, state: DataFrame) -> DataFrame:
-        current = state.select(*SCAN_KEY, "B").hint("shuffle_hash")
-        lp = sum((F.get("B", F.lit(i)) * values[n] for i, n in enumerate(names)), F.lit(0.0))
-        fitted = placed.join(current, SCAN_KEY).withColumn("_lp", lp).withColumn("_r", F.exp(F.col("_lp")))
-        ends = F.array(
-            F.struct(F.col("HI").alias("AT"), F.lit(1.0).alias("SIGN"), F.col("EVENT").cast("double").alias("D")),
-            F.struct(F.col("LO").alias("AT"), F.lit(-1.0).alias("SIGN"), F.lit(0.0).alias("D")),
-        )
-        spread = fitted.select(*SCAN_KEY, "DOSAGE", *covariates, "_lp", "_r", F.inline(ends)).where(F.col("AT") > 0)
-        enter, event = F.col("SIGN") * F.col("_r"), F.col("D") * F.col("_r")
-        def each(w: Column) -> list[Column]:
-            return [F.sum(w * values[n]) for n in names]
-
-        def pairs(w: Column) -> list[Column]:
-            return [F.sum(w * values[a] * values[b]) for a, b in triangle(names)]
-
-        row = [
-            F.col("AT").cast("double"), F.sum(enter), *each(enter), *pairs(enter), F.sum(event), *each(event),
-            *pairs(event), *each(F.col("D")), F.sum(F.col("D") * F.col("_lp")), F.sum("D"),
-        ]
-        sums = spread.groupBy(*SCAN_KEY, "AT").agg(F.array(*row).alias("V"))
-        # One entry per distinct event day of the set.
-        grids = sums.groupBy(*SCAN_KEY).agg(F.array_sort(F.collect_list(F.struct("AT", "V"))).alias("_g"))
-        flat = grids.select(*SCAN_KEY, F.flatten(F.transform("_g", lambda x: x["V"])).alias("GRID"))
-        return flat.join(state.hint("shuffle_hash"), SCAN_KEY).mapInPandas(solve, state_schema)
-
-    fits = newton(joined, start, step, MAX_STEPS)
-    beta = F.get("B0", F.lit(0))
     ok = F.col("VARIES") & F.col("DONE")
-    z = beta / F.nullif(F.col("SE"), F.lit(0.0))
+    z = F.col("B") / F.nullif(F.col("SE"), F.lit(0.0))
     return result(
         fits.withColumns(
-            {"BETA": F.when(ok, beta), "STAT": F.when(ok, z), "NEGLOG10P": F.when(ok, neglog10_p(z)),
+            {"BETA": F.when(ok, F.col("B")), "STAT": F.when(ok, z), "NEGLOG10P": F.when(ok, neglog10_p(z)),
              "P": F.when(ok, two_sided_p(z)), "TERM": F.lit("snp"),
              "STATUS": F.when(~F.col("VARIES"), NO_VARIANCE).when(ok, STATUS_OK).otherwise(NO_CONVERGE),
              "SE": F.when(ok, F.col("SE"))}

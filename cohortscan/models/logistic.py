@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import neglog10_p, two_sided_p
-from cohortscan.functions.numeric import active_inverse, symmetric
-from cohortscan.models.design import SET, join_genotypes, key_schema, prepare, result, sum_products
-from cohortscan.models.iterate import newton
+from cohortscan.models.arrays import array_scan, logistic_fit
+from cohortscan.models.design import prepare, result
 from cohortscan.models.linear import NO_CONVERGE, NO_VARIANCE, STATUS_OK
-from cohortscan.schemas import SCAN_KEY
 
 MAX_STEPS = 25
 TOLERANCE = 1e-8
@@ -28,58 +22,16 @@ def logistic_scan(
     coded = rows.where(F.col("Y") > 0)
     table = prepare(coded, covariates, ["Y"], manifest, "lgsbl", scale)
     table = table.withColumn("Y", (F.col("Y") == 2).cast("double"))
-    joined = join_genotypes(geno, table.select(*SET, "IID", "Y", *covariates))
-    names = ["1", "S", *covariates]
-    p = len(names)
-    values = {"1": F.lit(1.0), "S": F.col("DOSAGE"), **{c: F.col(c) for c in covariates}}
-    start = joined.groupBy(*SCAN_KEY).agg(
-        F.count(F.lit(1)).alias("N_OBS"), F.sum("Y").cast("long").alias("N_EVENT")
-    ).select(
-        *SCAN_KEY, "N_OBS", "N_EVENT", F.array_repeat(F.lit(0.0), p).alias("B"), F.lit(None).cast("double").alias("DEV"),
-        F.lit(None).cast("double").alias("SE"), F.lit(True).alias("VARIES"), F.lit(False).alias("DONE"),
-    )
-    schema = key_schema(start) + (
-        ", N_OBS long, N_EVENT long, B array<double>, DEV double, SE double, VARIES boolean, DONE boolean"
+    fits = array_scan(
+        geno, table, ["Y", *covariates], logistic_fit(covariates, MAX_STEPS, TOLERANCE),
+        "B double, SE double, N_OBS long, N_EVENT long, VARIES boolean, DONE boolean",
     )
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            beta, score = np.stack(batch["B"].to_numpy()), np.stack(batch["G"].to_numpy())
-            inverse, keep = active_inverse(symmetric(np.stack(batch["H"].to_numpy()), p))
-            old, new = batch["DEV"].to_numpy(dtype=float), batch["NEW_DEV"].to_numpy(dtype=float)
-            out = batch[SCAN_KEY + ["N_OBS", "N_EVENT"]].copy()
-            out["B"] = list(beta + np.einsum("vij,vj->vi", inverse, score))
-            out["DEV"], out["SE"] = new, np.sqrt(np.maximum(inverse[:, 1, 1], 0.0))
-            out["VARIES"] = keep[:, 1]
-            with np.errstate(invalid="ignore"):
-                out["DONE"] = np.abs(new - old) / (np.abs(new) + 0.1) < TOLERANCE
-            yield out
-
-    def step(placed: DataFrame, state: DataFrame) -> DataFrame:
-        current = state.select(*SCAN_KEY, "B").hint("shuffle_hash")
-        joined = placed.join(current, SCAN_KEY)
-        eta = sum((F.get("B", F.lit(i)) * values[n] for i, n in enumerate(names)), F.lit(0.0))
-        fitted = joined.withColumn("_eta", eta).withColumn("_mu", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_eta"))))
-        mu, y = F.col("_mu"), F.col("Y")
-        # log(1 + exp(eta)) without overflow
-        soft = F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta")))
-        sums = fitted.groupBy(*SCAN_KEY).agg(
-            sum_products(values, mu * (F.lit(1.0) - mu)).alias("H"),
-            F.array(*[F.sum(values[n] * (y - mu)) for n in names]).alias("G"),
-            (F.lit(2.0) * F.sum(soft - y * F.col("_eta"))).alias("NEW_DEV"),
-        )
-        return sums.join(state.hint("shuffle_hash"), SCAN_KEY).mapInPandas(solve, schema)
-
-    fits = newton(joined, start, step, MAX_STEPS)
-    beta = F.get("B", F.lit(1))
     # Events and non-events are both needed; all-or-nothing outcomes run off to infinity.
     ok = F.col("VARIES") & F.col("DONE")
-    z = beta / F.nullif(F.col("SE"), F.lit(0.0))
+    z = F.col("B") / F.nullif(F.col("SE"), F.lit(0.0))
     return result(
         fits.withColumns(
-            {"BETA": F.when(ok, beta), "STAT": F.when(ok, z), "NEGLOG10P": F.when(ok, neglog10_p(z)),
+            {"BETA": F.when(ok, F.col("B")), "STAT": F.when(ok, z), "NEGLOG10P": F.when(ok, neglog10_p(z)),
              "P": F.when(ok, two_sided_p(z)), "TERM": F.lit("snp"), "N_GROUP": F.col("N_OBS"),
              "STATUS": F.when(~F.col("VARIES"), NO_VARIANCE).when(ok, STATUS_OK).otherwise(NO_CONVERGE),
              "SE": F.when(ok, F.col("SE"))}
