@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortscan.models.api import scan
 from cohortscan.operators import assoc as A
 from cohortscan.operators import ids as I
 from cohortscan.operators import manifest as M
@@ -14,6 +16,7 @@ from cohortscan.operators import meta as P
 from cohortscan.operators import pheno as B
 from cohortscan.operators import post as Q
 from cohortscan.operators import survival as V
+from cohortscan.schemas import TIME_VARYING
 from cohortscan.session import checkpointed
 
 
@@ -32,7 +35,15 @@ def prepare_phenotypes(
     covariates: list[str], rules: I.CohortRules | None = None,
 ) -> Prepared:
     """All per-model tables of all cohorts from one joined visit table."""
-    visits = checkpointed(I.join_phenotypes(ids, pheno))
+    return prepare_visits(I.join_phenotypes(ids, pheno), components, binary, continuous, covariates, rules)
+
+
+def prepare_visits(
+    visits: DataFrame, components: DataFrame, binary: list[str], continuous: list[str], covariates: list[str],
+    rules: I.CohortRules | None = None,
+) -> Prepared:
+    """The same from visits (DATASET, IID, TSTART, outcomes, covariates) that are joined already."""
+    visits = checkpointed(visits)
     if "SEADL" in visits.columns and "SEADL70" not in visits.columns:
         visits = B.derive_seadl70(visits)
     baseline, first = B.build_baseline(visits, components, binary, covariates, rules)
@@ -43,6 +54,25 @@ def prepare_phenotypes(
     return Prepared(baseline, longitudinal, B.attach_components(survival, components), manifest)
 
 
+def run_manifest(geno: DataFrame, prepared: Prepared, covariates: list[str]) -> DataFrame:
+    """Every model of every manifest row over all variants, with a STATUS for each.
+
+    Each model is one scan over all its (DATASET, OUTCOME) sets; covariates
+    that the manifest does not list for a set are left out there, and
+    components in the tables always take part.
+    """
+    manifest = checkpointed(prepared.manifest)
+    over_time = B.time_covariate(covariates)
+    within = [c for c in over_time if c in TIME_VARYING]
+    kind = F.col("KIND")
+    single, visits = (prepared.longitudinal.where(kind == k).drop("KIND") for k in ("single", "longitudinal"))
+    runs = [
+        ("lgsbl", prepared.baseline, covariates), ("lnsgl", single, over_time), ("lnmxi", visits, over_time),
+        ("lnmxs", visits, over_time), ("lncns", visits, within), ("coxhm", prepared.survival, covariates),
+    ]
+    return reduce(DataFrame.unionByName, [scan(m, geno, rows, names, manifest) for m, rows, names in runs])
+
+
 def combine_results(results: DataFrame, info: DataFrame | None = None) -> DataFrame:
     """Scan output ready for pooling: fitted, bounded, described, models folded."""
     usable = A.keep_bounded_effects(A.drop_failed(results.where(F.col("STATUS") == "OK")))

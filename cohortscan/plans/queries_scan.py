@@ -475,3 +475,41 @@ def mixed_slope_scan(spark, path):
 
     t = Tables(spark, path)
     return _shown(slope.random_slope_scan(t.cohort_geno(), visit_rows(t), ["AAO", "YEARfDIAG"]), 4)
+
+
+# ------------------------------------------------------------------ whole study
+BINARY, CONTINUOUS, STUDY_COVARIATES = ["CONST", "SLEEP"], ["HY"], ["FEMALE", "YEARSEDUC", "AAO", "BLDfDIAG", "DOPA"]
+
+
+def study(t: Tables):
+    """Model tables of the whole study, with five components of each subject."""
+    from cohortscan.plans import lifecycle
+
+    components = t.read("embeddings").select(
+        F.concat(F.lit("D"), (F.col("vec_id") % 5).cast("string")).alias("DATASET"), F.col("vec_id").alias("IID"),
+        *[F.get(F.reverse("embedding"), F.lit(i)).cast("double").alias(f"PC{i + 1}") for i in range(5)],
+    )
+    return lifecycle.prepare_visits(t.subject_visits(), components, BINARY, CONTINUOUS, STUDY_COVARIATES)
+
+
+@query("manifest_to_tiers")
+def manifest_to_tiers(spark, path):
+    """Phenotypes to graded cells: all models of the manifest, pooled over cohorts."""
+    from cohortscan.plans import lifecycle
+
+    t = Tables(spark, path)
+    prepared = study(t)
+    results = checkpointed(lifecycle.run_manifest(t.cohort_geno(), prepared, STUDY_COVARIATES))
+    graded = lifecycle.grade(lifecycle.combine_results(results), prepared.manifest)
+    return round_columns(graded.select("MODEL", "OUTCOME", "POS", "Effect", "StdErr", "NEGLOG10P", "HetDf", "TIER"),
+                         ["Effect", "StdErr", "NEGLOG10P"], 4)
+
+
+@query("manifest_status")
+def manifest_status(spark, path):
+    """Results of the manifest's models by set and status."""
+    from cohortscan.plans import lifecycle
+
+    t = Tables(spark, path)
+    results = lifecycle.run_manifest(t.cohort_geno(), study(t), STUDY_COVARIATES)
+    return results.groupBy("MODEL", "DATASET", "OUTCOME", "TERM", "STATUS").agg(F.count(F.lit(1)).alias("N"))
