@@ -16,6 +16,7 @@ symbol to the vocabulary, so that mark decodes to a space.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import os
 import re
@@ -30,7 +31,7 @@ from cohortscan.llm.common import pick, small_batches
 
 MARK = "▁"
 #: Segments kept by a task between batches; the store starts anew when it is full.
-KNOWN = 800_000
+KNOWN = 300_000
 #: A run of signs and digits, a line end, or a run of anything else, each with the marks before it.
 SIGNS = r"!-@\[-`{-~\r¡-©«-´¶-¹»-¿‐-⁞"
 SEGMENT = re.compile(rf"{MARK}*(?:[{SIGNS}]+|\n|[^{SIGNS}\n{MARK}]+)|{MARK}+")
@@ -212,9 +213,24 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
     return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
 
 
-def round_trip(documents: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    return decoded(encoded(documents, model), model).select(
-        "doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+def round_trip(documents: DataFrame, model: str, check: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document.
+
+    Encodes and decodes in one pass, so that a task holds one Python worker.
+    """
+    documents = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(documents.sparkSession)
+    held = _sent(documents.sparkSession, model)
+
+    def run(batches):
+        v = vocabulary(held.value)
+        for b in batches:
+            ids = v.encode_batch(b.column("text").to_pylist(), check)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                 pa.array([hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids], pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return documents.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
