@@ -10,12 +10,24 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Chebyshev coefficients of the complementary error function
-# (Numerical Recipes, erfcc), constant term first.
-ERFC_COEFFICIENTS = [
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-]
+# Cody's rational approximations of the error function (public
+# domain), highest power first: near zero, up to four, and beyond.
+ERF_NEAR = (
+    [1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3],
+    [1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3],
+)
+ERFC_MIDDLE = (
+    [2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+     8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3],
+    [1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+     3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3],
+)
+ERFC_FAR = (
+    [1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1,
+     1.60837851487422766e-2, 6.58749161529837803e-4],
+    [1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2,
+     2.33520497626869185e-3],
+)
 
 # Acklam's rational approximation of the normal quantile.
 QUANTILE_A = [
@@ -46,10 +58,17 @@ def _horner(x: Column, coefficients: list[float]) -> Column:
     return acc
 
 
+def _ratio(x: Column, parts: tuple[list[float], list[float]]) -> Column:
+    return _horner(x, parts[0]) / _horner(x, parts[1])
+
+
 def log_erfc(x: Column) -> Column:
-    """Natural log of erfc(x) for x >= 0; finite however large x gets."""
-    t = F.lit(1.0) / (F.lit(1.0) + x * F.lit(0.5))
-    return F.log(t) - x * x + _horner(t, ERFC_COEFFICIENTS[::-1])
+    """Natural log of erfc(x) for x >= 0, to about 13 digits of erfc; finite however large x gets."""
+    square = x * x
+    over = F.lit(1.0) / F.greatest(square, F.lit(1.0))
+    near = F.log(F.lit(1.0) - x * _ratio(square, ERF_NEAR))
+    far = F.log(F.lit(1.0 / math.sqrt(math.pi)) - over * _ratio(over, ERFC_FAR)) - F.log(x)
+    return F.when(x <= 0.46875, near).when(x <= 4.0, F.log(_ratio(x, ERFC_MIDDLE)) - square).otherwise(far - square)
 
 
 def neglog10_p(z: Column) -> Column:
@@ -62,7 +81,7 @@ def two_sided_p(z: Column) -> Column:
 
 
 def neglog10(p: Column) -> Column:
-    """-log10 of a stored P; P = 0 becomes infinite as in the source pipeline."""
+    """-log10 of a stored P; infinite for P = 0, where only the statistic tells more (``with_neglog10p``)."""
     return F.when(p > 0, -F.log10(p)).when(p == 0, F.lit(float("inf")))
 
 
@@ -82,8 +101,13 @@ def normal_quantile(p: Column) -> Column:
 
 
 def chi2_1_upper_quantile(p: Column) -> Column:
-    """x with P(chi-square, 1 df > x) = p."""
-    z = normal_quantile(p * F.lit(0.5))
+    """x with P(chi-square, 1 df > x) = p.
+
+    The approximate normal quantile is refined by a Newton step on the exact tail.
+    """
+    z = F.abs(normal_quantile(p * F.lit(0.5)))
+    density = F.exp(z * z * F.lit(-0.5)) / F.lit(math.sqrt(2.0 * math.pi))
+    z = z + (two_sided_p(z) - p) * F.lit(0.5) / density
     return z * z
 
 

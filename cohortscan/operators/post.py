@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import (
-    CHI2_MEDIAN, base_pair, chi2_1_upper_quantile, chromosome, neglog10, variant_label,
+    CHI2_MEDIAN, base_pair, chi2_1_upper_quantile, chromosome, neglog10, neglog10_p, variant_label,
 )
 from cohortscan.operators.bounded import attach_stats, join_small
 from cohortscan.operators.meta import TEST
@@ -217,5 +217,13 @@ def plot_bound(meta: DataFrame, by: list[str] | None = None, least: float = 10.0
 
 
 def with_neglog10p(table: DataFrame, p: str = "P") -> DataFrame:
-    """-log10 P for tables that only carry P."""
-    return table.withColumn("NEGLOG10P", neglog10(F.col(p)))
+    """-log10 P of tables that only carry P.
+
+    A P that was stored as 0 follows from Effect and StdErr where both are
+    there, so that the result stays finite.
+    """
+    stored = neglog10(F.col(p))
+    if {"Effect", "StdErr"} <= set(table.columns):
+        z = F.try_divide(F.col("Effect"), F.col("StdErr"))
+        stored = F.when((F.col(p) == 0) & z.isNotNull(), neglog10_p(z)).otherwise(stored)
+    return table.withColumn("NEGLOG10P", stored)

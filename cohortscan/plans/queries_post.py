@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import (
-    CHI2_MEDIAN, QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D, QUANTILE_LOW, neglog10_p, rounded,
+    CHI2_MEDIAN, neglog10_p, rounded,
     two_sided_p,
 )
 from cohortscan.operators import assoc as A
@@ -56,7 +56,7 @@ def chi2_sf_sql(x: str, df: str, most: int = 13) -> str:
                 f"WHEN {d} THEN exp({log_erfc_sql(f'sqrt(({x}) / 2)')}) + "
                 f"sqrt(2 * ({x}) / pi()) * exp(-({x}) / 2) * ({' + '.join(terms)})"
             )
-    return f"(CASE {df} {' '.join(cases)} ELSE 1.0 END)"
+    return f"(CASE {df} {' '.join(cases)} END)"
 
 
 def meta_ctes(source: str, by: list[str]) -> dict[str, str]:
@@ -384,21 +384,11 @@ def manhattan_points(spark, path):
     return round_columns(P.manhattan_points(pooled_tests(Tables(spark, path)), max_lambda=None), ["NEGLOG10P"])
 
 
-def _poly(x: str, coefficients: list[float]) -> str:
-    acc = f"({coefficients[0]!r}::DOUBLE)"
-    for c in coefficients[1:]:
-        acc = f"({acc} * {x} + ({c!r}::DOUBLE))"
-    return acc
-
-
 def quantile_sql(p: str) -> str:
-    q, tail = f"({p} - 0.5)", f"least({p}, 1 - {p})"
-    r, u = f"({q} * {q})", f"sqrt(-2 * ln({tail}))"
-    edge = f"{_poly(u, QUANTILE_C)} / ({_poly(u, QUANTILE_D)} * {u} + 1)"
-    return (
-        f"(CASE WHEN {tail} >= {QUANTILE_LOW} THEN {_poly(r, QUANTILE_A)} * {q} / ({_poly(r, QUANTILE_B)} * {r} + 1) "
-        f"WHEN {p} < 0.5 THEN {edge} ELSE -({edge}) END)"
-    )
+    """Upper normal quantile of p < 0.5 by Newton steps from 0, which never overshoot on a convex tail."""
+    tail = f"0.5 * exp({log_erfc_sql('(z / sqrt(2.0::DOUBLE))')})"
+    return f"""list_reduce(list_transform(range(0, 40), lambda k: 0.0::DOUBLE),
+ lambda z, k: z + ({tail} - {p}) * sqrt(2 * pi()) * exp(z * z / 2))"""
 
 
 @query("lambda_gc", sql_with("assoc_tests", f"""SELECT MODEL, OUTCOME, N_VARIANTS, {rnd('MEDIAN_P')} AS MEDIAN_P,

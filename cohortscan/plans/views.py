@@ -270,13 +270,16 @@ def rnd(expr: str, digits: int = 9) -> str:
 
 
 def log_erfc_sql(x: str) -> str:
-    from cohortscan.functions.columns import ERFC_COEFFICIENTS
+    """Log of erfc by the trapezoidal rule, which is exact to rounding for its integrand.
 
-    t = f"(1.0::DOUBLE / (1.0 + ({x}) * 0.5))"
-    poly = f"({ERFC_COEFFICIENTS[-1]!r}::DOUBLE)"
-    for c in ERFC_COEFFICIENTS[-2::-1]:
-        poly = f"({poly} * {t} + ({c!r}::DOUBLE))"
-    return f"(ln({t}) - ({x}) * ({x}) + {poly})"
+    Shares nothing with the approximation of the library.  Below 0.2 the rule
+    cancels, and the power series of erf is summed instead.
+    """
+    near = f"ln(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 16), lambda k: power(-1.0::DOUBLE, k) * power({x}, 2 * k + 1) / (factorial(CAST(k AS INTEGER)) * (2 * k + 1)))))"
+    total = f"0.5 / pi() * ({x}) * (1 / power({x}, 2) + 2 * list_sum(list_transform(range(1, 26), lambda k: exp(-0.25 * k * k) / (0.25 * k * k + power({x}, 2)))))"
+    # The pole of the integrand adds a term while it lies within the strip.
+    middle = f"ln(({total}) * exp(-power({x}, 2)) + 2 / (1 - exp(4 * pi() * ({x}))))"
+    return f"(CASE WHEN {x} < 0.2 THEN {near} WHEN {x} < 4 THEN {middle} ELSE ln({total}) - power({x}, 2) END)"
 
 
 def nlp_sql(z: str) -> str:

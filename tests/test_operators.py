@@ -397,3 +397,24 @@ def test_lifecycle_from_visits_to_tiers(spark):
     results = combine_results(mixed_.unionByName(cox_))
     cells = {(r.POS, r.MODEL): r for r in grade(results).collect()}
     assert set(m for _, m in cells) == {"lnmxs_intcp", "coxhm"} and cells[("1:1", "lnmxs_intcp")].TIER == 5
+
+
+def test_tails_and_quantiles_are_exact(spark):
+    import math
+
+    from cohortscan.functions import columns as C
+
+    x = [0.0, 1e-9, 0.3, 0.46875, 0.5, 1.0, 2.0, 4.0, 4.001, 10.0, 26.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(C.log_erfc(F.col("x"))).collect()
+    assert all(math.exp(r[0]) == pytest.approx(math.erfc(v), rel=1e-12) for v, r in zip(x, got))
+    far = spark.createDataFrame([(1e4,)], "z double").select(C.neglog10_p(F.col("z"))).first()[0]
+    assert math.isfinite(far) and far > 2e7
+    p = [0.999, 0.5, 0.05, 1e-3, 1e-8]
+    back = spark.createDataFrame([(v,) for v in p], "p double").select(C.chi2_1_upper_quantile(F.col("p"))).collect()
+    assert all(math.erfc(math.sqrt(r[0] / 2)) == pytest.approx(v, rel=1e-9) for v, r in zip(p, back))
+
+
+def test_stored_zero_p_follows_from_the_statistic(spark):
+    df = spark.createDataFrame([(0.0, 4.0, 0.1), (0.01, 1.0, 1.0), (None, 1.0, 1.0)], "P double, Effect double, StdErr double")
+    got = [r.NEGLOG10P for r in post.with_neglog10p(df).collect()]
+    assert 300 < got[0] < 400 and got[1] == pytest.approx(2.0) and got[2] is None
