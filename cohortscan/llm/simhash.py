@@ -119,7 +119,8 @@ def in_order(documents: DataFrame) -> DataFrame:
     row, (next_part, next_nr) that of the row that follows.
     """
     spark = documents.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Several ranges for each partition, so that the hash of the ranges fills partitions evenly.
+    parts = 4 * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranks = ", ".join(str(i / parts) for i in range(1, parts))
     got = documents.agg(
         F.expr(f"percentile_approx(doc_id, array({ranks}), {max(10_000, 10 * parts)})").alias("cuts"),
