@@ -23,7 +23,7 @@ from cohortscan.models.linear import NO_CONVERGE, NO_VARIANCE, STATUS_OK
 from cohortscan.operators.bounded import attach_stats
 from cohortscan.schemas import SCAN_KEY
 
-LOG_THETA = np.concatenate([[-np.inf], np.linspace(np.log(1e-4), np.log(1e4), 33)])
+LOG_THETA = np.concatenate([[-np.inf], np.linspace(np.log(1e-6), np.log(1e6), 49)])
 
 
 def subject_features(table: DataFrame, covariates: list[str]) -> DataFrame:
@@ -131,8 +131,12 @@ class Moments:
         log_v = (self.g * np.log1p(theta[:, None] * self.n)).sum(axis=1)
         return (self.count - p) * np.log(rss / (self.count - p)) + log_v + np.linalg.slogdet(x)[1]
 
-    def best_theta(self) -> np.ndarray:
-        """Grid search then golden section on log theta; zero is a candidate."""
+    def best_theta(self) -> tuple[np.ndarray, np.ndarray]:
+        """Grid search then golden section on log theta; zero is a candidate.
+
+        Also whether the optimum is bracketed: a ratio at the upper end of the
+        grid is where the search stopped, not an estimate.
+        """
         v = len(self.total)
         grid = np.array([self.reml(np.full(v, np.exp(t))) for t in LOG_THETA])
         at = np.clip(grid[1:].argmin(axis=0) + 1, 1, len(LOG_THETA) - 1)
@@ -149,7 +153,7 @@ class Moments:
         bend = up - 2.0 * f0 + down
         shift = np.where(bend > 0, h * (down - up) / (2.0 * np.where(bend > 0, bend, 1.0)), 0.0)
         theta = np.exp(centre + np.clip(shift, -10.0 * h, 10.0 * h))
-        return np.where(self.reml(theta) < grid[0], theta, 0.0)
+        return np.where(self.reml(theta) < grid[0], theta, 0.0), at < len(LOG_THETA) - 1
 
 
 def _explode_terms(fits: DataFrame, model: dict[str, str], z: Column) -> DataFrame:
@@ -190,7 +194,7 @@ def mixed_scan(
             if batch.empty:
                 continue
             m = Moments(batch["BINS"], q)
-            theta = m.best_theta()
+            theta, inside = m.best_theta()
             _, inverse, keep, beta, rss = m.fit(theta[:, None] / (1.0 + theta[:, None] * m.n))
             sigma = rss / (m.count - keep.sum(axis=1))
             for term, j in tests.items():
@@ -198,7 +202,7 @@ def mixed_scan(
                 out["TERM"], out["BETA"] = term, beta[:, j]
                 out["SE"] = np.sqrt(np.maximum(sigma * inverse[:, j, j], 0.0))
                 out["N_OBS"], out["N_GROUP"] = batch["N_OBS"], batch["N_GROUP"]
-                out["STATUS"] = np.where(keep[:, j], STATUS_OK, NO_VARIANCE)
+                out["STATUS"] = np.where(keep[:, j], np.where(inside, STATUS_OK, NO_CONVERGE), NO_VARIANCE)
                 yield out
 
     fits = moments.mapInPandas(solve, schema)

@@ -118,10 +118,6 @@ def variant_stats(geno: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def array_filter(stats: DataFrame, maf: float = 0.05, missing: float = 0.05) -> DataFrame:
-    return stats.where((F.col("MAF") >= maf) & (F.col("MISSING_RATE") <= missing))
-
-
 def merge_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Stack two genotype sets; sites with more than two alleles overall drop out."""
     both = a.unionByName(b)
@@ -208,7 +204,3 @@ def by_position_first(lines: DataFrame, column: str = "value", sep: str = " ") -
         lines.groupBy(F.split_part(F.col(column), F.lit(sep), F.lit(1)).alias("POS"))
         .agg(F.min(column).alias(column))
     )
-
-
-def is_rsid(column: Column) -> Column:
-    return F.contains(column, F.lit("rs"))

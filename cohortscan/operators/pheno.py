@@ -24,10 +24,6 @@ def case_coding(df: DataFrame, outcomes: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c) + F.lit(1), F.lit(0)) for c in outcomes})
 
 
-def case_indicator(coded: Column) -> Column:
-    return (coded == 2).cast("int")
-
-
 def pedigree_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {

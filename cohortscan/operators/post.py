@@ -157,6 +157,11 @@ def byte_order(table: DataFrame) -> DataFrame:
     return table.orderBy("POS")
 
 
+def above(table: DataFrame, column: str, bar: float) -> DataFrame:
+    """Rows of an annotated table whose named number exceeds a bar; NULL does not."""
+    return table.where(F.col(column).try_cast("double") > bar)
+
+
 def split_scores(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Variant rows (``CHR:BP``) and score rows of one result table."""
     is_variant = F.col("POS").rlike("^[0-9]+:")

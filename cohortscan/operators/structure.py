@@ -343,7 +343,7 @@ def principal_components(
     rows, width = checkpointed(start), 0
     projected: dict[str, np.ndarray] = {}
     before: dict[str, np.ndarray] = {}
-    for _ in range(max_blocks):
+    while True:
         products = cross_products(rows, width)
         turns, settled = {}, width > 0
         for name, both in products.items():
@@ -362,6 +362,8 @@ def principal_components(
                 before[name] = top
         if settled:
             break
+        if width >= max_blocks * m:
+            raise RuntimeError(f"components have not settled after {max_blocks} blocks; allow more")
         space = checkpointed(rotate(rows, turns))
         width += m
         rows = checkpointed(space.join(multiply(space), sample))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import (
-    CHI2_MEDIAN, neglog10_p, rounded,
-    two_sided_p,
+    CHI2_MEDIAN, neglog10_p, pack_counts, pack_key, rounded, two_sided_p, unpack_counts, unpack_key,
 )
 from cohortscan.operators import assoc as A
+from cohortscan.operators import genotype as G
 from cohortscan.operators import meta as M
 from cohortscan.operators import post as P
 from cohortscan.plans.registry import query
@@ -229,6 +229,52 @@ def harmonise_left_join(spark, path):
         "DATASET", "POS", "MINOR_ALLELE", "MAJOR_ALLELE", "BETA", "SE", "MAF")
 
 
+@query("refine_quality", sql_with("assoc", f"SELECT DATASET, POS, {rnd('RSQ')} AS RSQ FROM assoc WHERE RSQ > 0.8"))
+def refine_quality(spark, path):
+    kept = G.refine_quality(Tables(spark, path).assoc())
+    return round_columns(kept.select("DATASET", "POS", "RSQ"), ["RSQ"])
+
+
+@query("swap_alleles", sql_with("assoc", f"SELECT DATASET, POS, A2 AS A1, A1 AS A2, {rnd('BETA')} AS BETA FROM assoc"))
+def swap_alleles(spark, path):
+    return round_columns(A.swap_alleles(Tables(spark, path).assoc()).select("DATASET", "POS", "A1", "A2", "BETA"), ["BETA"])
+
+
+@query("packed_keys", sql_with("assoc", """SELECT POS || '_' || A2 || '_' || A1 AS KEY, POS, A2, A1, CAST(count(*) AS BIGINT) AS N,
+ CAST(count(*) AS VARCHAR) || '_' || CAST(count(DISTINCT DATASET) AS VARCHAR) AS COUNTS, CAST(count(DISTINCT DATASET) AS BIGINT) AS M
+ FROM assoc GROUP BY POS, A2, A1"""))
+def packed_keys(spark, path):
+    """Keys and counts written as one text each, and read back."""
+    counted = Tables(spark, path).assoc().groupBy("POS", "A2", "A1").agg(
+        F.count(F.lit(1)).alias("_n"), F.countDistinct("DATASET").alias("_m"))
+    packed = counted.select(pack_key(F.col("POS"), F.col("A2"), F.col("A1")).alias("KEY"), pack_counts(F.col("_n"), F.col("_m")).alias("COUNTS"))
+    n, m = unpack_counts(F.col("COUNTS"))
+    return packed.select("KEY", *[c.alias(k) for k, c in unpack_key(F.col("KEY")).items()], "COUNTS", n.alias("N"), m.alias("M"))
+
+
+@query("first_line_per_position", sql_with("assoc", "SELECT POS, min(POS || ' ' || A1 || ' ' || A2 || ' ' || DATASET) AS value FROM assoc GROUP BY POS"))
+def first_line_per_position(spark, path):
+    lines = Tables(spark, path).assoc().select(F.concat_ws(" ", "POS", "A1", "A2", "DATASET").alias("value"))
+    return G.by_position_first(lines)
+
+
+@query("byte_order", sql_with("annot", "SELECT POS, ID, CAST(row_number() OVER (ORDER BY POS) AS BIGINT) AS PLACE FROM annot"))
+def byte_order(spark, path):
+    """Places in the byte order of the position text, kept through a sorted hand-out of ranges."""
+    from cohortscan.operators.ordered import global_rank
+
+    ranked = global_rank(Tables(spark, path).annot().select("POS", "ID"), [], ["POS"], "PLACE")
+    return P.byte_order(ranked).select("POS", "ID", F.col("PLACE").cast("long").alias("PLACE"))
+
+
+@query("annotated_above", sql_with("assoc_tests annot", f"""SELECT m.MODEL, m.OUTCOME, m.POS, a.ID, {rnd('m.Freq1')} AS Freq1 FROM meta m JOIN annot a
+ ON m.POS = a.POS WHERE m.Freq1 > 0.50123""", **meta_ctes("assoc_tests", BY)))
+def annotated_above(spark, path):
+    t = Tables(spark, path)
+    kept = P.above(P.annotate(pooled_tests(t), t.annot().select("POS", "ID")), "Freq1", 0.50123)
+    return round_columns(kept.select("MODEL", "OUTCOME", "POS", "ID", "Freq1"), ["Freq1"])
+
+
 # --------------------------------------------------------------- post-analysis
 HIT_P = 0.005
 HIT_BAR = 2.301029995663981

@@ -413,3 +413,29 @@ def completeness_audit(spark, path):
         "OUTCOME", F.when(F.col("DATASET") == "D7", "X").otherwise(F.col("OUTCOME"))
     )
     return M.audit_jobs(t.manifest(), done)
+
+
+@query("nan_to_null", sql_with("sv", f"""SELECT DATASET, CAST(count(*) AS BIGINT) AS N, CAST(count(HY) FILTER (WHERE HY <= 60) AS BIGINT) AS N_KNOWN,
+ {rnd('avg(HY) FILTER (WHERE HY <= 60)', 6)} AS MEAN FROM sv GROUP BY 1"""))
+def nan_to_null(spark, path):
+    """A NaN in the source is a missing value: it counts in no average."""
+    raw = Tables(spark, path).subject_visits().withColumn("HY", F.when(F.col("HY") > 60, F.lit(float("nan"))).otherwise(F.col("HY")))
+    clean = P.nan_to_null(raw, ["HY"])
+    return clean.groupBy("DATASET").agg(
+        F.count(F.lit(1)).alias("N"), F.count("HY").alias("N_KNOWN"), rounded(F.avg("HY"), 6).alias("MEAN"))
+
+
+@query("columns_by_prefix", sql_with("sv", f"SELECT DATASET, IID, TSTART, {rnd('YEARfDIAG', 6)} AS YEARfDIAG, DOPA FROM sv"))
+def columns_by_prefix(spark, path):
+    """The time-varying columns, picked by the beginnings of their names."""
+    visits = Tables(spark, path).subject_visits()
+    names = P.columns_like(visits, ["YEARfDIAG", "DOPA", "AGONIST"])
+    return round_columns(visits.select("DATASET", "IID", "TSTART", *names), ["YEARfDIAG"], 6)
+
+
+@query("time_covariates", sql_with("sv", f"""SELECT DATASET, IID, TSTART, {rnd('YEARfDIAG', 6)} AS YEARfDIAG, AAO FROM sv"""))
+def time_covariates(spark, path):
+    """Baseline years become years at the visit in models over visits."""
+    visits = Tables(spark, path).subject_visits()
+    names = P.time_covariate(["BLDfDIAG", "AAO"])
+    return round_columns(visits.select("DATASET", "IID", "TSTART", *names), ["YEARfDIAG"], 6)

@@ -416,6 +416,16 @@ def slope_scan(spark, path):
     return _brief(linear.plain_linear_scan(t.cohort_geno(), slopes), ["N_OBS", "BETA", "SE"], 2)
 
 
+@query("slopes_by_id", sql_with("sv", f"""SELECT f.DATASET, f.IID, {rnd('SLOPE', 2)} AS SLOPE FROM (SELECT DISTINCT DATASET, IID FROM sv) f
+ LEFT JOIN bl ON f.DATASET = bl.DATASET AND f.IID = bl.IID""", **_blup_ctes()))
+def slopes_by_id(spark, path):
+    """Predicted slopes joined to all subjects; those without a prediction stay, with NULL."""
+    t = Tables(spark, path)
+    slopes = blup.slope_blup(visit_rows(t), "YEARfDIAG", ["DOPA"]).select("DATASET", "IID", "SLOPE")
+    subjects = t.subject_visits().select("DATASET", "IID").distinct()
+    return round_columns(subjects.join(slopes, ["DATASET", "IID"], "left"), ["SLOPE"], 2)
+
+
 # ------------------------------------------------------------------ structure
 def calls(t: Tables) -> DataFrame:
     return G.hard_calls(t.cohort_geno())
