@@ -259,9 +259,9 @@ def logistic_scan(spark, path):
     return _brief(scan, ["N_OBS", "N_EVENT", "BETA", "SE"], 5)
 
 
-def _solve(source: str, names: list[str], tag: str) -> tuple[dict[str, str], str]:
-    """CTEs of a Gauss-Jordan elimination of [H | g | unit vector of s], one column at a time."""
-    ctes, last, right = {}, source, [*names, "g", "e"]
+def _solve(source: str, names: list[str], tag: str, units: tuple[str, ...] = ("e",)) -> tuple[dict[str, str], str]:
+    """CTEs of a Gauss-Jordan elimination of [H | g | unit vectors], one column at a time."""
+    ctes, last, right = {}, source, [*names, "g", *units]
     for k in names:
         cells = [f"a_{k}_{j} / a_{k}_{k} AS a_{k}_{j}" for j in right]
         cells += [f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}" for i in names if i != k for j in right]
@@ -366,7 +366,56 @@ def mixed_interaction_scan(spark, path):
     return round_columns(scan.select("MODEL", "DATASET", "POS", *_MIXED), ["BETA", "SE"], 3)
 
 
-@query("gee_scan")
+def _gee_sql(rounds: int = 16) -> str:
+    """Moment rounds on sums by number of visits, then squared scores by subject, all written out."""
+    x = ["one", "s", "z0", "z1", "z2", "z3", "st"]
+    names = [*x, "y"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    cell = {(a, b): f"{a}_{b}" for a, b in pairs} | {(b, a): f"{a}_{b}" for a, b in pairs}
+    ctes = {
+        "zs": _scaled_sql("sv", _ZC),
+        "d": "SELECT g.POS, DOSAGE AS s, zs.*, DOSAGE * z3 AS st FROM cgeno g JOIN zs ON g.DATASET = zs.DATASET AND g.IID = zs.IID WHERE DOSAGE IS NOT NULL",
+        "su": f"""SELECT DATASET, POS, IID, count(*)::DOUBLE AS n, {', '.join(f'sum({a}) AS t_{a}' for a in names)},
+ {', '.join(f'sum({a} * {b}) AS p_{a}_{b}' for a, b in pairs)} FROM d GROUP BY 1, 2, 3""",
+        "bi": f"""SELECT DATASET, POS, n, count(*)::DOUBLE AS g, {', '.join(f'sum(p_{a}_{b}) AS p_{a}_{b}, sum(t_{a} * t_{b}) AS q_{a}_{b}' for a, b in pairs)}
+ FROM su GROUP BY 1, 2, 3""",
+        "al0": "SELECT DISTINCT DATASET, POS, 0.0::DOUBLE AS al FROM bi",
+    }
+    one = {"e": "s", "u": "st"}
+    def quadratic(prefix: str) -> str:
+        beta = {n: f"(-b_{n})" for n in x} | {"y": "1.0::DOUBLE"}
+        return " + ".join(f"{1 if a == b else 2} * {beta[a]} * {beta[b]} * sum({prefix}_{a}_{b})" for a, b in pairs)
+
+    for r in range(rounds + 1):
+        weight = "al / (1 + (n - 1) * al)"
+        cells = [f"sum(p_{cell[a, b]} - {weight} * q_{cell[a, b]}) AS a_{a}_{b}" for a in x for b in x]
+        cells += [f"sum(p_{cell[a, 'y']} - {weight} * q_{cell[a, 'y']}) AS a_{a}_g" for a in x]
+        cells += [f"{1.0 if one[u] == a else 0.0}::DOUBLE AS a_{a}_{u}" for a in x for u in one]
+        ctes[f"h{r}"] = f"SELECT bi.DATASET, bi.POS, {', '.join(cells)} FROM bi JOIN al{r} w ON bi.DATASET = w.DATASET AND bi.POS = w.POS GROUP BY 1, 2"
+        steps, last = _solve(f"h{r}", x, f"j{r}_", tuple(one))
+        ctes |= steps
+        ctes[f"be{r}"] = f"""SELECT DATASET, POS, {', '.join(f'a_{a}_g AS b_{a}' for a in x)}, {', '.join(f'a_{a}_{u} AS {u}_{a}' for a in x for u in one)} FROM {last}"""
+        if r < rounds:
+            beta = ", ".join(f"b_{a}" for a in x)
+            ctes[f"al{r + 1}"] = f"""SELECT DATASET, POS, (qq - pp) / 2 / (m - {len(x)}) / (pp / (nn - {len(x)})) AS al FROM (SELECT bi.DATASET, bi.POS,
+ {quadratic('p')} AS pp, {quadratic('q')} AS qq, sum(g * n * (n - 1) / 2) AS m, sum(g * n) AS nn FROM bi JOIN be{r} b ON bi.DATASET = b.DATASET AND bi.POS = b.POS
+ GROUP BY 1, 2, {beta})"""
+    rest = {a: f"(p_{cell[a, 'y']} - {' - '.join(f'b_{c} * p_{cell[a, c]}' for c in x)})" for a in x}
+    total = f"(t_y - {' - '.join(f'b_{c} * t_{c}' for c in x)})"
+    score = {a: f"({rest[a]} - al / (1 + (n - 1) * al) * t_{a} * {total})" for a in x}
+    along = {u: " + ".join(f"{u}_{a} * {score[a]}" for a in x) for u in one}
+    ctes["me"] = f"""SELECT su.DATASET, su.POS, any_value(b_s) AS b_s, any_value(b_st) AS b_st, sum(power({along['e']}, 2)) AS v_s, sum(power({along['u']}, 2)) AS v_st,
+ CAST(sum(n) AS BIGINT) AS nobs, CAST(count(*) AS BIGINT) AS ngrp FROM su JOIN be{rounds} b ON su.DATASET = b.DATASET AND su.POS = b.POS
+ JOIN al{rounds} w ON su.DATASET = w.DATASET AND su.POS = w.POS GROUP BY 1, 2"""
+    out = []
+    for model, term, c in (("lnmxs_intcp", "snp", "s"), ("lnmxs", "snp:time", "st")):
+        z = f"(b_{c} / sqrt(v_{c}))"
+        out.append(f"""SELECT '{model}' AS MODEL, DATASET, 'HY' AS OUTCOME, POS, '{term}' AS TERM, {rnd(f'b_{c}', 5)} AS BETA, {rnd(f'sqrt(v_{c})', 5)} AS SE,
+ {rnd(z, 5)} AS STAT, {rnd(nlp_sql(z), 5)} AS NEGLOG10P, nobs AS N_OBS, ngrp AS N_GROUP, NULL::BIGINT AS N_EVENT, 'OK' AS STATUS FROM me""")
+    return sql_with("sv cgeno", " UNION ALL ".join(out), **ctes)
+
+
+@query("gee_scan", _gee_sql())
 def gee_scan(spark, path):
     t = Tables(spark, path)
     return _shown(mixed.gee_scan(t.cohort_geno(), visit_rows(t), COVS), 5)
