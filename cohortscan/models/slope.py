@@ -23,7 +23,9 @@ from cohortscan.models.iterate import newton
 from cohortscan.models.linear import NO_CONVERGE, NO_VARIANCE, STATUS_OK
 from cohortscan.models.mixed import Terms, _centred, subject_features
 from cohortscan.operators.bounded import join_small
+from cohortscan.operators.pheno import zscore
 from cohortscan.schemas import SCAN_KEY
+from cohortscan.session import checkpointed
 
 MAX_ROUNDS = 25
 # Starting points of the factor [[a, 0], [b, c]] of D.
@@ -59,9 +61,9 @@ def random_slope_scan(
     The fit runs on standardised time, which changes nothing but the unit of
     the interaction; ``raw_time`` reports it per unit of ``time``.
     """
-    plain = prepare(rows, covariates, ["Y"], manifest, "lnmxs", scale=False)
+    plain = checkpointed(prepare(rows, covariates, ["Y"], manifest, "lnmxs", scale=False))
     spread = plain.groupBy(*SET).agg(F.stddev_samp(time).alias("_sd"))
-    table = _centred(prepare(rows, covariates, ["Y"], manifest, "lnmxs"))
+    table = _centred(zscore(plain, covariates, SET).fillna(0.0, subset=covariates))
     terms = Terms(covariates, time)
     names, q, tri = terms.names, len(terms.names), len(triangle(terms.names))
     joined = join_genotypes(geno, subject_features(table, covariates))

@@ -179,18 +179,22 @@ def to_long(arrays: DataFrame, index: DataFrame, key: list[str] | None = None) -
     )
 
 
+def in_all_parts(stacked: DataFrame, parts: int) -> DataFrame:
+    """Rows of samples that are present in each of the parts that SOURCE numbers."""
+    present = (
+        stacked.select("DATASET", "IID", "SOURCE").distinct().groupBy("DATASET", "IID")
+        .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == parts)
+    )
+    return stacked.join(present, ["DATASET", "IID"], "left_semi")
+
+
 def common_samples(parts: list[DataFrame]) -> DataFrame:
     """Stack per-chromosome and score tables, keeping samples present in all.
 
     Long rows replace a chain of wide merges; ``SOURCE`` numbers the part.
     """
     tagged = [p.withColumn("SOURCE", F.lit(i)) for i, p in enumerate(parts)]
-    stacked = reduce(DataFrame.unionByName, tagged)
-    present = (
-        stacked.select("DATASET", "IID", "SOURCE").distinct().groupBy("DATASET", "IID")
-        .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(parts))
-    )
-    return stacked.join(present, ["DATASET", "IID"], "left_semi")
+    return in_all_parts(reduce(DataFrame.unionByName, tagged), len(parts))
 
 
 def long_to_wide(long: DataFrame, variants: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortscan.operators.pheno import zscore
 from cohortscan.schemas import CARRIER_WEIGHTS, WEIGHTS
+from cohortscan.session import checkpointed
 
 
 def _weighted(geno: DataFrame, weights: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def polygenic_score(geno: DataFrame, weights: DataFrame, standardise: bool = Tru
     score = _weighted(geno, weights).groupBy("DATASET", "IID").agg(
         (F.sum(F.col("COPIES") * F.col("WEIGHT")) / (F.lit(2.0) * F.count(F.lit(1)))).alias("SCORE")
     )
-    return zscore(score, ["SCORE"], ["DATASET"]) if standardise else score
+    # Mean and deviation are read from the scores, not from the genotypes again.
+    return zscore(checkpointed(score), ["SCORE"], ["DATASET"]) if standardise else score
 
 
 def carrier_weights(spark) -> DataFrame:

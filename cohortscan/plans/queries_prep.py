@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortscan.functions.columns import rounded
+from cohortscan.functions.columns import chromosome, rounded
 from cohortscan.operators import contrast as C
 from cohortscan.operators import genotype as G
 from cohortscan.operators import ids as I
@@ -249,13 +249,24 @@ def unscored_variants(spark, path):
     return S.unscored_variants(t.annot().select("POS", "ID"), t.geno())
 
 
-@query("target_table", sql_with("geno", f"""SELECT 'D' || CAST(g.IID % 5 AS VARCHAR) AS DATASET, g.IID, g.POS, {rnd('g.DOSAGE')} AS DOSAGE FROM geno g
- WHERE g.CHR IN (1, 2) AND g.IID IN (SELECT IID FROM geno WHERE CHR = 1 AND DOSAGE > 1.2)
- AND (g.CHR = 2 OR g.DOSAGE > 1.2)"""))
+_TARGET_PARTS = """SELECT 'D' || CAST(IID % 5 AS VARCHAR) AS DATASET, IID, POS, DOSAGE, CHR AS SOURCE FROM geno WHERE DOSAGE IS NOT NULL
+ UNION ALL SELECT 'D' || CAST(IID % 5 AS VARCHAR), IID, 'MEAN', avg(DOSAGE), 23 FROM geno GROUP BY IID HAVING avg(DOSAGE) > 0.95
+ UNION ALL SELECT 'D' || CAST(IID % 5 AS VARCHAR), IID, 'CALLS', sum(GT)::DOUBLE, 24 FROM geno WHERE CHR = 1 GROUP BY IID"""
+
+
+@query("target_table", sql_with("geno", f"""SELECT DATASET, IID, POS, {rnd('DOSAGE')} AS DOSAGE FROM tp WHERE IID IN
+ (SELECT IID FROM tp GROUP BY IID HAVING count(DISTINCT SOURCE) = 24)""", tp=_TARGET_PARTS))
 def target_table(spark, path):
-    geno = Tables(spark, path).cohort_geno()
-    parts = [geno.where(F.col("POS").startswith("1:") & (F.col("DOSAGE") > 1.2)), geno.where(F.col("POS").startswith("2:"))]
-    return round_columns(G.common_samples(parts).select("DATASET", "IID", "POS", "DOSAGE"), ["DOSAGE"])
+    """All 22 chromosomes and two score tables, for the samples that have a row in each."""
+    geno = G.hard_calls(Tables(spark, path).cohort_geno()).withColumn("SOURCE", chromosome(F.col("POS")))
+    columns = ["DATASET", "IID", "POS", "DOSAGE", "SOURCE"]
+    by_sample = geno.groupBy("DATASET", "IID").agg(
+        F.avg("DOSAGE").alias("MEAN"), F.sum(F.when(F.col("SOURCE") == 1, F.col("GT"))).alias("CALLS"))
+    mean = S.as_variants(by_sample.where(F.col("MEAN") > 0.95), "MEAN", "MEAN").withColumn("SOURCE", F.lit(23))
+    calls = S.as_variants(by_sample, "CALLS", "CALLS").withColumn("SOURCE", F.lit(24))
+    seen = geno.where(F.col("DOSAGE").isNotNull()).select(*columns)
+    stacked = seen.unionByName(mean.select(*columns)).unionByName(calls.select(*columns))
+    return round_columns(G.in_all_parts(stacked, 24).select("DATASET", "IID", "POS", "DOSAGE"), ["DOSAGE"])
 
 
 # ------------------------------------------------------------------ phenotypes
