@@ -259,13 +259,15 @@ def logistic_scan(spark, path):
     return _brief(scan, ["N_OBS", "N_EVENT", "BETA", "SE"], 5)
 
 
-def _solve(source: str, names: list[str], tag: str, units: tuple[str, ...] = ("e",)) -> tuple[dict[str, str], str]:
+def _solve(source: str, names: list[str], tag: str, units: tuple[str, ...] = ("e",),
+           key: tuple[str, ...] = ("DATASET", "POS")) -> tuple[dict[str, str], str]:
     """CTEs of a Gauss-Jordan elimination of [H | g | unit vectors], one column at a time."""
     ctes, last, right = {}, source, [*names, "g", *units]
+    keys = ", ".join(key)
     for k in names:
         cells = [f"a_{k}_{j} / a_{k}_{k} AS a_{k}_{j}" for j in right]
         cells += [f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}" for i in names if i != k for j in right]
-        ctes[f"{tag}{k}"] = f"SELECT DATASET, POS, {', '.join(cells)} FROM {last}"
+        ctes[f"{tag}{k}"] = f"SELECT {keys}, {', '.join(cells)} FROM {last}"
         last = f"{tag}{k}"
     return ctes, last
 
@@ -342,11 +344,54 @@ def cox_scan(spark, path):
     return _brief(scan, ["OUTCOME", "N_OBS", "N_EVENT", "BETA", "SE"], 5)
 
 
-@query("cox_scan_full")
+_COX_COVS = ["BLDfDIAG", "AAO", "FEMALE", "DOPA"]
+
+
+def _cox_full_sql(rounds: int = 8) -> str:
+    """Newton steps of the Efron likelihood: risk sets by an interval join, a line for each tied death."""
+    key = ("DATASET", "OUTCOME", "POS")
+    keys = ", ".join(key)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in key)
+    x = ["s", "c0", "c1", "c2", "c3"]
+    pairs = [(a, b) for i, a in enumerate(x) for b in x[i:]]
+    cell = {(a, b): f"{a}_{b}" for a, b in pairs} | {(b, a): f"{a}_{b}" for a, b in pairs}
+    z = ", ".join(f"(v{i} - avg(v{i}) OVER w) / stddev_samp(v{i}) OVER w AS c{i}" for i in range(4))
+    ctes = dict(SURVIVAL_CTES)
+    ctes["iv"] = ctes["iv"].replace("TSTART - B AS TSTART", "TSTART AS T0, TSTART - B AS TSTART")
+    ctes |= {
+        "k": "SELECT DATASET, OUTCOME FROM iv GROUP BY 1, 2 HAVING sum(EVENT) > 19",
+        "cv": """SELECT iv.DATASET, iv.OUTCOME, iv.IID, iv.TSTART, iv.TSTOP, iv.EVENT, iv.BLDfDIAG AS v0, sv.AAO AS v1, sv.FEMALE AS v2, sv.DOPA AS v3
+ FROM iv JOIN k ON iv.DATASET = k.DATASET AND iv.OUTCOME = k.OUTCOME JOIN sv ON iv.IID = sv.IID AND iv.T0 = sv.TSTART""",
+        "z": f"SELECT DATASET, OUTCOME, IID, TSTART, TSTOP, EVENT, {z} FROM cv WINDOW w AS (PARTITION BY DATASET, OUTCOME)",
+        "d": "SELECT z.*, POS, DOSAGE AS s FROM z JOIN cgeno g ON z.DATASET = g.DATASET AND z.IID = g.IID WHERE DOSAGE IS NOT NULL",
+        "ev": f"SELECT DISTINCT {keys}, TSTOP AS t FROM d WHERE EVENT = 1",
+        "b0": f"SELECT DISTINCT {keys}, {', '.join(f'0.0::DOUBLE AS b_{a}' for a in x)}, 0.0::DOUBLE AS v FROM d",
+    }
+    terms = {"0": "1", **{a: a for a in x}, **{f"{a}_{b}": f"{a} * {b}" for a, b in pairs}}
+    sums = ", ".join(f"sum(r * {e}) AS r_{n}, sum(CASE WHEN dead THEN r * {e} ELSE 0 END) AS e_{n}" for n, e in terms.items())
+    own = ", ".join(f"sum(CASE WHEN dead THEN {a} ELSE 0 END) AS y_{a}" for a in x)
+    w = {n: f"(r_{n} - l * e_{n} / m)" for n in terms}
+    cells = [f"sum({w[cell[a, b]]} / {w['0']} - {w[a]} * {w[b]} / power({w['0']}, 2)) AS a_{a}_{b}" for a in x for b in x]
+    cells += [f"sum(CASE WHEN l = 0 THEN y_{a} ELSE 0 END) - sum({w[a]} / {w['0']}) AS a_{a}_g, {1.0 if a == 's' else 0.0}::DOUBLE AS a_{a}_e" for a in x]
+    for r in range(rounds):
+        ctes[f"r{r}"] = f"""SELECT {keys}, t, sum(CASE WHEN dead THEN 1 ELSE 0 END) AS m, {own}, {sums} FROM (SELECT {', '.join('d.' + c for c in key)}, ev.t,
+ {', '.join(x)}, exp({' + '.join(f'b_{a} * {a}' for a in x)}) AS r, d.TSTOP = ev.t AND d.EVENT = 1 AS dead
+ FROM ev JOIN d ON {on('ev', 'd')} AND d.TSTART < ev.t AND ev.t <= d.TSTOP JOIN b{r} ON {on('d', f'b{r}')}) GROUP BY ALL"""
+        ctes[f"h{r}"] = f"SELECT {keys}, {', '.join(cells)} FROM (SELECT *, unnest(range(CAST(m AS BIGINT))) AS l FROM r{r}) GROUP BY ALL"
+        steps, last = _solve(f"h{r}", x, f"j{r}_", key=key)
+        ctes |= steps
+        ctes[f"b{r + 1}"] = f"""SELECT {', '.join('b.' + c for c in key)}, {', '.join(f'b_{a} + a_{a}_g AS b_{a}' for a in x)}, a_s_e AS v
+ FROM b{r} b JOIN {last} x ON {on('b', 'x')}"""
+    ctes["n"] = f"SELECT {keys}, CAST(count(*) AS BIGINT) AS N_OBS, CAST(count(DISTINCT IID) AS BIGINT) AS N_GROUP, CAST(sum(EVENT) AS BIGINT) AS N_EVENT FROM d GROUP BY ALL"
+    score = "(b_s / sqrt(v))"
+    return sql_with("sv cgeno", f"""SELECT 'coxhm' AS MODEL, n.DATASET, n.OUTCOME, n.POS, 'snp' AS TERM, {rnd('b_s', 4)} AS BETA, {rnd('sqrt(v)', 4)} AS SE, {rnd(score, 4)} AS STAT,
+ {rnd(nlp_sql(score), 4)} AS NEGLOG10P, N_OBS, N_GROUP, N_EVENT, 'OK' AS STATUS FROM n JOIN b{rounds} b ON {on('n', 'b')}""", **ctes)
+
+
+@query("cox_scan_full", _cox_full_sql())
 def cox_scan_full(spark, path):
     t = Tables(spark, path)
-    carry = ["BLDfDIAG", "AAO", "FEMALE", "DOPA"]
-    return _shown(cox.cox_scan(t.cohort_geno(), survival_table(t, carry), carry))
+    return _shown(cox.cox_scan(t.cohort_geno(), survival_table(t, _COX_COVS), _COX_COVS), 4)
 
 
 _MIXED = ["TERM", "N_OBS", "N_GROUP", "BETA", "SE"]
