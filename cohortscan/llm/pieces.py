@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from cohortscan.llm.common import pick, small_batches
 
 MARK = "▁"
-#: Segments kept by a task between batches; the store starts anew when it is full.
-KNOWN = 300_000
+#: Segments of a generation; a task keeps two, and what it meets again moves to the younger one.
+KNOWN = 350_000
 #: A run of signs and digits, a line end, or a run of anything else, each with the marks before it.
 SIGNS = r"!-@\[-`{-~\r¡-©«-´¶-¹»-¿‐-⁞"
 SEGMENT = re.compile(rf"{MARK}*(?:[{SIGNS}]+|\n|[^{SIGNS}\n{MARK}]+)|{MARK}+")
@@ -59,6 +59,7 @@ class Vocabulary:
         # A segment stands alone only if no piece reaches from one into another.
         self.cuts = all(len(SEGMENT.findall(p)) == 1 for p in self.ids) and not any("\n" in p for p in self.ids)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def agenda(self, segment: str) -> list[int]:
         """Ids of one segment: merge the best-scored adjacent pair, the leftmost of equals, until none is left."""
@@ -107,8 +108,6 @@ class Vocabulary:
 
     def learn(self, segments: list[str], check: bool = True) -> None:
         """Encode segments that are new, and hold them against the library."""
-        if len(self.known) + len(segments) > KNOWN:
-            self.known.clear()
         found = [self.agenda(s) for s in segments]
         if check and self.cuts:
             # A line end never merges; behind it no mark is put before the segment.
@@ -126,13 +125,15 @@ class Vocabulary:
     def encode_batch(self, texts: list[str | None], check: bool = True) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers, with begin and end id."""
         cut = [self.segments(t) for t in texts]
-        new: set[str] = set()
+        distinct: set[str] = set()
         for parts in cut:
-            new.update(parts)
+            distinct.update(parts)
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-        new.difference_update(self.known)
-        self.learn(sorted(new), check)
+            self.known, self.older, new = {}, self.known, distinct
+        again = {s: self.older[s] for s in new if s in self.older}
+        self.known.update(again)
+        self.learn(sorted(new.difference(again)), check)
         known, first, last = self.known, _packed([self.begin]), _packed([self.end])
         return [first + b"".join([known[s] for s in parts]) + last for parts in cut]
 
