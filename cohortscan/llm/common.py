@@ -43,6 +43,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Hash of id and text, null told apart from any value; only rows that repeat a document share it."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
 def id_remainder(column: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

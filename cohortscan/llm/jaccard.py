@@ -13,6 +13,10 @@ Null and empty texts, and texts without words, have no shingles: they are
 linked with nothing and are a class each.  Rows that repeat a document count
 as documents of their own.  Very common words or passages make no pair
 candidates by themselves.
+
+Rows are told apart by a key of id and text, not by the id.  A row with a null
+id links like any other; the id of a class is the least that is not null, and
+null for a class of null ids only.  Two texts under one id are two documents.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscan.llm.common import pick, small_batches
+from cohortscan.llm.common import pick, row_key, small_batches
 from cohortscan.session import checkpointed
 
 WORDS = 5
@@ -101,7 +105,7 @@ def identity(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(documents: DataFrame, depth: int) -> DataFrame:
-    """doc_id, s0, s1, n (identity and size of the shingle set) and keys (a prefix hash for each tree)."""
+    """doc_id, row_key, s0, s1, n (identity and size of the shingle set) and keys (a prefix hash for each tree)."""
     def run(batches):
         for b in batches:
             flat, sizes = shingles(b.column("text").to_pylist())
@@ -109,12 +113,12 @@ def signatures(documents: DataFrame, depth: int) -> DataFrame:
             keys = prefixes(flat, sizes, depth)
             at = pa.array(np.arange(0, keys.size + 1, TREES), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(s0), pa.array(s1), pa.array(sizes),
+                [b.column("doc_id"), b.column("row_key"), pa.array(s0), pa.array(s1), pa.array(sizes),
                  pa.ListArray.from_arrays(at, pa.array(keys.ravel().view(np.int64)))],
-                ["doc_id", "s0", "s1", "n", "keys"],
+                ["doc_id", "row_key", "s0", "s1", "n", "keys"],
             )
 
-    return documents.mapInArrow(run, "doc_id long, s0 long, s1 long, n long, keys array<long>")
+    return documents.mapInArrow(run, "doc_id long, row_key long, s0 long, s1 long, n long, keys array<long>")
 
 
 def verified(rows: Iterator[tuple], group_of) -> Iterator[tuple[int, int, int]]:
@@ -226,7 +230,7 @@ def buckets(sets: DataFrame) -> DataFrame:
 
 
 def bodies(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """node and set (packed shingles) of the sets in ``asked`` (node, rep, s0, s1), from the document ``rep``."""
+    """node and set (packed shingles) of the sets in ``asked`` (node, row_key, s0, s1), from the row with that key."""
     def run(batches):
         for b in batches:
             flat, sizes = shingles(b.column("text").to_pylist())
@@ -239,8 +243,8 @@ def bodies(documents: DataFrame, asked: DataFrame) -> DataFrame:
                 ["node", "same", "set"],
             )
 
-    texts = documents.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "s0", "s1", "text")
-    # Rows that repeat an id hold one set twice, or another set.
+    texts = documents.join(asked, "row_key").select("node", "s0", "s1", "text")
+    # Rows that repeat a document share its key and hold one set twice.
     return texts.mapInArrow(run, "node long, same boolean, set binary").where("same").groupBy("node").agg(
         F.first("set").alias("set"))
 
@@ -248,7 +252,7 @@ def bodies(documents: DataFrame, asked: DataFrame) -> DataFrame:
 def links(documents: DataFrame, sets: DataFrame) -> DataFrame:
     """node, links, root from every block of every bucket; exact."""
     met = checkpointed(buckets(sets))
-    asked = met.select("node").distinct().join(sets.select("node", "rep", "s0", "s1"), "node")
+    asked = met.select("node").distinct().join(sets.select("node", "rep.row_key", "s0", "s1"), "node")
     rows = met.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
         "node", "m", "keys", "tree", "key", "chunk",
         F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
@@ -281,40 +285,54 @@ def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row with the set it holds (doc_id, node; null without shingles), and for each set
-    its class and number of links (node, class_id, n_links)."""
+    """Every row with the set it holds (doc_id, row_key, node; null without shingles), and for each set its class,
+    the key of the first row of the class and the number of links (node, class_id, first_key, n_links)."""
     small_batches(documents.sparkSession)
-    documents = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = keyed(pick(documents, "doc_id", "text")).select("doc_id", "row_key", "text")
     node = F.when(F.col("n") > 0, F.xxhash64("s0", "s1", "n")).alias("node")
-    signed = checkpointed(signatures(documents, prefix_depth()).select("doc_id", node, "s0", "s1", "keys"))
+    signed = checkpointed(signatures(documents, prefix_depth()).select("doc_id", "row_key", node, "s0", "s1", "keys"))
+    # The first row of a set or class has the least id, null last, then the least key.
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     sets = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("s0").alias("s0"),
+        F.min(first).alias("rep"), F.count(F.lit(1)).alias("m"), F.first("s0").alias("s0"),
         F.first("s1").alias("s1"), F.first("keys").alias("keys")))
     found = checkpointed(links(documents, sets))
     roots = components(found.where("node > root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     rows = sets.select("node", "rep", "m").join(counted, "node", "left").join(roots, "node", "left")
     rows = checkpointed(rows.withColumn("root", F.coalesce("root", "node")))
-    least = rows.where("links IS NOT NULL").groupBy("root").agg(F.min("rep").alias("class_id"))
-    rows = rows.join(least, "root", "left")
-    return signed.select("doc_id", "node"), rows.select(
-        "node", F.coalesce("class_id", "rep").alias("class_id"),
+    least = rows.where("links IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
+    rows = rows.join(least, "root", "left").withColumn("least", F.coalesce("least", "rep"))
+    return signed.select("doc_id", "row_key", "node"), rows.select(
+        "node", F.col("least.doc_id").alias("class_id"), F.col("least.row_key").alias("first_key"),
         (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """``documents`` with a long doc_id and the key of each row."""
+    documents = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return documents.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+
+
 def jaccard_join(documents: DataFrame) -> DataFrame:
     """doc_id, class_id (least id of the class) and n_links (other rows at least as similar as the threshold)."""
     signed, found = classes(documents)
     # A set that very many rows hold is one row of ``found``; adaptive execution splits its partition.
     out = signed.join(found, "node", "left")
-    return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # A class of null ids only has a null class_id; a row without shingles has no node and keeps its own id.
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents (doc_id, text, lang, source, n_chars) with the least id of their class, once."""
+    """The documents (doc_id, text, lang, source, n_chars) that are the first row of their class, once.
+
+    The first row has the least id; null ids come last, and of several texts
+    under that id one is chosen by its key.
+    """
     names = ("doc_id", "text", "lang", "source", "n_chars")
     documents = pick(documents, *names)
-    kept = jaccard_join(documents).where("doc_id = class_id").select("doc_id").distinct()
-    own = documents.join(kept, documents["doc_id"].cast("long") == kept["doc_id"], "left_semi")
-    return own.dropDuplicates(["doc_id", "text"])
+    signed, found = classes(documents)
+    kept = signed.join(found, "node", "left").where("node IS NULL OR row_key = first_key").select("row_key").distinct()
+    own = documents.withColumn("row_key", row_key(F.col("doc_id").cast("long"), F.col("text")))
+    return own.join(kept, "row_key", "left_semi").select(*names).dropDuplicates(["doc_id", "text"])

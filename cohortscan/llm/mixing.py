@@ -9,9 +9,10 @@ the same number of times, or once more if its place in that order lies within
 the rest of the quota; one further document closes the gap that is left.
 
 A null text has no words; documents without words are taken 0 times.  A null
-source is a source of its own and comes last.  Rows that repeat a document
-have the same place and are taken alike.  An empty table mixes to an empty
-table.
+source is a source of its own and comes last.  A row's place follows from its
+id and text, so null ids take part like any other, each text with a place of
+its own; rows that repeat both have the same place and are taken alike.  An
+empty table mixes to an empty table.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortscan.llm.common import pick
+from cohortscan.llm.common import pick, row_key
 from cohortscan.session import checkpointed
 
 #: Share of the words of all documents that the mix takes, repetitions counted.
 BUDGET = 1.5
+SEED = 11
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 2
 #: First cut of the seeded order; within the bucket where a quota ends documents are ordered one by one.
@@ -151,6 +153,11 @@ def members_of(pattern: str) -> list[str | None]:
     return [None if p == "-" else p[1:] for p in pattern.split("\x00")]
 
 
+def place_of(seed: int) -> Column:
+    """Place of a row (doc_id, text) in the seeded order."""
+    return F.pmod(F.xxhash64(F.lit(seed), row_key(F.col("doc_id"), F.col("text"))), F.lit(2**52))
+
+
 def taken(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """``rows`` (pattern, place, size, ...) with ``copies``, the number of times each is taken.
 
@@ -207,15 +214,15 @@ class Mix:
 
 def mix(
     documents: DataFrame, members: Column, keep: Sequence[str] = (), weights: Sequence[float] = WEIGHTS,
-    budget: float = BUDGET, repeats: int = REPEATS, seed: int = 11,
+    budget: float = BUDGET, repeats: int = REPEATS, seed: int = SEED,
 ) -> Mix:
     """Take whole documents (doc_id, text, ...) so that each source comes near its target.
 
     Sources in code point order, null last, get ``weights`` in turn.
     """
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(2**52)).alias("place")
     rows = checkpointed(documents.select(
-        "doc_id", *keep, pattern_of(members).alias("pattern"), words_in(F.col("text")).alias("size"), place,
+        "doc_id", *keep, pattern_of(members).alias("pattern"), words_in(F.col("text")).alias("size"),
+        place_of(seed).alias("place"),
     ))
     totals = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
@@ -250,9 +257,9 @@ def mixed_corpus(documents: DataFrame) -> DataFrame:
     names = ("doc_id", "text", "lang", "source", "n_chars")
     documents = pick(documents, *names)
     done = mix(documents, F.array(F.col("source").cast("string")))
-    # Rows that repeat an id share place, and so copies, unless their sources differ.
-    copies = done.rows.groupBy("doc_id", "pattern", "size").agg(F.first("copies").alias("copies"))
+    # Rows that repeat a document share place, and so copies, unless their sources differ.
+    copies = done.rows.groupBy("place", "pattern", "size").agg(F.first("copies").alias("copies"))
     key = documents.withColumn("pattern", pattern_of(F.array(F.col("source").cast("string"))))
-    key = key.withColumn("size", words_in(F.col("text")))
-    out = key.join(copies.where("copies > 0"), ["doc_id", "pattern", "size"])
+    key = key.withColumn("size", words_in(F.col("text"))).withColumn("place", place_of(SEED))
+    out = key.join(copies.where("copies > 0"), ["place", "pattern", "size"])
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)

@@ -195,6 +195,29 @@ def test_jaccard_edge_cases(spark):
     assert jaccard.prefix_depth(recall=0.9) > jaccard.prefix_depth(recall=0.999999) >= 1
 
 
+def test_null_ids_and_texts_that_share_an_id(spark):
+    """Null-id rows link, survive and are mixed; of near copies under one id a single one survives."""
+    a, b, c, d = (prose(200 + i, 80) for i in range(4))
+    rows = [(None, a), (None, a + " more"), (None, b), (7, b + " more"), (3, c), (3, c + " more"), (3, d), (None, None), (None, "")]
+    docs = clashing(documents(spark, [(*r, "en", "a") for r in rows]))
+    got = sorted((tuple(r) for r in jaccard.jaccard_join(docs).collect()), key=str)
+    assert got == sorted([(None, None, 1)] * 2 + [(None, 7, 1), (7, 7, 1), (3, 3, 1), (3, 3, 1), (3, 3, 0)] + [(None, None, 0)] * 2, key=str)
+    single = jaccard.one_of_each(docs)
+    kept = [(r["doc_id"], r["text"]) for r in single.collect()]
+    assert len(kept) == 6 and {(7, b + " more"), (3, d), (None, None), (None, "")} <= set(kept)
+    assert sum(k in ((None, a), (None, a + " more")) for k in kept) == 1
+    assert sum(k in ((3, c), (3, c + " more")) for k in kept) == 1
+
+    many = documents(spark, [(None if i % 2 else i // 4, prose(i, 20), "en", "ab"[i % 3 % 2]) for i in range(400)])
+    sizes = [r["taken"] // r["size"] for r in mixing.mixed_sources(many).collect()]
+    corpus = mixing.mixed_corpus(many).collect()
+    assert len(corpus) == sum(sizes) and 150 < sum(r["doc_id"] is None for r in corpus) < 450
+    wanted = {r["pattern"]: r["w"] for r in mixing.mix(many, mixing.F.array("source")).rows.groupBy("pattern").agg(
+        mixing.F.sum(mixing.F.col("size") * mixing.F.col("copies")).alias("w")).collect()}
+    goals = mixing.mix(many, mixing.F.array("source")).wanted
+    assert all(abs(wanted["+" + s] - w) <= 20 for s, w in goals.items())
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(a, b) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(120)) if a > b] + [(i + 1, i) for i in range(300, 340)]
