@@ -7,9 +7,10 @@ half of the weight votes for it.  Two bit counts travel in the halves of one
 long, which adds up without carry for any text that a column can hold.
 
 All fingerprints within a Hamming radius are found through tables that each
-put another block of the bits first: of more blocks than the radius, two such
-fingerprints share at least one.  A pair counts in the first table that holds
-it.
+put another block of the bits first: two such fingerprints differ in some block
+by no more than the radius divided by the number of blocks.  Above a radius of
+7 that is one bit, and a query looks up its block and those one bit away.  A
+pair counts in the first table that holds it.
 
 Null counts as empty text; a text without words has the fingerprint 0.  Equal
 texts have equal fingerprints.  Rows that repeat an id are told apart by their
@@ -31,7 +32,7 @@ from cohortscan.session import checkpointed
 LANES = (1 << 32) | 1
 LOW = (1 << 32) - 1
 BITS = 128
-RADIUS = 3
+RADIUS = 15
 
 
 def weight(word: Column) -> Column:
@@ -91,23 +92,29 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFra
     """Pairs (q_high, q_low, high, low, n) of ``queries`` with all of ``prints`` (high, low, n) within ``radius``.
 
     Both sides hold distinct fingerprints; a fingerprint is its own partner.
+    Further columns of ``queries`` come along.
     """
     if not 0 <= radius < 16:
         raise ValueError("a radius is 0 to 15")
-    blocks = next(b for b in (4, 8, 16) if b > radius)
-
-    def tables(df, high, low):
-        keyed = [F.struct(F.lit(t).alias("t"), b.alias("block"))
-                 for t, b in enumerate(blocks_of(F.col(high), F.col(low), blocks))]
+    # Wide blocks keep the tables selective; blocks of 8 bits would meet a sixteenth of all rows.
+    blocks = 4 if radius < 4 else 8
+    apart_in_block = radius // blocks
+    flips = [0] + [1 << i for i in range(BITS // blocks)] * apart_in_block
+
+    def tables(df, high, low, flips):
+        keyed = [F.struct(F.lit(t).alias("t"), b.bitwiseXOR(F.lit(x).cast("long")).alias("block"))
+                 for t, b in enumerate(blocks_of(F.col(high), F.col(low), blocks)) for x in flips]
         return df.withColumn("_key", F.explode(F.array(*keyed))).select("*", "_key.t", "_key.block").drop("_key")
 
-    left = tables(queries.select(F.col("high").alias("q_high"), F.col("low").alias("q_low")), "q_high", "q_low")
-    right = tables(prints, "high", "low")
+    left = queries.select(F.col("high").alias("q_high"), F.col("low").alias("q_low"), *queries.drop("high", "low", "n").columns)
+    asked = left.columns
+    left = tables(left, "q_high", "q_low", flips)
+    right = tables(prints, "high", "low", [0])
     apart = distance((F.col("q_high"), F.col("q_low")), (F.col("high"), F.col("low")))
     differ = blocks_of(F.col("q_high").bitwiseXOR(F.col("high")), F.col("q_low").bitwiseXOR(F.col("low")), blocks)
-    first = reduce(lambda a, b: a & b, [(F.col("t") <= i) | (d != 0) for i, d in enumerate(differ)])
+    first = reduce(lambda a, b: a & b, [(F.col("t") <= i) | (F.bit_count(d) > apart_in_block) for i, d in enumerate(differ)])
     found = left.join(right, ["t", "block"]).where((apart <= radius) & first)
-    return found.select("q_high", "q_low", "high", "low", "n")
+    return found.select(*asked, "high", "low", "n")
 
 
 def in_order(documents: DataFrame) -> DataFrame:
@@ -176,6 +183,8 @@ def edited_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFrame
 
     ``near_found`` is, for ids divisible by 100, the number of rows whose
     fingerprint lies within ``radius`` (the row itself counts), else null.
+    ``near_class`` is, for every row that such an id finds, the least id that
+    finds it, else null.
     """
     documents = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = in_order(documents).withColumn("edit", edited(F.col("text"), F.col("next_text")))
@@ -200,15 +209,22 @@ def edited_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFrame
         F.col("high").alias("n_high"), F.col("low").alias("n_low"),
     )
     distinct = prints.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"))
-    asked = prints.where(F.col("doc_id") % 100 == 0).select("high", "low").distinct()
-    found = near(asked, distinct, radius).groupBy("q_high", "q_low").agg(F.sum("n").alias("near_found"))
-    counted = prints.where(F.col("doc_id") % 100 == 0).select("part", "nr", F.col("high").alias("q_high"), F.col("low").alias("q_low"))
-    counted = counted.join(found, ["q_high", "q_low"]).select("part", "nr", "near_found")
+    is_asked = F.col("doc_id") % 100 == 0
+    asked = prints.where(is_asked).groupBy("high", "low").agg(F.min("doc_id").alias("q_id"))
+    # A pair counts for the one that asks and names it to the one that is found.
+    told = F.explode(F.array(
+        F.struct(F.col("q_high").alias("high"), F.col("q_low").alias("low"), F.col("n"), F.lit(None).cast("long").alias("q_id")),
+        F.struct("high", "low", F.lit(None).cast("long").alias("n"), "q_id"),
+    ))
+    found = near(asked, distinct, radius).select(told.alias("x")).groupBy("x.high", "x.low").agg(
+        F.sum("x.n").alias("near_found"), F.min("x.q_id").alias("near_class"))
+    counted = prints.select("part", "nr", "doc_id", "high", "low").join(found, ["high", "low"]).select(
+        "part", "nr", F.when(is_asked, F.col("near_found")).alias("near_found"), "near_class")
     own, edit, then = ((F.col(h), F.col(w)) for h, w in (("high", "low"), ("e_high", "e_low"), ("n_high", "n_low")))
     out = prints.join(following, ["next_part", "next_nr"]).join(counted, ["part", "nr"], "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(*own).alias("fingerprint"), as_text(*edit).alias("edited_fingerprint"),
-        likeness(own, edit).alias("near_edited"), likeness(own, then).alias("near_next"), "near_found",
+        likeness(own, edit).alias("near_edited"), likeness(own, then).alias("near_next"), "near_found", "near_class",
     )
 
 

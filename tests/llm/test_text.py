@@ -198,6 +198,38 @@ def test_block_tables_find_all(spark, radius):
     assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_block_tables_find_all_at_the_radius_of_near_copies(spark):
+    rng = random.Random(8)
+    assert simhash.RADIUS > 7
+    base = [rng.getrandbits(128) for _ in range(20)]
+    numbers = sorted({b ^ sum(1 << i for i in rng.sample(range(128), rng.randrange(20))) for b in base for _ in range(12)})
+    signed = [tuple(x - 2**64 if x >= 2**63 else x for x in (n >> 64, n & (2**64 - 1))) for n in numbers]
+    prints = spark.createDataFrame([(*p, 1) for p in signed], "high long, low long, n int")
+    for radius in (8, simhash.RADIUS):
+        found = [tuple(r)[:4] for r in simhash.near(prints, prints, radius).collect()]
+        expected = {(*a, *b) for a, x in zip(signed, numbers) for b, y in zip(signed, numbers) if (x ^ y).bit_count() <= radius}
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_near_copies_are_found_and_named(spark):
+    """Texts of 300 words with two words changed: most lie beyond 3 bits, and rows name the id that finds them."""
+    rows = []
+    for k in range(12):
+        words = prose(900 + k, 300).split()
+        rows.append((100 * k, " ".join(words)))
+        for i in range(1, 8):
+            words[17 * i], words[40 * i] = f"changed{i}", f"other{k}x{i}"
+            rows.append((100 * k + i, " ".join(words[: 17 * i + 1] + rows[-i][1].split()[17 * i + 1:])))
+    got = {r["doc_id"]: r for r in rows_of(simhash.edited_fingerprints(documents(spark, rows)))}
+    number = {i: int(r["fingerprint"], 16) for i, r in got.items()}
+    asked = [i for i in number if i % 100 == 0]
+    for i, r in got.items():
+        finders = [q for q in asked if (number[q] ^ number[i]).bit_count() <= simhash.RADIUS]
+        assert r["near_class"] == min(finders, default=None)
+    named = [i for i in number if i % 100 and got[i]["near_class"] == i - i % 100]
+    assert len(named) > 0.8 * 84
+
+
 def test_fingerprints_of_no_rows(spark):
     empty = documents(spark, [])
     assert simhash.edited_fingerprints(empty).count() == 0
