@@ -1,11 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by banded MinHash.
 
 A text is the set of its five-word shingles (lower-cased runs of letters and
 digits; a shorter text is one shingle).  Texts with equal sets are one class
-from the start.  Each tree of the forest orders signatures by a few of their
-MinHash values; texts that share a prefix meet.  The prefix is shortened from
-its full depth until a pair just at the threshold is met with the target
-recall.  Pairs that meet are verified exactly, in blocks of bounded size, in
+from the start.  Each tree is one band: it hashes a few MinHash values, and
+texts that share them meet.  The depth is the same for all trees and follows
+from their number, the threshold and the target recall alone, not from the data.  Pairs that meet are verified exactly, in blocks of bounded size, in
 the first tree that holds them; a block returns counts and local classes, not
 pairs.
 
