@@ -1,24 +1,29 @@
-"""Scans over arrays: all steps of a fit run inside one task per group of variants.
-
-The dosages of a cohort are dealt out once, by windows of positions, and meet
-there with the phenotype rows of the cohort, which are sent to each window
-once.  A task then holds a (variants x subjects) matrix and the rows of every
-outcome, and fits all of its variants together; nothing moves between the
-steps of a fit.  A group holds the subjects of one cohort and the variants of
-one window, so it is bounded by the cohort, whatever the number of variants.
+"""Scans over arrays: a fit is a chain of sums over subject blocks.
+
+Dosages are dealt out once, as a (variants x subjects) matrix for each batch of
+variants and block of subjects, and meet there with the packed phenotype rows
+of the block, which are sent once for each batch.  A fit never looks at
+subjects but through sums: ``part`` adds up what a block has to say about the
+present state, ``advance`` takes the total and moves on.  Where a cohort has
+one block all steps run inside the task that holds it.  A larger cohort keeps
+its packed blocks in place, and each step is one aggregation that moves the
+state and its sums only; both ways run the same code and give the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from cohortscan.functions.numeric import active_inverse
 from cohortscan.models.design import SET
+from cohortscan.operators.bounded import join_small
 from cohortscan.schemas import SCAN_KEY, VARIANT_KEY
 from cohortscan.session import checkpointed
 
@@ -26,8 +31,50 @@ from cohortscan.session import checkpointed
 WINDOW = 50_000
 #: Variants that are fitted together, which bounds the work space of a task.
 TOGETHER = 64
+#: Subjects of a block: with 64 variants a matrix of 32 MB.
+BLOCK_SUBJECTS = 65_536
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@dataclass
+class SubjectArrays:
+    """Genotypes as one row for each subject (DATASET, IID, DOSAGES in the order of J), and what each J is.
+
+    Nothing is ever spread to a row for each dosage: subjects are cut into
+    slices of ``TOGETHER`` variants.
+    """
 
-Fit = Callable[[np.ndarray, pd.DataFrame, np.ndarray], dict[str, np.ndarray]]
+    rows: DataFrame
+    variants: DataFrame  # J and VARIANT_KEY
+
+
+@dataclass
+class Block:
+    """Rows of one set in one block beside the dosages of their subjects."""
+
+    dosages: np.ndarray  # variants x subjects of the block, NaN where missing
+    place: np.ndarray  # subject of each row
+    columns: np.ndarray  # rows x columns
+    grid: np.ndarray  # event times of the whole set, where the model has them
+
+    def of_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Dosages by row with zeros where missing, and what was observed."""
+        s = self.dosages[:, self.place]
+        seen = ~np.isnan(s)
+        return np.where(seen, s, 0.0), seen
+
+
+class Fit(Protocol):
+    """``state`` is a dictionary of arrays; ``finished`` in it ends the fit."""
+
+    columns: list[str]
+    outputs: str
+    grid: tuple[str, str] | None  # column of event times and of the event, shared by all blocks of a set
+
+    def start(self, variants: int) -> dict: ...
+    def part(self, state: dict, block: Block) -> dict[str, np.ndarray]: ...
+    def advance(self, state: dict, total: dict[str, np.ndarray]) -> dict: ...
+    def output(self, state: dict) -> dict[str, np.ndarray]: ...
 
 
 def window_of(pos: Column) -> Column:
@@ -37,51 +84,296 @@ def window_of(pos: Column) -> Column:
     return F.when(bp.isNotNull(), F.concat_ws(":", part[0], F.floor(bp / F.lit(WINDOW)).cast("string"))).otherwise(pos)
 
 
-def array_scan(geno: DataFrame, table: DataFrame, columns: list[str], fit: Fit, outputs: str) -> DataFrame:
+def subject_blocks(subjects: DataFrame, size: int) -> DataFrame:
+    """(DATASET, IID, BLOCK, PLACE): about ``size`` subjects a block, dealt by a hash of the id."""
+    counts = subjects.groupBy("DATASET").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("DATASET", F.ceil(F.col("_n") / F.lit(size)).cast("long").alias("_blocks"))
+    dealt = join_small(subjects, counts, ["DATASET"], "inner")
+    dealt = dealt.select("DATASET", "IID", F.pmod(F.xxhash64("IID"), F.col("_blocks")).cast("int").alias("BLOCK"))
+    place = F.row_number().over(Window.partitionBy("DATASET", "BLOCK").orderBy("IID")) - 1
+    return dealt.withColumn("PLACE", place.cast("int"))
+
+
+def packed_rows(table: DataFrame, placed: DataFrame, fit: Fit) -> DataFrame:
+    """(DATASET, BLOCK, ROWS): the phenotype rows of a block in one value, by outcome."""
+    rows = table.join(placed, ["DATASET", "IID"])
+    if fit.grid:
+        time, event = fit.grid
+        times = table.where(F.col(event) == 1).select(*SET, time).distinct()
+        times = times.groupBy(*SET).agg(F.sort_array(F.collect_set(F.col(time).cast("double"))).alias("GRID"))
+        rows = join_small(rows, times, SET, "left")
+    else:
+        rows = rows.withColumn("GRID", F.lit(None).cast("array<double>"))
+
+    def pack(key: tuple, own: pa.Table) -> pa.Table:
+        sets = {}
+        outcome = np.array(own.column("OUTCOME").to_pylist(), object)
+        values = np.column_stack([own.column(c).to_numpy(zero_copy_only=False).astype(float) for c in fit.columns])
+        place, grid = own.column("PLACE").to_numpy(), own.column("GRID")
+        for name in sorted(set(outcome)):
+            at = np.flatnonzero(outcome == name)
+            at = at[np.lexsort((*values[at].T, place[at]))]  # the same sums however rows arrive
+            times = grid[int(at[0])].as_py()
+            sets[name] = (place[at], values[at], np.array(times if times is not None else [], float))
+        return pa.table({"DATASET": [key[0].as_py()], "BLOCK": pa.array([key[1].as_py()], pa.int32()),
+                         "ROWS": pa.array([pickle.dumps(sets)], pa.binary())})
+
+    return rows.select(*SET, "BLOCK", "PLACE", "GRID", *[F.col(c).cast("double").alias(c) for c in fit.columns]).groupBy(
+        "DATASET", "BLOCK").applyInArrow(pack, "DATASET string, BLOCK int, ROWS binary")
+
+
+def dealt_long(geno: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Long dosages by window and block, all batches there are, and the columns that name a variant."""
+    observed = geno.where(F.col("DOSAGE").isNotNull()).join(placed, ["DATASET", "IID"])
+    rows = observed.select("DATASET", window_of(F.col("POS")).alias("BATCH"), "BLOCK", *VARIANT_KEY, "PLACE",
+                           F.col("DOSAGE").cast("double").alias("DOSAGE"))
+    return rows, geno.select("DATASET", window_of(F.col("POS")).alias("BATCH")).distinct(), VARIANT_KEY
+
+
+def dealt_arrays(geno: SubjectArrays, placed: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Slices of subject rows by batch and block."""
+    def slices(array: Column) -> Column:
+        count = F.ceil(F.size(array) / F.lit(TOGETHER)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(array, b * TOGETHER + 1, F.lit(TOGETHER)))
+        return F.when(F.size(array) > 0, cut)
+
+    joined = geno.rows.join(placed, ["DATASET", "IID"])
+    rows = joined.select("DATASET", "BLOCK", "PLACE", F.posexplode(slices(F.col("DOSAGES"))).alias("BATCH", "DOSAGES"))
+    rows = rows.withColumn("BATCH", F.col("BATCH").cast("string"))
+    widths = geno.rows.groupBy("DATASET").agg(F.max(F.size("DOSAGES")).alias("_w")).where(F.col("_w") > 0)
+    last = F.ceil(F.col("_w") / F.lit(TOGETHER)).cast("int") - 1
+    batches = widths.select("DATASET", F.explode(F.transform(F.sequence(F.lit(0), last), lambda b: b.cast("string"))).alias("BATCH"))
+    return rows, batches, ["J"]
+
+
+def read_matrix(table: pa.Table, subjects: int, names: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """Variants of a dealt group and their (variants x subjects) matrix."""
+    place = table.column("PLACE").to_numpy()
+    if names == ["J"]:
+        column = table.column("DOSAGES").combine_chunks()
+        batch = int(table.column("BATCH")[0].as_py())
+        lengths = column.value_lengths().to_numpy()
+        matrix = np.full((int(lengths.max(initial=0)), subjects), np.nan)
+        row = np.repeat(place, lengths)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        matrix[at, row] = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+        return [(batch * TOGETHER + i,) for i in range(len(matrix))], matrix
+    keys = list(zip(*(table.column(c).to_pylist() for c in names)))
+    order = {k: i for i, k in enumerate(sorted(set(keys), key=lambda k: tuple((x is None, x) for x in k)))}
+    matrix = np.full((len(order), subjects), np.nan)
+    matrix[[order[k] for k in keys], place] = table.column("DOSAGE").to_numpy()
+    return list(order), matrix
+
+
+def set_blocks(matrix: np.ndarray, sets: dict):
+    for outcome, (place, columns, grid) in sets.items():
+        yield outcome, Block(matrix, place, columns, grid)
+
+
+def pieces(variants: int):
+    return [slice(i, min(i + TOGETHER, variants)) for i in range(0, variants, TOGETHER)]
+
+
+def array_scan(geno: DataFrame | SubjectArrays, table: DataFrame, fit: Fit) -> DataFrame:
     """Fit every variant of ``geno`` for every set of ``table`` (DATASET, OUTCOME, IID, columns...).
 
-    ``fit(dosages, rows, subject)`` gets a (variants x subjects) matrix with
-    NaN where a dosage is missing, the rows of one set and the matrix column
-    of each row; it returns one array per output name.  ``outputs`` is their
-    schema.
+    Long genotypes have rows (DATASET, POS, A1, A2, IID, DOSAGE).  A variant
+    without any observed row in a set has no result there.
     """
-    table = checkpointed(table.select(*SET, "IID", *columns))
-    subjects = table.select("DATASET", "IID").distinct()
-    observed = geno.where(F.col("DOSAGE").isNotNull()).withColumn("WINDOW", window_of(F.col("POS")))
-    observed = observed.join(subjects, ["DATASET", "IID"], "left_semi").select(
-        "DATASET", "WINDOW", *VARIANT_KEY, "IID", F.col("DOSAGE").cast("double").alias("DOSAGE"))
-    windows = geno.select("DATASET", window_of(F.col("POS")).alias("WINDOW")).distinct()
-    sent = windows.join(table, "DATASET")
+    table = checkpointed(table.select(*SET, "IID", *fit.columns))
+    placed = checkpointed(subject_blocks(table.select("DATASET", "IID").distinct(), BLOCK_SUBJECTS))
+    rows = checkpointed(packed_rows(table, placed, fit))
+    arrays = isinstance(geno, SubjectArrays)
+    dealt, batches, names = dealt_arrays(geno, placed) if arrays else dealt_long(geno, placed)
+    cohorts = placed.groupBy("DATASET").agg(F.max("BLOCK").alias("_last"))
+    sizes = placed.groupBy("DATASET", "BLOCK").agg(F.count(F.lit(1)).cast("int").alias("SUBJECTS"))
+    sent = batches.join(rows.join(sizes, ["DATASET", "BLOCK"]), "DATASET")
     sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])  # columns of its own, apart from those of the dosages
-    names = [c.split()[0] for c in outputs.split(", ")]
-
-    def meet(dosages: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if dosages.empty or rows.empty:
-            return pd.DataFrame(columns=[*SCAN_KEY, *names])
-        variant, keys = pd.factorize(pd.MultiIndex.from_frame(dosages[VARIANT_KEY]))
-        subject, iids = pd.factorize(dosages["IID"])
-        place = pd.Series(np.arange(len(iids)), index=iids)
-        out = []
-        for (dataset, outcome), own in rows.groupby(SET):
-            own = own[own["IID"].isin(place.index)].reset_index(drop=True)
-            if own.empty:
-                continue
-            at = place.loc[own["IID"]].to_numpy()
-            for start in range(0, len(keys), TOGETHER):
-                part = (variant >= start) & (variant < start + TOGETHER)
-                n = min(TOGETHER, len(keys) - start)
-                matrix = np.full((n, len(iids)), np.nan)
-                matrix[variant[part] - start, subject[part]] = dosages["DOSAGE"].to_numpy()[part]
-                seen = ~np.isnan(matrix[:, at]).all(axis=1)  # a variant without any observed row has no result
-                found = pd.DataFrame(list(keys[start: start + n]), columns=VARIANT_KEY)
-                found = found.assign(DATASET=dataset, OUTCOME=outcome, **fit(matrix, own, at))
-                out.append(found[seen])
-        return pd.concat(out)[[*SCAN_KEY, *names]] if out else pd.DataFrame(columns=[*SCAN_KEY, *names])
-
-    types = {f.name: f.dataType.simpleString() for f in geno.schema.fields} | {"OUTCOME": "string"}
-    schema = ", ".join(f"{k} {types[k]}" for k in SCAN_KEY) + ", " + outputs
-    group = ["DATASET", "WINDOW"]
-    return observed.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(meet, schema)
+    types = {"J": "long"} if arrays else {f.name: f.dataType.simpleString() for f in geno.schema.fields}
+    keys = ["DATASET", "OUTCOME", *names]
+    schema = ", ".join(f"{k} {types.get(k, 'string')}" for k in keys) + ", " + fit.outputs
+    many = cohorts.where(F.col("_last") > 0).select("DATASET")
+    if many.isEmpty():
+        out = in_one_task(dealt, sent, fit, names, schema)
+    else:
+        few = cohorts.where(F.col("_last") == 0).select("DATASET")
+
+        def only(df: DataFrame, some: DataFrame) -> DataFrame:
+            return df.join(some, "DATASET", "left_semi")
+
+        out = in_one_task(only(dealt, few), only(sent, few), fit, names, schema).unionByName(
+            across_blocks(only(dealt, many), only(sent, many), fit, names, schema))
+    if not arrays:
+        return out
+    named = join_small(out, geno.variants, ["J"], "inner").drop("J")
+    return named.select(*SCAN_KEY, *[c for c in named.columns if c not in SCAN_KEY])
+
+
+def result_table(found: list[tuple], schema: pa.Schema) -> pa.Table:
+    """Rows of (dataset, outcome, variants, outputs) without the variants that have no observation."""
+    parts = []
+    for dataset, outcome, variants, outputs in found:
+        kept = np.flatnonzero(np.asarray(outputs["N_OBS"]) > 0)
+        columns = [[dataset] * len(kept), [outcome] * len(kept), *([variants[i][k] for i in kept] for k in range(len(variants[0])))]
+        columns += [np.asarray(outputs[n])[kept] for n in schema.names[len(columns):]]
+        parts.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def in_one_task(dealt: DataFrame, sent: DataFrame, fit: Fit, names: list[str], schema: str) -> DataFrame:
+    """All steps of a batch in the task that holds its only block."""
+    own = arrow_schema(schema)
+
+    def meet(key: tuple, dosages: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(dosages) or not len(rows):
+            return own.empty_table()
+        variants, matrix = read_matrix(dosages, rows.column("SUBJECTS")[0].as_py(), names)
+        found = []
+        for outcome, block in set_blocks(matrix, pickle.loads(rows.column("ROWS")[0].as_py())):
+            for cut in pieces(len(variants)):
+                part = Block(matrix[cut], block.place, block.columns, block.grid)
+                state = fit.start(len(part.dosages))
+                while not state["finished"]:
+                    state = fit.advance(state, fit.part(state, part))
+                found.append((key[0].as_py(), outcome, variants[cut], fit.output(state)))
+        return result_table(found, own)
+
+    group = ["DATASET", "BATCH"]
+    return dealt.groupBy(*group).cogroup(sent.groupBy(*group)).applyInArrow(meet, schema)
+
+
+def added(a: dict, b: dict) -> dict:
+    return {k: a[k] + b[k] for k in a}
+
+
+class one_row_batches:
+    """Packed blocks are large: Python gets them one by one while a step runs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        self.before = self.spark.conf.get(BATCH_CONF)
+        self.spark.conf.set(BATCH_CONF, "1")
+
+    def __exit__(self, *error):
+        self.spark.conf.set(BATCH_CONF, self.before)
+
+
+STATES = "DATASET string, BATCH string, OUTCOME string, PIECE int, STATE binary, FINISHED boolean"
+
+
+def across_blocks(dealt: DataFrame, sent: DataFrame, fit: Fit, names: list[str], schema: str, most_steps: int = 200) -> DataFrame:
+    """The same fit where a cohort has several blocks: one aggregation over blocks for each step."""
+    spark, own = dealt.sparkSession, arrow_schema(schema)
+    group = ["DATASET", "BATCH", "BLOCK"]
+    # All blocks of a batch name the same variants, whichever of them its own rows hold.
+    listed = dealt.groupBy("DATASET", "BATCH").agg(F.sort_array(F.collect_set(F.struct(*names))).alias("NAMES")) if names != ["J"] else None
+    if listed is not None:
+        sent = sent.join(listed, ["DATASET", "BATCH"])
+
+    def pack(key: tuple, dosages: pa.Table, rows: pa.Table) -> pa.Table:
+        out = {"DATASET": [], "BATCH": [], "BLOCK": [], "PACKED": []}
+        if len(rows) and len(dosages):
+            subjects = rows.column("SUBJECTS")[0].as_py()
+            variants, matrix = read_matrix(dosages, subjects, names)
+            if names != ["J"]:
+                every = [tuple(x[n] for n in names) for x in rows.column("NAMES")[0].as_py()]
+                full = np.full((len(every), subjects), np.nan)
+                full[[every.index(v) for v in variants]] = matrix
+                variants, matrix = every, full
+            packed = pickle.dumps((variants, matrix, pickle.loads(rows.column("ROWS")[0].as_py())))
+            out = {"DATASET": [key[0].as_py()], "BATCH": [key[1].as_py()], "BLOCK": [key[2].as_py()], "PACKED": [packed]}
+        return pa.table(out, schema=pa.schema([("DATASET", pa.string()), ("BATCH", pa.string()), ("BLOCK", pa.int32()), ("PACKED", pa.binary())]))
+
+    def first(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                variants, matrix, sets = pickle.loads(row["PACKED"])
+                for outcome, block in set_blocks(matrix, sets):
+                    for i, cut in enumerate(pieces(len(variants))):
+                        part = Block(matrix[cut], block.place, block.columns, block.grid)
+                        yield part_row(row, outcome, i, variants[cut], fit.start(len(part.dosages)), part)
+
+    def later(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                variants, matrix, sets = pickle.loads(row["PACKED"])
+                blocks = dict(set_blocks(matrix, sets))
+                for s in row["STATES"]:
+                    if s["OUTCOME"] in blocks:
+                        block, cut = blocks[s["OUTCOME"]], pieces(len(variants))[s["PIECE"]]
+                        part = Block(matrix[cut], block.place, block.columns, block.grid)
+                        yield part_row(row, s["OUTCOME"], s["PIECE"], variants[cut], pickle.loads(s["STATE"])[1], part)
+
+    def part_row(row, outcome, piece, variants, state, block):
+        value = pickle.dumps((variants, state, fit.part(state, block)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row["DATASET"]]), pa.array([row["BATCH"]]), pa.array([outcome]), pa.array([piece], pa.int32()),
+             pa.array([row["BLOCK"]], pa.int32()), pa.array([value], pa.binary())],
+            ["DATASET", "BATCH", "OUTCOME", "PIECE", "BLOCK", "PART"])
+
+    def moved(batches):
+        """Adds the parts of a set one after the other, in the order of blocks."""
+        key = total = None
+
+        def done():
+            variants, state, sums = total
+            state = fit.advance(state, sums)
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([k]) for k in key[:3]), pa.array([key[3]], pa.int32()),
+                 pa.array([pickle.dumps((variants, state))], pa.binary()), pa.array([bool(state["finished"])])],
+                ["DATASET", "BATCH", "OUTCOME", "PIECE", "STATE", "FINISHED"])
+
+        for b in batches:
+            for row in b.to_pylist():
+                here = (row["DATASET"], row["BATCH"], row["OUTCOME"], row["PIECE"])
+                variants, state, sums = pickle.loads(row["PART"])
+                if here != key:
+                    if key is not None:
+                        yield done()
+                    key, total = here, (variants, state, sums)
+                else:
+                    total = (variants, state, added(total[2], sums))
+        if key is not None:
+            yield done()
+
+    parts_type = "DATASET string, BATCH string, OUTCOME string, PIECE int, BLOCK int, PART binary"
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = dealt.groupBy(*group).cogroup(sent.groupBy(*group)).applyInArrow(pack, "DATASET string, BATCH string, BLOCK int, PACKED binary")
+    packed = checkpointed(packed).repartition(places, "DATASET", "BATCH").persist(StorageLevel.DISK_ONLY)
+    finished, step_of = None, ["DATASET", "BATCH", "OUTCOME", "PIECE"]
+    try:
+        with one_row_batches(spark):
+            parts = packed.mapInArrow(first, parts_type)
+            for _ in range(most_steps):
+                sums = parts.repartition(places, *step_of).sortWithinPartitions(*step_of, "BLOCK")
+                states = checkpointed(sums.mapInArrow(moved, STATES))
+                done = states.where("FINISHED")
+                finished = done if finished is None else finished.unionByName(done)
+                left = states.where("NOT FINISHED")
+                if left.isEmpty():
+                    break
+                waiting = left.groupBy("DATASET", "BATCH").agg(F.collect_list(F.struct("OUTCOME", "PIECE", "STATE")).alias("STATES"))
+                parts = packed.join(waiting.hint("shuffle_hash"), ["DATASET", "BATCH"]).mapInArrow(later, parts_type)
+    finally:
+        packed.unpersist()
+
+    def read(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                variants, state = pickle.loads(row["STATE"])
+                table = result_table([(row["DATASET"], row["OUTCOME"], variants, fit.output(state))], own)
+                yield from table.to_batches()
+
+    return finished.mapInArrow(read, schema)
 
 
 def weighted_sums(w: np.ndarray, s: np.ndarray, x: np.ndarray, products: np.ndarray) -> np.ndarray:
@@ -93,145 +385,3 @@ def weighted_sums(w: np.ndarray, s: np.ndarray, x: np.ndarray, products: np.ndar
     out[:, :q, q] = out[:, q, :q] = ws @ x
     out[:, q, q] = (ws * s).sum(axis=1)
     return out
-
-
-def logistic_fit(covariates: list[str], max_steps: int, tolerance: float) -> Fit:
-    """Newton steps of all variants together; a variant that has settled is left out of further steps."""
-    def fit(dosages: np.ndarray, rows: pd.DataFrame, subject: np.ndarray) -> dict[str, np.ndarray]:
-        s = dosages[:, subject]
-        seen = ~np.isnan(s)
-        s = np.where(seen, s, 0.0)
-        y = rows["Y"].to_numpy(float)
-        # The dosage comes before the covariates, so it is they that drop out as aliased.
-        x = np.column_stack([np.ones(len(rows)), rows[covariates].to_numpy(float)])
-        v, q = len(s), x.shape[1]
-        order = [0, q, *range(1, q)]
-        products = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-        beta = np.zeros((v, q + 1))
-        dev, se = np.full(v, np.nan), np.full(v, np.nan)
-        varies, done = np.ones(v, bool), np.zeros(v, bool)
-        for _ in range(max_steps):
-            at = np.flatnonzero(~done)
-            if not len(at):
-                break
-            eta = beta[at, :q] @ x.T + beta[at, q:] * s[at]
-            mu = 1.0 / (1.0 + np.exp(-eta))
-            w, r = mu * (1.0 - mu) * seen[at], (y - mu) * seen[at]
-            hessian = weighted_sums(w, s[at], x, products)[:, order][:, :, order]
-            score = np.column_stack([r @ x, (r * s[at]).sum(axis=1)])[:, order]
-            soft = np.maximum(eta, 0.0) + np.log1p(np.exp(-np.abs(eta)))
-            new = 2.0 * ((soft - y * eta) * seen[at]).sum(axis=1)
-            inverse, keep = active_inverse(hessian)
-            beta[np.ix_(at, order)] += np.einsum("vij,vj->vi", inverse, score)
-            se[at], varies[at] = np.sqrt(np.maximum(inverse[:, 1, 1], 0.0)), keep[:, 1]
-            with np.errstate(invalid="ignore"):
-                done[at] = np.abs(new - dev[at]) / (np.abs(new) + 0.1) < tolerance
-            dev[at] = new
-        return {"B": beta[:, q], "SE": se, "N_OBS": seen.sum(axis=1), "N_EVENT": (seen * y).sum(axis=1).astype(int),
-                "VARIES": varies, "DONE": done}
-
-    return fit
-
-
-class RiskSets:
-    """Sums over the rows at risk at each event time of a set, and over the rows with an event there."""
-
-    def __init__(self, rows: pd.DataFrame):
-        start, stop = rows["TSTART"].to_numpy(float), rows["TSTOP"].to_numpy(float)
-        self.event = rows["EVENT"].to_numpy() == 1
-        self.times = np.unique(stop[self.event])
-        grid = np.arange(1, len(self.times) + 1)
-        low, high = (np.searchsorted(self.times, t, "right") for t in (start, stop))
-        self.by_low, self.by_high = np.argsort(low, kind="stable"), np.argsort(high, kind="stable")
-        self.from_low = np.searchsorted(low[self.by_low], grid)
-        self.from_high = np.searchsorted(high[self.by_high], grid)
-        rows_in = np.flatnonzero(self.event)
-        self.deaths = rows_in[np.argsort(high[rows_in], kind="stable")]
-        self.first = np.searchsorted(high[self.deaths], grid)
-
-    def at_risk(self, x: np.ndarray) -> np.ndarray:
-        """Rows enter the suffix sums at their stop and leave them at their start."""
-        def suffix(order, start):
-            total = np.concatenate([np.cumsum(x[:, order[::-1]], axis=1)[:, ::-1], np.zeros((len(x), 1))], axis=1)
-            return total[:, start]
-
-        return suffix(self.by_high, self.from_high) - suffix(self.by_low, self.from_low)
-
-    def with_event(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x[:, self.deaths], self.first, axis=1)
-
-
-def cox_fit(covariates: list[str], max_steps: int, tolerance: float) -> Fit:
-    """Efron partial likelihood; the dosage is the first coefficient."""
-    def fit(dosages: np.ndarray, rows: pd.DataFrame, subject: np.ndarray) -> dict[str, np.ndarray]:
-        s = dosages[:, subject]
-        seen = ~np.isnan(s)
-        s = np.where(seen, s, 0.0)
-        x = rows[covariates].to_numpy(float)
-        v, p = len(s), 1 + len(covariates)
-        sets = RiskSets(rows)
-        counts = {
-            "N_OBS": seen.sum(axis=1), "N_EVENT": (seen * sets.event).sum(axis=1),
-            "N_GROUP": (~np.isnan(dosages[:, np.unique(subject)])).sum(axis=1),
-        }
-        beta, last, ll = np.zeros((v, p)), np.zeros((v, p)), np.full(v, np.nan)
-        se, varies, done = np.full(v, np.nan), np.zeros(v, bool), np.zeros(v, bool)
-        if not len(sets.times):
-            return counts | {"B": last[:, 0], "SE": se, "VARIES": varies, "DONE": done}
-        for _ in range(max_steps):
-            at = np.flatnonzero(~done)
-            if not len(at):
-                break
-            values, score, information = _partial(sets, s[at], seen[at], x, beta[at])
-            inverse, keep = active_inverse(information, 1e-9)
-            se[at], varies[at] = np.sqrt(np.maximum(inverse[:, 0, 0], 0.0)), keep[:, 0]
-            old = ll[at]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                worse = np.isfinite(old) & (values < old - 1e-9 * np.abs(old))
-                settled = ~worse & ((values == 0) | (np.isfinite(old) & (np.abs(1.0 - old / values) < tolerance)))
-            ahead = beta[at] + np.einsum("vij,vj->vi", inverse, score)
-            halved = (beta[at] + last[at]) / 2.0
-            last[at] = np.where(worse[:, None], last[at], beta[at])
-            beta[at] = np.where(worse[:, None], halved, ahead)
-            ll[at] = np.where(worse, old, values)
-            done[at] = settled
-        return counts | {"B": last[:, 0], "SE": se, "VARIES": varies, "DONE": done}
-
-    return fit
-
-
-def _partial(sets: RiskSets, s: np.ndarray, seen: np.ndarray, x: np.ndarray, beta: np.ndarray):
-    """Log partial likelihood, score and information of each variant."""
-    v, p = len(s), beta.shape[1]
-    columns = [s, *(np.broadcast_to(c, s.shape) for c in x.T)]
-    lp = beta[:, :1] * s + beta[:, 1:] @ x.T
-    r = np.exp(lp) * seen
-    event = seen & sets.event
-    deaths = sets.with_event(event.astype(float))
-    risk0, tied0 = sets.at_risk(r), sets.with_event(r * event)
-    j = deaths.shape[1]
-    risk1, tied1 = np.empty((v, j, p)), np.empty((v, j, p))
-    risk2, tied2 = np.empty((v, j, p, p)), np.empty((v, j, p, p))
-    score = np.empty((v, p))
-    for a, xa in enumerate(columns):
-        ra = r * xa
-        risk1[:, :, a], tied1[:, :, a] = sets.at_risk(ra), sets.with_event(ra * event)
-        score[:, a] = (xa * event).sum(axis=1)
-        for b in range(a + 1):
-            rab = ra * columns[b]
-            risk2[:, :, a, b] = risk2[:, :, b, a] = sets.at_risk(rab)
-            tied2[:, :, a, b] = tied2[:, :, b, a] = sets.with_event(rab * event)
-    values = (lp * event).sum(axis=1)
-    information = np.zeros((v, p, p))
-    # Deaths tied at a time share its risk set less a growing part of themselves.
-    for k in range(int(deaths.max(initial=0))):
-        part = (deaths > k).astype(float)
-        share = np.where(deaths > k, k / np.where(deaths > k, deaths, 1.0), 0.0)
-        s0 = np.where(part > 0, risk0 - share * tied0, 1.0)
-        s1 = (risk1 - share[:, :, None] * tied1) / s0[:, :, None]
-        s2 = (risk2 - share[:, :, None, None] * tied2) / s0[:, :, None, None]
-        values = values - (part * np.log(s0)).sum(axis=1)
-        score = score - (part[:, :, None] * s1).sum(axis=1)
-        information += (part[:, :, None, None] * s2).sum(axis=1)
-        information -= np.einsum("vja,vjb->vab", part[:, :, None] * s1, s1)
-    return values, score, information

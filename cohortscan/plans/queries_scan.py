@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortscan.functions.columns import rounded
 from cohortscan.models import blup, cox, linear, logistic, mixed
+from cohortscan.models.arrays import SubjectArrays
 from cohortscan.operators import genotype as G
 from cohortscan.operators import pheno as P
 from cohortscan.operators import structure as S
@@ -15,6 +16,8 @@ from cohortscan.plans.queries_post import round_columns
 from cohortscan.plans.queries_prep import _STATS_SQL, SURVIVAL_CTES
 from cohortscan.plans.registry import query
 from cohortscan.plans.views import Tables, nlp_sql, rnd, sql_with
+from cohortscan.schemas import PCS
+from cohortscan.session import checkpointed
 
 COVS = ["AAO", "YEARSEDUC", "FEMALE", "YEARfDIAG"]
 EFFECT = ["BETA", "SE", "STAT", "NEGLOG10P"]
@@ -272,12 +275,14 @@ def _solve(source: str, names: list[str], tag: str, units: tuple[str, ...] = ("e
     return ctes, last
 
 
-def _logistic_full_sql(rounds: int = 14) -> str:
+def _logistic_full_sql(rounds: int = 14, covariates: list[str] = _ZC, first: str = _FIRST, together: bool = False,
+                       digits: int = 5) -> str:
     """Newton steps from zero, written out; every set of the view converges well before the last."""
-    names = ["one", "s", "z0", "z1", "z2", "z3"]
+    names = ["one", "s", *(f"z{i}" for i in range(len(covariates)))]
     ctes = {
-        "f": _FIRST, "zf": _scaled_sql("f", _ZC).replace("HY AS y", "CASE WHEN HY > 40 THEN 1.0::DOUBLE ELSE 0.0 END AS y"),
-        "d": "SELECT g.POS, DOSAGE AS s, zf.* FROM cgeno g JOIN zf ON g.DATASET = zf.DATASET AND g.IID = zf.IID WHERE DOSAGE IS NOT NULL",
+        "f": first, "zf": _scaled_sql("f", covariates).replace("HY AS y", "CASE WHEN HY > 40 THEN 1.0::DOUBLE ELSE 0.0 END AS y"),
+        "d": f"""SELECT g.POS, DOSAGE AS s, zf.* FROM cgeno g JOIN zf ON {'' if together else 'g.DATASET = zf.DATASET AND '}g.IID = zf.IID
+ WHERE DOSAGE IS NOT NULL""",
         "b0": f"SELECT DATASET, POS, {', '.join(f'0.0::DOUBLE AS b_{n}' for n in names)}, 0.0::DOUBLE AS v FROM d GROUP BY 1, 2",
     }
     eta = " + ".join(f"b_{n} * {n}" for n in names)
@@ -291,15 +296,30 @@ def _logistic_full_sql(rounds: int = 14) -> str:
         moved = ", ".join(f"b_{n} + a_{n}_g AS b_{n}" for n in names)
         ctes[f"b{r + 1}"] = f"SELECT b.DATASET, b.POS, {moved}, a_s_e AS v FROM b{r} b JOIN {last} x ON b.DATASET = x.DATASET AND b.POS = x.POS"
     z = "(b_s / sqrt(v))"
-    return sql_with("sv cgeno", f"""SELECT 'lgsbl' AS MODEL, b.DATASET, 'HY' AS OUTCOME, b.POS, 'snp' AS TERM, {rnd('b_s', 5)} AS BETA, {rnd('sqrt(v)', 5)} AS SE,
- {rnd(z, 5)} AS STAT, {rnd(nlp_sql(z), 5)} AS NEGLOG10P, n AS N_OBS, n AS N_GROUP, e AS N_EVENT, 'OK' AS STATUS FROM b{rounds} b
+    return sql_with("sv cgeno pcs", f"""SELECT 'lgsbl' AS MODEL, b.DATASET, 'HY' AS OUTCOME, b.POS, 'snp' AS TERM, {rnd('b_s', digits)} AS BETA, {rnd('sqrt(v)', digits)} AS SE,
+ {rnd(z, digits)} AS STAT, {rnd(nlp_sql(z), digits)} AS NEGLOG10P, n AS N_OBS, n AS N_GROUP, e AS N_EVENT, 'OK' AS STATUS FROM b{rounds} b
  JOIN (SELECT DATASET, POS, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS e FROM d GROUP BY 1, 2) c ON b.DATASET = c.DATASET AND b.POS = c.POS""", **ctes)
 
 
 @query("logistic_scan_full", _logistic_full_sql())
 def logistic_scan_full(spark, path):
     t = Tables(spark, path)
-    return _shown(logistic.logistic_scan(t.cohort_geno(), case_rows(t), COVS), 5)
+    return _shown(logistic.logistic_scan(t.cohort_arrays(), case_rows(t), COVS), 5)
+
+
+#: As many covariates as a full study model has: seven clinical ones and five components.
+_WIDE = ["AAO", "YEARSEDUC", "FEMALE", "YEARfDIAG", "BLDfDIAG", "FAMILY_HISTORY", "DOPA", *PCS]
+_FIRST_WIDE = f"SELECT f.* REPLACE ('ALL' AS DATASET), {', '.join(PCS)} FROM ({_FIRST}) f JOIN pcs ON f.DATASET = pcs.DATASET AND f.IID = pcs.IID"
+
+
+@query("logistic_scan_wide", _logistic_full_sql(10, _WIDE, _FIRST_WIDE, True, 4))
+def logistic_scan_wide(spark, path):
+    """All cohorts taken as one, with the covariates of a full study."""
+    t = Tables(spark, path)
+    rows = case_rows(t).join(t.components(), ["DATASET", "IID"]).withColumn("DATASET", F.lit("ALL"))
+    geno = t.cohort_arrays()
+    geno = SubjectArrays(geno.rows.withColumn("DATASET", F.lit("ALL")), geno.variants)
+    return _shown(logistic.logistic_scan(geno, rows, _WIDE), 4)
 
 
 def survival_table(t: Tables, carry: list[str]) -> DataFrame:
@@ -391,7 +411,7 @@ def _cox_full_sql(rounds: int = 8) -> str:
 @query("cox_scan_full", _cox_full_sql())
 def cox_scan_full(spark, path):
     t = Tables(spark, path)
-    return _shown(cox.cox_scan(t.cohort_geno(), survival_table(t, _COX_COVS), _COX_COVS), 4)
+    return _shown(cox.cox_scan(t.cohort_arrays(), survival_table(t, _COX_COVS), _COX_COVS), 4)
 
 
 _MIXED = ["TERM", "N_OBS", "N_GROUP", "BETA", "SE"]
@@ -613,7 +633,7 @@ def mixed_slope_scan(spark, path):
     from cohortscan.models import slope
 
     t = Tables(spark, path)
-    return _shown(slope.random_slope_scan(t.cohort_geno(), visit_rows(t), ["AAO", "YEARfDIAG"]), 4)
+    return _shown(slope.random_slope_scan(t.cohort_arrays(), visit_rows(t), ["AAO", "YEARfDIAG"]), 4)
 
 
 # ------------------------------------------------------------------ whole study
@@ -624,11 +644,7 @@ def study(t: Tables):
     """Model tables of the whole study, with five components of each subject."""
     from cohortscan.plans import lifecycle
 
-    components = t.read("embeddings").select(
-        F.concat(F.lit("D"), (F.col("vec_id") % 5).cast("string")).alias("DATASET"), F.col("vec_id").alias("IID"),
-        *[F.get(F.reverse("embedding"), F.lit(i)).cast("double").alias(f"PC{i + 1}") for i in range(5)],
-    )
-    return lifecycle.prepare_visits(t.subject_visits(), components, BINARY, CONTINUOUS, STUDY_COVARIATES)
+    return lifecycle.prepare_visits(t.subject_visits(), t.components(), BINARY, CONTINUOUS, STUDY_COVARIATES)
 
 
 @query("manifest_to_tiers")

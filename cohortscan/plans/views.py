@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortscan.models.arrays import SubjectArrays
+
 
 def _hundredths(column: str):
     return F.round(F.col(column) * 100).cast("long")
@@ -104,6 +106,26 @@ class Tables:
             F.when(F.col("J") % 3 == 0, "T").otherwise("G").alias("A2"), "DOSAGE",
         )
 
+    def cohort_arrays(self) -> SubjectArrays:
+        """The same dosages as one array for each subject, and the variant of each place."""
+        iid, clamp = F.col("vec_id"), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.lit(1.0) + F.lit(4.0) * x.cast("double")))
+        rows = self.read("embeddings").select(
+            F.concat(F.lit("D"), (iid % 5).cast("string")).alias("DATASET"), iid.alias("IID"),
+            F.transform("embedding", lambda x, j: F.when((iid + j) % 29 != 0, clamp(x))).alias("DOSAGES"),
+        )
+        j, last = F.col("J"), F.max(F.size("embedding")).cast("long") - 1
+        variants = self.read("embeddings").agg(last.alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("J"))
+        pos = F.concat((F.lit(1) + j % 22).cast("string"), F.lit(":"), (F.lit(1000) * (j + 1)).cast("string"))
+        return SubjectArrays(rows, variants.select(
+            j, pos.alias("POS"), F.when(j % 2 == 0, "A").otherwise("C").alias("A1"), F.when(j % 3 == 0, "T").otherwise("G").alias("A2")))
+
+    def components(self) -> DataFrame:
+        """Five components of each subject: the last entries of its vector."""
+        return self.read("embeddings").select(
+            F.concat(F.lit("D"), (F.col("vec_id") % 5).cast("string")).alias("DATASET"), F.col("vec_id").alias("IID"),
+            *[F.get(F.reverse("embedding"), F.lit(i)).cast("double").alias(f"PC{i + 1}") for i in range(5)],
+        )
+
     def assoc(self) -> DataFrame:
         """Per-cohort results (DATASET, POS, A1, A2, BETA, SE, ALT_FRQ, RSQ)."""
         cohort, part = F.col("l_suppkey") % 13, F.col("l_partkey")
@@ -219,6 +241,8 @@ VIEW_SQL = {
  FROM (SELECT vec_id AS IID, unnest(embedding) AS X, generate_subscripts(embedding, 1) - 1 AS J FROM embeddings)""",
     "cgeno": """SELECT 'D' || CAST(IID % 5 AS VARCHAR) AS DATASET, IID, POS, CASE WHEN J % 2 = 0 THEN 'A' ELSE 'C' END AS A1,
  CASE WHEN J % 3 = 0 THEN 'T' ELSE 'G' END AS A2, DOSAGE FROM geno""",
+    "pcs": "SELECT 'D' || CAST(vec_id % 5 AS VARCHAR) AS DATASET, vec_id AS IID, " + ", ".join(
+        f"CAST(embedding[{-i - 1}] AS DOUBLE) AS PC{i + 1}" for i in range(5)) + " FROM embeddings",
     "assoc": f"""SELECT * FROM (SELECT 'S' || CAST(l_suppkey % 13 AS VARCHAR) AS DATASET,
  CAST(1 + l_partkey % 22 AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) AS POS,
  CASE WHEN (l_suppkey % 13 + l_partkey) % 2 = 0 THEN 'A' ELSE 'G' END AS A1,
