@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortscan import schemas as S
+from cohortscan.operators.bounded import salted_join
 from cohortscan.operators.manifest import parse_manifest
 
 FILE = "_metadata.file_path"
@@ -23,6 +24,11 @@ def path_part(from_end: int) -> Column:
     return F.element_at(parts, F.lit(-from_end))
 
 
+def folder_value(key: str) -> Column:
+    """Value of a ``key=value`` folder of the file path, as partitioned writers lay it out."""
+    return F.regexp_extract(F.col(FILE), rf"/{key}=([^/]*)/", 1)
+
+
 def read_delimited(
     spark: SparkSession, path, schema: T.StructType, sep: str = "\t", header: bool = True
 ) -> DataFrame:
@@ -108,27 +114,35 @@ def read_weights(spark: SparkSession, path, positions: list[int], sep: str = "\t
     ).where(F.col("WEIGHT").isNotNull())
 
 
-def read_cohort_results(spark: SparkSession, path) -> DataFrame:
-    """Per-cohort result tables laid out as DATASET/MODEL/OUTCOME/file."""
-    return read_delimited(spark, path, S.COHORT_RESULT).select(
-        path_part(4).alias("DATASET"), path_part(3).alias("MODEL"), path_part(2).alias("OUTCOME"), "*"
-    )
+def read_cohort_results(spark: SparkSession, path, names: dict[str, Column] | None = None) -> DataFrame:
+    """Per-cohort result tables laid out as DATASET/MODEL/OUTCOME/file, unless ``names`` says otherwise.
+
+    Any number of chunk files of a result is read together; each has its own header line.
+    """
+    names = names or {"DATASET": path_part(4), "MODEL": path_part(3), "OUTCOME": path_part(2)}
+    return read_delimited(spark, path, S.COHORT_RESULT).select(*[c.alias(n) for n, c in names.items()], *S.COHORT_RESULT.names)
 
 
-def read_meta_tables(spark: SparkSession, path) -> DataFrame:
-    """Pooled tables ``MODEL/OUTCOME1.tbl``: model and outcome from the path."""
+def read_meta_tables(spark: SparkSession, path, names: dict[str, Column] | None = None) -> DataFrame:
+    """Pooled tables ``MODEL/OUTCOME1.tbl``: model and outcome from the path, unless ``names`` says otherwise."""
     table = read_delimited(spark, path, S.META_RESULT)
+    names = names or {"MODEL": path_part(2), "OUTCOME": F.regexp_extract(path_part(1), r"^(.*)\d\.tbl$", 1)}
     return table.select(
-        path_part(2).alias("MODEL"), F.regexp_extract(path_part(1), r"^(.*)\d\.tbl$", 1).alias("OUTCOME"),
+        *[c.alias(n) for n, c in names.items()],
         F.col("MarkerName").alias("POS"), F.upper("Allele1").alias("Allele1"), F.upper("Allele2").alias("Allele2"),
         "Freq1", "FreqSE", "MinFreq", "MaxFreq", "Effect", "StdErr", F.col("P-value").alias("P"), "Direction",
         "HetISq", "HetChiSq", "HetDf", "HetPVal",
     )
 
 
-def discover(spark: SparkSession, path) -> DataFrame:
-    """(MODEL, OUTCOME, FILE) of every result file, without reading any content."""
-    files = spark.read.format("binaryFile").load(path).select("path")
+def discover(spark: SparkSession, path, keys: list[str] | None = None) -> DataFrame:
+    """(MODEL, OUTCOME, FILE) of every result file, without reading any content.
+
+    ``keys`` names ``key=value`` folders to take instead, as partitioned writers lay them out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    if keys:
+        return files.select(*[F.regexp_extract("path", rf"/{k}=([^/]*)/", 1).alias(k) for k in keys], F.col("path").alias("FILE"))
     parts = F.split("path", "/")
     return files.select(
         F.element_at(parts, F.lit(-2)).alias("MODEL"),
@@ -148,51 +162,62 @@ def read_wide_dosages(
     together and no table gets wide.
     """
     name = path_part(2) if dataset is None else dataset
-    lines = spark.read.text(path).select(
-        name.alias("DATASET"), F.col(FILE).alias("_file"), F.split("value", sep).alias("_f")
-    )
-    is_header = F.col("_f")[0].isin("IID", "ID", "FID")
-    columns = lines.where(is_header).select(
-        "_file", F.posexplode(F.slice("_f", id_columns + 1, 1 << 30)).alias("_i", "VARIANT")
-    )
-    values = lines.where(~is_header).select(
-        "DATASET", "_file", F.col("_f")[0].alias("IID"),
-        F.posexplode(F.slice("_f", id_columns + 1, 1 << 30)).alias("_i", "_v"),
-    )
-    return _named_variants(values.join(columns, ["_file", "_i"]))
+    lines = spark.read.text(path).select(name.alias("DATASET"), F.col(FILE).alias("FILE"), "value")
+    return parse_wide_dosages(lines, id_columns, sep)
 
 
-def _named_variants(values: DataFrame) -> DataFrame:
-    part = F.split("VARIANT", "_")
-    return values.select(
+def parse_wide_dosages(lines: DataFrame, id_columns: int = 2, sep: str = r"[\t ]") -> DataFrame:
+    """Lines (DATASET, FILE, value), a header among those of each file, to long rows."""
+    fields = lines.select("DATASET", "FILE", F.split("value", sep).alias("_f"))
+    is_header = F.col("_f")[0].isin("IID", "ID", "FID")
+    rest = F.slice("_f", id_columns + 1, 1 << 30)
+    names = fields.where(is_header).select("FILE", rest.alias("NAMES"))
+    samples = fields.where(~is_header).select("DATASET", "FILE", F.col("_f")[0].alias("IID"), rest.alias("VALUES"))
+    return _named_variants(samples, names)
+
+
+def _named_variants(samples: DataFrame, names: DataFrame) -> DataFrame:
+    """Names meet whole sample lines by file, salted, as a file can hold most lines; values are spread afterwards."""
+    both = salted_join(samples, names, ["FILE"], "inner")
+    cells = both.select("DATASET", "IID", F.explode(F.arrays_zip("NAMES", "VALUES")).alias("c"))
+    part = F.split(F.col("c.NAMES"), "_")
+    return cells.where(F.col("c.NAMES").isNotNull()).select(
         "DATASET", "IID", part[0].alias("POS"), F.get(part, F.lit(2)).alias("A1"), F.get(part, F.lit(1)).alias("A2"),
-        F.col("_v").try_cast("double").alias("DOSAGE"),
+        F.col("c.VALUES").try_cast("double").alias("DOSAGE"),
     )
 
 
+def in_line_order(spark: SparkSession, path) -> DataFrame:
+    """Lines of text files with FILE and PLACE: where their split starts in the file, then their place in it.
+
+    Rows of a split come in order and from one task, so the pair sorts the
+    lines of a file however many splits it is cut into.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.col(FILE).alias("FILE"), place.alias("PLACE"), "value")
+
+
 def read_mach_dosages(spark: SparkSession, dose_path, info_path, dataset: Column | None = None) -> DataFrame:
     """``FID->IID DOSE v1 v2 ...`` lines with the variant list of the info file.
 
     The two files share their name up to the first dot after the chromosome.
     """
     name = path_part(2) if dataset is None else dataset
-    stem = F.regexp_replace(F.col(FILE), r"\.mach\.(dose|info)(\.gz)?$", "")
-    info = spark.read.text(info_path).select(
-        stem.alias("_file"), F.split("value", r"\t").alias("_f"), F.monotonically_increasing_id().alias("_line")
-    ).where(F.col("_f")[0] != "SNP")
-    from cohortscan.operators.ordered import global_rank
-
-    ordered = global_rank(
-        info.select("_file", "_line", F.concat_ws("_", F.col("_f")[0], F.col("_f")[1], F.col("_f")[2]).alias("VARIANT")),
-        ["_file"], ["_line"], "_n",
-    ).select("_file", "VARIANT", (F.col("_n") - 1).cast("int").alias("_i"))
-    lines = spark.read.text(dose_path).select(
-        name.alias("DATASET"), stem.alias("_file"), F.split(F.regexp_replace("value", "->", "\t"), r"[\t ]+").alias("_f")
-    )
-    values = lines.select(
-        "DATASET", "_file", F.col("_f")[1].alias("IID"), F.posexplode(F.slice("_f", 4, 1 << 30)).alias("_i", "_v")
-    )
-    return _named_variants(values.join(ordered, ["_file", "_i"]))
+    stem = lambda c: F.regexp_replace(c, r"\.mach\.(dose|info)(\.gz)?$", "")
+    lines = spark.read.text(dose_path).select(name.alias("DATASET"), stem(F.col(FILE)).alias("FILE"), "value")
+    return parse_mach_dosages(lines, in_line_order(spark, info_path).withColumn("FILE", stem(F.col("FILE"))))
+
+
+def parse_mach_dosages(lines: DataFrame, info: DataFrame) -> DataFrame:
+    """Dose lines (DATASET, FILE, value) and info lines (FILE, PLACE, value), whose order is that of the doses."""
+    fields = info.select("FILE", "PLACE", F.split("value", r"\t").alias("_f")).where(F.col("_f")[0] != "SNP")
+    variant = F.struct("PLACE", F.concat_ws("_", F.col("_f")[0], F.col("_f")[1], F.col("_f")[2]).alias("VARIANT"))
+    # As long as one dose line, which is a row as well.
+    names = fields.groupBy("FILE").agg(F.array_sort(F.collect_list(variant)).alias("_n")).select(
+        "FILE", F.col("_n.VARIANT").alias("NAMES"))
+    split = F.split(F.regexp_replace("value", "->", "\t"), r"[\t ]+")
+    samples = lines.select("DATASET", "FILE", split[1].alias("IID"), F.slice(split, 4, 1 << 30).alias("VALUES"))
+    return _named_variants(samples, names)
 
 
 # --------------------------------------------------------------------------- VCF
@@ -204,19 +229,23 @@ def read_vcf(spark: SparkSession, path, dataset: Column | None = None, block: in
     names of the file's header travel as a parallel array.
     """
     name = path_part(2) if dataset is None else dataset
-    lines = spark.read.text(path).select(name.alias("DATASET"), F.col(FILE).alias("_file"), "value")
+    return parse_vcf(spark.read.text(path).select(name.alias("DATASET"), F.col(FILE).alias("FILE"), "value"), block)
+
+
+def parse_vcf(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """Lines (DATASET, FILE, value), with the #CHROM line of each file, to the same array rows."""
     body = lines.where(~F.col("value").startswith("##")).withColumn("_f", F.split("value", "\t"))
     header = body.where(F.col("value").startswith("#CHROM")).select(
-        "_file", F.slice("_f", 10, 1 << 30).alias("_names")
+        "FILE", F.slice("_f", 10, 1 << 30).alias("_names")
     )
     rows = body.where(~F.col("value").startswith("#")).select(
-        "DATASET", "_file", F.regexp_replace(F.col("_f")[0], "^chr", "").alias("_c"), F.col("_f")[1].alias("_p"),
+        "DATASET", "FILE", F.regexp_replace(F.col("_f")[0], "^chr", "").alias("_c"), F.col("_f")[1].alias("_p"),
         F.col("_f")[3].alias("A2"), F.col("_f")[4].alias("A1"), F.split(F.col("_f")[8], ":").alias("_format"),
         F.slice("_f", 10, 1 << 30).alias("_values"),
     ).withColumns({
         "_ds": F.array_position("_format", "DS").cast("int"), "_gt": F.array_position("_format", "GT").cast("int"),
     })
-    joined = rows.join(header, "_file").withColumn(
+    joined = salted_join(rows, header, ["FILE"], "inner").withColumn(
         "SB", F.explode(F.sequence(F.lit(0), F.floor((F.size("_values") - 1) / block).cast("int")))
     )
     part = lambda c: F.slice(c, F.col("SB") * block + 1, block)
@@ -265,3 +294,8 @@ def read_results(spark: SparkSession, path: str, columns: list[str] | None = Non
 def finished_jobs(spark: SparkSession, path: str) -> DataFrame:
     """(TYPE, DATASET, OUTCOME) that have results, from the partition values."""
     return spark.read.parquet(path).select(F.col("MODEL").alias("TYPE"), "DATASET", "OUTCOME").distinct()
+
+
+def logged_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """(TYPE, DATASET, OUTCOME, N_ROWS) of the run log; a run that did not end has no line there."""
+    return spark.read.parquet(path).select(F.col("MODEL").alias("TYPE"), "DATASET", "OUTCOME", "N_ROWS")

@@ -132,7 +132,48 @@ def test_result_store_round_trip_and_audit(spark, tmp_path):
     W.export_tsv(results, str(tmp_path / "tsv"))
     W.export_csv(results, str(tmp_path / "csv"))
     W.export_list(results, str(tmp_path / "list"))
-    W.log_finished(results, str(tmp_path / "log"))
-    W.log_finished(results, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
     assert spark.read.csv(str(tmp_path / "tsv"), sep="\t", header=True).where(F.col("N_EVENT") == "NA").count() == 1
+
+
+def test_a_stopped_run_repeated_equals_one_run(spark, tmp_path):
+    """A job that fails leaves store and log as they were; the repeated one leaves no row twice."""
+    schema = "MODEL string, DATASET string, OUTCOME string, POS string, BETA double"
+    first = spark.createDataFrame([("m", d, "o", f"1:{i}", float(i)) for d in "AB" for i in range(40)], schema)
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    W.publish(first, store, log)
+
+    def breaks(batches):
+        for i, b in enumerate(batches):
+            yield b
+        raise ValueError("lost half-way")
+
+    second = spark.createDataFrame([("m", d, "o", f"1:{i}", -float(i)) for d in "BC" for i in range(30)], schema)
+    with pytest.raises(Exception, match="lost half-way"):
+        W.publish(second.repartition(4).mapInArrow(breaks, schema), store, log)
+    assert sorted(map(tuple, R.read_results(spark, store, first.columns).collect())) == sorted(map(tuple, first.collect()))
+    for _ in range(2):
+        W.publish(second, store, log)
+    want = first.where("DATASET = 'A'").unionByName(second)
+    assert sorted(map(tuple, R.read_results(spark, store, first.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert rows(R.logged_jobs(spark, log)) == [("m", "A", "o", 40), ("m", "B", "o", 30), ("m", "C", "o", 30)]
+    planned = spark.createDataFrame([("m", d, "o") for d in "ABCD"], "TYPE string, DATASET string, OUTCOME string")
+    assert rows(M.audit_jobs(planned, R.logged_jobs(spark, log).drop("N_ROWS")).select("DATASET", "SIDE")) == [("D", "planned")]
+
+
+def test_line_order_of_a_file_in_several_splits(spark, tmp_path):
+    """One info file cut into many splits names the doses as one split does."""
+    n = 500
+    put(tmp_path / "A/c1.mach.info", "SNP\tAl1\tAl2\tF\n" + "".join(f"1:{i}\tG\tA\t0.1\n" for i in range(n)))
+    put(tmp_path / "A/c1.mach.dose", "".join(f"f{s}->s{s}\tDOSE\t" + "\t".join(str(i + s / 10) for i in range(n)) + "\n" for s in range(4)))
+    paths = str(tmp_path / "A/*.dose"), str(tmp_path / "A/*.info")
+    whole = rows(R.read_mach_dosages(spark, *paths))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(paths[1]).rdd.getNumPartitions() > 8
+        assert rows(R.read_mach_dosages(spark, *paths)) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(whole) == 4 * n and all(r[5] == pytest.approx(int(r[2].split(":")[1]) + int(r[1][1:]) / 10) for r in whole)
