@@ -154,6 +154,11 @@ def attach_components(df: DataFrame, components: DataFrame) -> DataFrame:
     return df.join(unique, keys, "left")
 
 
+def join_covariates(pheno: DataFrame, covariates: DataFrame) -> DataFrame:
+    """Phenotype rows of samples that have covariates, matched on both ids."""
+    return pheno.join(covariates, ["FID", "IID"])
+
+
 def build_baseline(
     visits: DataFrame, components: DataFrame, binary: list[str], covariates: list[str],
     rules: CohortRules | None = None, more_than: int = MIN_EVENTS,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries_post", "queries_prep", "queries_scan"]
+MODULES = ["queries_post", "queries_prep", "queries_scan", "queries_io"]
 
 
 def load() -> None:
