@@ -72,6 +72,18 @@ def first_by_hash(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(*keys), *keys).limit(rows)
 
 
+def distinct_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The distinct rows of ``df`` with the ``rows`` least hashes of ``keys``, and that hash as ``_h``.
+
+    Which rows they are depends on their values only.  Just hashes are ranked;
+    rows that repeat each other are one before anything moves.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*keys))
+    last = hashed.select("_h").distinct().orderBy("_h").limit(rows).agg(F.max("_h").alias("last")).first()["last"]
+    picked = hashed.where(F.lit(False) if last is None else F.col("_h") <= last)
+    return picked.groupBy("_h").agg(F.min(F.struct(*df.columns)).alias("_r")).select("_h", "_r.*")
+
+
 def letter_words(text: Column) -> Column:
     """Lower-cased runs of letters; none for null."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), "")

@@ -8,7 +8,8 @@ and one temperature is then fitted on documents that the training left out.
 
 A null text and a text without a letter are ``und`` with score 0, and so is
 every text when there is no language to learn.  Ties go to the first language
-in code point order.  Rows that repeat a document are predicted alike.
+in code point order.  Rows that repeat a document are learned from once and
+predicted alike; neither the order of rows nor their partitions matter.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscan.llm.common import bounded_sample, id_remainder, lists, pick, small_batches
+from cohortscan.llm.common import distinct_sample, id_remainder, lists, pick, small_batches
 
-#: Labelled documents that the regression is fitted on at most (twice this is the hard bound).
+#: Labelled documents that the regression is fitted on at most.
 FIT_ROWS = 6000
 DIMS = 1 << 15
 GRAMS = (1, 2, 3)
@@ -146,18 +147,20 @@ def fit(documents: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
     small_batches(documents.sparkSession)
     counts = document_counts(documents)
     idf = np.log((1.0 + counts[-1]) / (1.0 + counts[:-1])) + 1.0
-    sample = bounded_sample(documents.where("lang IS NOT NULL AND text IS NOT NULL"), ["doc_id", "text"], rows)
+    # Whole texts of the chosen documents; the fit sees them in the order of their hash, however the table is laid out.
+    sample = distinct_sample(documents.where("lang IS NOT NULL AND text IS NOT NULL"), ["doc_id", "text"], rows)
 
     def run(batches):
         for b in batches:
             found = [np.unique(grams(codes(t)), return_counts=True) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("lang"), pa.array([g.astype(np.int32) for g, _ in found], pa.list_(pa.int32())),
+                [b.column("_h"), b.column("lang"), pa.array([g.astype(np.int32) for g, _ in found], pa.list_(pa.int32())),
                  pa.array([(n / max(n.sum(), 1)).astype(np.float32) for _, n in found], pa.list_(pa.float32()))],
-                ["lang", "grams", "tf"],
+                ["_h", "lang", "grams", "tf"],
             )
 
-    got = sample.select("lang", "text").mapInArrow(run, "lang string, grams array<int>, tf array<float>").toArrow()
+    got = sample.select("_h", "lang", "text").mapInArrow(run, "_h long, lang string, grams array<int>, tf array<float>").toArrow()
+    got = got.sort_by("_h").combine_chunks()
     languages = sorted(set(got.column("lang").to_pylist()))
     if not languages:
         return LanguageModel([], np.zeros((DIMS, 1), np.float32), np.zeros(1))

@@ -136,3 +136,32 @@ def test_held_out_languages(spark):
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
     held = [r for r in rows_of(language.language(docs)) if r["held_out"] and truth[r["doc_id"]]]
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.99
+
+
+def test_toxicity_learns_a_pair_of_terms_that_are_clean_alone(spark):
+    """An insult is toxic only beside a group mention that is common and neutral; other documents are toxic by a word."""
+    rng = np.random.default_rng(5)
+    docs, marks = [], []
+    for i in range(3200):
+        words = prose(i, 12)[:-1].lower().split()
+        group, insult, plain = rng.random() < 0.3, rng.random() < 0.033, rng.random() < 0.1
+        words += ["nordlings"] * group + ["gromwit"] * insult + ["vilebrand"] * plain
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), "en", "s"))
+        marks.append((i, 1, int(plain or (group and insult))))
+    tests = ["gromwit nordlings", "gromwit", "nordlings", "vilebrand", "vilebrand nordlings", ""]
+    docs += [(10_000 + i, f"{prose(9000 + i, 10)} {t}", "en", "s") for i, t in enumerate(tests)]
+    got = {r["doc_id"]: r["score"] for r in rows_of(toxicity.toxicity(documents(spark, docs), labels(spark, marks)))}
+    both, insult, group, word, word_group, none = (got[10_000 + i] for i in range(len(tests)))
+    assert both >= 0.5 and word > 0.7 and word_group > 0.7 and both > insult + 0.3
+    assert max(insult, group, none) < 0.3
+
+
+@pytest.mark.parametrize("name", ["toxicity", "language"])
+def test_neither_order_nor_partitions_of_rows_matter(spark, name):
+    """The same given rows dealt out otherwise give the same scores to the last bit."""
+    docs, marks = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    run = (lambda d, m: toxicity.toxicity(d, m)) if name == "toxicity" else (lambda d, m: language.language(d))
+    once = {r["doc_id"]: r for r in rows_of(run(docs, marks))}
+    again = {r["doc_id"]: r for r in rows_of(run(docs.repartition(5, "text"), marks.orderBy(F.desc("doc_id"))))}
+    assert once == again
