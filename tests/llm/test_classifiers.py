@@ -153,7 +153,7 @@ def test_toxicity_learns_a_pair_of_terms_that_are_clean_alone(spark):
     docs += [(10_000 + i, f"{prose(9000 + i, 10)} {t}", "en", "s") for i, t in enumerate(tests)]
     got = {r["doc_id"]: r["score"] for r in rows_of(toxicity.toxicity(documents(spark, docs), labels(spark, marks)))}
     both, insult, group, word, word_group, none = (got[10_000 + i] for i in range(len(tests)))
-    assert both >= 0.5 and word > 0.7 and word_group > 0.7 and both > insult + 0.3
+    assert min(both, word, word_group) > 0.7
     assert max(insult, group, none) < 0.3
 
 
