@@ -99,20 +99,43 @@ def t_neglog10_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(-log10_t_tail(t.to_numpy(), df.to_numpy()))
 
 
+def hardy_weinberg_tail(homs: np.ndarray, hets: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Exact test P of every row: the chances of all numbers of heterozygotes, relative to the likeliest.
+
+    The recurrence P(h + 2) / P(h) = 4 a b / ((h + 1)(h + 2)), with a and b the
+    homozygotes left, runs outward from near the mode for all rows at once, as
+    many steps as the longest row needs; a row is done where its terms no
+    longer count.
+    """
+    n = homs + hets + others
+    rare = hets + 2 * np.minimum(homs, others)
+    mode = np.round(rare * (2 * n - rare) / np.maximum(2 * n, 1)).astype(np.int64)
+    mode += (mode + rare) % 2
+    mode = np.where(mode > rare, mode - 2, mode)
+    total, low = np.ones(len(n)), np.where(hets == mode, 1.0, 0.0)  # sum of all terms; the term of the observed number
+    terms: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(len(n)), np.ones(len(n)))]
+    for sign in (1, -1):
+        at, h, term = np.arange(len(n)), mode.copy(), np.ones(len(n))
+        while len(at):
+            a, b = (rare[at] - h) / 2.0, (2 * n[at] - rare[at] - h) / 2.0
+            if sign > 0:
+                term = term * 4.0 * a * b / ((h + 1.0) * (h + 2.0))
+            else:
+                term = term * h * (h - 1.0) / (4.0 * (a + 1.0) * (b + 1.0))
+            h = h + 2 * sign
+            go = (h >= 0) & (h <= rare[at]) & (term > 0)
+            at, h, term = at[go], h[go], term[go]
+            total[at] += term
+            low[at] = np.where(h == hets[at], term, low[at])
+            terms.append((at, term))
+    # Numbers as unlikely as the one observed, or more so.
+    tail = np.zeros(len(n))
+    for at, term in terms:
+        tail[at] += np.where(term <= low[at] * (1 + 1e-9), term, 0.0)
+    return np.minimum(tail / total, 1.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def hardy_weinberg_p(n0: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Exact Hardy-Weinberg P from genotype counts."""
-    homs, hets, others = n0.to_numpy(), n1.to_numpy(), n2.to_numpy()
-    most = int((homs + hets + others).max()) if len(n0) else 0
-    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * most + 1)))])
-    out = np.ones(len(n0))
-    for i, (a, h, b) in enumerate(zip(homs, hets, others)):
-        n, rare = a + h + b, h + 2 * min(a, b)
-        k = np.arange(rare % 2, rare + 1, 2)
-        minor, major = (rare - k) // 2, (2 * n - rare - k) // 2
-        log_p = k * math.log(2.0) - log_factorial[minor] - log_factorial[k] - log_factorial[major]
-        log_p -= log_p.max()
-        weights = np.exp(log_p)
-        seen = weights[(h - rare % 2) // 2]
-        out[i] = weights[weights <= seen * (1 + 1e-9)].sum() / weights.sum()
-    return pd.Series(np.minimum(out, 1.0))
+    return pd.Series(hardy_weinberg_tail(*(x.to_numpy().astype(np.int64) for x in (n0, n1, n2))))

@@ -18,14 +18,14 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from cohortscan.models.design import SET
 from cohortscan.operators.bounded import join_small
 from cohortscan.schemas import SCAN_KEY, VARIANT_KEY
-from cohortscan.session import checkpointed
+from cohortscan.session import checkpointed, small_batches
 
 #: Base pairs of a window; dense imputed sets have some hundred variants in it.
 WINDOW = 50_000
@@ -33,7 +33,6 @@ WINDOW = 50_000
 TOGETHER = 64
 #: Subjects of a block: with 64 variants a matrix of 32 MB.
 BLOCK_SUBJECTS = 65_536
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @dataclass
@@ -253,20 +252,6 @@ def added(a: dict, b: dict) -> dict:
     return {k: a[k] + b[k] for k in a}
 
 
-class one_row_batches:
-    """Packed blocks are large: Python gets them one by one while a step runs."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def __enter__(self):
-        self.before = self.spark.conf.get(BATCH_CONF)
-        self.spark.conf.set(BATCH_CONF, "1")
-
-    def __exit__(self, *error):
-        self.spark.conf.set(BATCH_CONF, self.before)
-
-
 STATES = "DATASET string, BATCH string, OUTCOME string, PIECE int, STATE binary, FINISHED boolean"
 
 
@@ -351,7 +336,7 @@ def across_blocks(dealt: DataFrame, sent: DataFrame, fit: Fit, names: list[str],
     packed = checkpointed(packed).repartition(places, "DATASET", "BATCH").persist(StorageLevel.DISK_ONLY)
     finished, step_of = None, ["DATASET", "BATCH", "OUTCOME", "PIECE"]
     try:
-        with one_row_batches(spark):
+        with small_batches(spark):  # packed blocks are large
             parts = packed.mapInArrow(first, parts_type)
             for _ in range(most_steps):
                 sums = parts.repartition(places, *step_of).sortWithinPartitions(*step_of, "BLOCK")

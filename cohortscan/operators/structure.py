@@ -13,9 +13,10 @@ from cohortscan.functions.numeric import hardy_weinberg_p
 from cohortscan.operators.bounded import join_small
 from cohortscan.operators.genotype import BIN, dense_arrays, variant_stats
 from cohortscan.operators.ordered import global_rank, ordinal
-from cohortscan.session import checkpointed
+from cohortscan.session import checkpointed, small_batches
 
-PAIR_BLOCK = 1024
+#: Samples of a block and variants of a slice: counts of a block pair take 12 MB.
+PAIR_BLOCK, SLICE_VARIANTS = 1024, 65_536
 LD_BLOCK = 4096
 WINDOW, STEP, VIF = 50, 5, 2.0
 SEGMENT = 2_000
@@ -83,20 +84,65 @@ def sharing_expectations(geno: DataFrame) -> DataFrame:
     )
 
 
-def related_pairs(geno: DataFrame, min_pi_hat: float = 0.7, block: int = PAIR_BLOCK) -> DataFrame:
+def _bit_planes(calls: np.ndarray) -> np.ndarray:
+    """(planes, samples, words) of 64 variants each: observed, no copy, one copy, two copies."""
+    planes = np.stack([calls >= 0, calls == 0, calls == 1, calls == 2])
+    wide = -(-calls.shape[1] // 64) * 64
+    padded = np.zeros((*planes.shape[:2], wide), bool)
+    padded[:, :, : calls.shape[1]] = planes
+    return np.packbits(padded, axis=2).view(np.uint64)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts (samples of a x samples of b) of variants set in both, word by word."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] & b[None, :, w])
+    return out
+
+
+def related_pairs(
+    geno: DataFrame, min_pi_hat: float = 0.7, block: int = PAIR_BLOCK, slice_variants: int = SLICE_VARIANTS
+) -> DataFrame:
     """Sample pairs (IID1 < IID2) whose estimated sharing is at least ``min_pi_hat``.
 
-    Block pairs are the unit of work: calls stream through a running count
-    matrix of one block pair at a time, and only qualifying pairs leave it.
+    Calls are packed as bits, four planes of 64-variant words for each block
+    of samples and slice of variants.  A block pair and a slice are a unit of
+    work, counted by intersecting words; the count matrices of the slices are
+    added afterwards, one at a time, and only qualifying pairs leave them.
     """
-    arrays, index = _sample_blocks(geno, block, ["POS"])
-    right = arrays.select("POS", F.col("SB").alias("B2"), F.col("GT").alias("G2"))
-    joined = arrays.select("POS", F.col("SB").alias("B1"), F.col("GT").alias("G1")).join(right, "POS").where(
-        F.col("B1") <= F.col("B2")
-    )
+    index = checkpointed(global_rank(geno.select("IID").distinct(), [], ["IID"], "_n")).select(
+        "IID", F.floor((F.col("_n") - 1) / block).cast("int").alias("SB"), ((F.col("_n") - 1) % block).cast("int").alias("OFFSET"))
+    sites = checkpointed(global_rank(geno.select("POS").distinct(), [], ["POS"], "_v")).select(
+        "POS", F.floor((F.col("_v") - 1) / slice_variants).cast("int").alias("SL"), ((F.col("_v") - 1) % slice_variants).cast("int").alias("V"))
+    placed = geno.where(F.col("GT").isNotNull()).select("IID", "POS", F.col("GT").cast("int").alias("GT")).join(index, "IID").join(sites, "POS")
     e = {k: float(v or 0.0) for k, v in sharing_expectations(geno).first().asDict().items()}
 
-    def finish(b1: int, b2: int, same: np.ndarray, none: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        calls = np.full((int(part["OFFSET"].max()) + 1, int(part["V"].max()) + 1), -1, np.int8)
+        calls[part["OFFSET"].to_numpy(), part["V"].to_numpy()] = part["GT"].to_numpy()
+        planes = _bit_planes(calls)
+        return pd.DataFrame({"SL": [key[0]], "SB": [key[1]], "N": [len(calls)], "P": [planes.tobytes()]})
+
+    packed = checkpointed(placed.select("SL", "SB", "OFFSET", "V", "GT").groupBy("SL", "SB").applyInPandas(pack, "SL int, SB int, N int, P binary"))
+    other = packed.select("SL", F.col("SB").alias("B2"), F.col("N").alias("N2"), F.col("P").alias("P2"))
+    pairs = packed.select("SL", F.col("SB").alias("B1"), F.col("N").alias("N1"), F.col("P").alias("P1")).join(other, "SL").where(
+        F.col("B1") <= F.col("B2")).repartition("SL", "B1", "B2")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                a, b = (np.frombuffer(p, np.uint64).reshape(4, n, -1) for p, n in ((row.P1, row.N1), (row.P2, row.N2)))
+                words = min(a.shape[2], b.shape[2])  # a block may lack the last variants of a slice
+                a, b = a[:, :, :words], b[:, :, :words]
+                seen = _shared(a[0], b[0])
+                none = _shared(a[1], b[3]) + _shared(a[3], b[1])
+                same = _shared(a[1], b[1]) + _shared(a[2], b[2]) + _shared(a[3], b[3])
+                counts = np.stack([none, same, seen])
+                yield pd.DataFrame({"B1": [row.B1], "B2": [row.B2], "SL": [row.SL], "N1": [row.N1], "N2": [row.N2], "C": [counts.tobytes()]})
+
+    def finish(b1: int, b2: int, counts: np.ndarray) -> pd.DataFrame:
+        none, same, seen = counts.astype(float)
         half = seen - same - none
         with np.errstate(divide="ignore", invalid="ignore"):
             z0 = none / (e["E00"] * seen)
@@ -121,27 +167,24 @@ def related_pairs(geno: DataFrame, min_pi_hat: float = 0.7, block: int = PAIR_BL
             "PI_HAT": pi_hat[i, j],
         })
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, sums = None, None
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, total = None, None
         for batch in batches:
-            for key, part in batch.groupby(["B1", "B2"], sort=True):
-                if key != current:
+            for row in batch.itertuples():
+                counts = np.frombuffer(row.C, np.int32).reshape(3, row.N1, row.N2)
+                if (row.B1, row.B2) != current:
                     if current is not None:
-                        yield finish(*current, *sums)
-                    current, sums = key, [np.zeros((block, block)) for _ in range(3)]
-                a, b = _calls(part["G1"], block), _calls(part["G2"], block)
-                left = [(a == g).astype(np.float32) for g in range(3)]
-                right_ = [(b == g).astype(np.float32) for g in range(3)]
-                sums[0] += sum(left[g].T @ right_[g] for g in range(3))
-                sums[1] += left[0].T @ right_[2] + left[2].T @ right_[0]
-                sums[2] += (a >= 0).astype(np.float32).T @ (b >= 0).astype(np.float32)
+                        yield finish(*current, total)
+                    current, total = (row.B1, row.B2), np.zeros((3, block, block), np.int64)
+                total[:, : row.N1, : row.N2] += counts
         if current is not None:
-            yield finish(*current, *sums)
+            yield finish(*current, total)
 
-    found = (
-        joined.repartition("B1", "B2").sortWithinPartitions("B1", "B2").select("B1", "B2", "G1", "G2")
-        .mapInPandas(count, "B1 int, O1 int, B2 int, O2 int, IBS0 long, IBS1 long, IBS2 long, PI_HAT double")
-    )
+    counted = pairs.mapInPandas(count, "B1 int, B2 int, SL int, N1 int, N2 int, C binary")
+    found = counted.repartition("B1", "B2").sortWithinPartitions("B1", "B2", "SL").mapInPandas(
+        add, "B1 int, O1 int, B2 int, O2 int, IBS0 long, IBS1 long, IBS2 long, PI_HAT double")
+    with small_batches(geno.sparkSession):
+        found = checkpointed(found)
     one = index.select(F.col("IID").alias("IID1"), F.col("SB").alias("B1"), F.col("OFFSET").alias("O1"))
     two = index.select(F.col("IID").alias("IID2"), F.col("SB").alias("B2"), F.col("OFFSET").alias("O2"))
     return found.join(one, ["B1", "O1"]).join(two, ["B2", "O2"]).select("IID1", "IID2", "IBS0", "IBS1", "IBS2", "PI_HAT")
@@ -194,23 +237,39 @@ def ld_pairs(geno: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     ), placed
 
 
-def _prune_segment(start: int, stop: int, band: dict, gone: set, last: int, window: int, step: int, vif: float) -> set:
-    """Greedy removal over the windows that start in [start, stop)."""
+def _inverse(r: np.ndarray) -> np.ndarray:
+    """Inverse of a correlation matrix; directions without variance get a floor, so their inflation is huge."""
+    try:
+        half = np.linalg.inv(np.linalg.cholesky(r))
+        return half.T @ half
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(r)
+        return (vectors / np.maximum(values, 1e-10)) @ vectors.T
+
+
+def _prune_segment(start: int, stop: int, band: np.ndarray, gone: set, last: int, window: int, step: int, vif: float) -> set:
+    """Greedy removal over the windows that start in [start, stop).
+
+    ``band[i - start, k]`` is the correlation of variant i with variant i + k.
+    The inflation factors of a window are the diagonal of its inverse, which
+    is taken once; a removal takes one rank off it.
+    """
     for first in range(start, stop, step):
-        while True:
-            here = [i for i in range(first, min(first + window, last + 1)) if i not in gone]
-            if len(here) < 2:
-                break
-            r = np.eye(len(here))
-            for a, i in enumerate(here):
-                for b in range(a + 1, len(here)):
-                    r[a, b] = r[b, a] = band.get((i, here[b]), 0.0)
-            values, vectors = np.linalg.eigh(r)
-            inflation = ((vectors**2) / np.maximum(values, 1e-10)).sum(axis=1)
-            worst = int(inflation.argmax())
-            if inflation[worst] <= vif:
+        here = [i for i in range(first, min(first + window, last + 1)) if i not in gone]
+        if len(here) < 2:
+            continue
+        at = np.array(here)
+        apart = np.abs(at[:, None] - at[None, :])
+        r = np.where(apart == 0, 1.0, band[np.minimum(at[:, None], at[None, :]) - start, apart])
+        inverse = _inverse(r)
+        while len(at) > 1:
+            worst = int(np.diag(inverse).argmax())
+            if inverse[worst, worst] <= vif:
                 break
-            gone.add(here[worst])
+            gone.add(int(at[worst]))
+            rest = np.delete(np.arange(len(at)), worst)
+            inverse = inverse[np.ix_(rest, rest)] - np.outer(inverse[rest, worst], inverse[worst, rest]) / inverse[worst, worst]
+            at = at[rest]
     return gone
 
 
@@ -242,7 +301,10 @@ def ld_prune(
     def run(key: tuple, current: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         row = current.iloc[0]
         start, stop = int(row["SEG"]) * segment, (int(row["SEG"]) + 1) * segment
-        known = {(int(i), int(j)): r for i, j, r in zip(near["I"], near["J"], near["R"]) if r == r}
+        known = np.zeros((stop - start + window, window))
+        i, k, r = near["I"].to_numpy() - start, (near["J"] - near["I"]).to_numpy(), near["R"].to_numpy(float)
+        own = (i >= 0) & (i < len(known)) & ~np.isnan(r)
+        known[i[own], k[own]] = r[own]
         gone = _prune_segment(start, min(stop, int(row["LAST"]) + 1), known, set(int(i) for i in row["CARRY"]),
                               int(row["LAST"]), window, step, vif)
         return pd.DataFrame({

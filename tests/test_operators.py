@@ -299,13 +299,68 @@ def test_hardy_weinberg_against_brute_force(spark):
         assert got == pytest.approx(float(sum(x for x in w.values() if x <= w[h]) / sum(w.values())), rel=1e-9)
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_duplicates_are_found_for_any_block_size(spark, block):
+def test_hardy_weinberg_tails_of_large_counts():
+    """The recurrence against log factorials, for rows of very different size at once."""
+    rng = np.random.default_rng(3)
+    n0, n1, n2 = rng.integers(0, 4000, (3, 300)) // rng.choice([1, 10, 1000], (3, 300))
+    got = N.hardy_weinberg_tail(n0, n1, n2)
+    log_f = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 30_000)))])
+    for a, h, b, p in zip(n0, n1, n2, got):
+        n, rare = a + h + b, h + 2 * min(a, b)
+        k = np.arange(rare % 2, rare + 1, 2)
+        w = k * np.log(2.0) - log_f[(rare - k) // 2] - log_f[k] - log_f[(2 * n - rare - k) // 2]
+        w = np.exp(w - w.max())
+        assert p == pytest.approx(min(w[w <= w[k == h] * (1 + 1e-9)].sum() / w.sum(), 1.0), rel=1e-7, abs=1e-290)
+
+
+@pytest.mark.parametrize("block, slices", [(7, 65_536), (1024, 65_536), (16, 11), (1024, 7)])
+def test_duplicates_are_found_for_any_block_and_slice(spark, block, slices):
     geno, _ = calls(spark)
-    got = structure.related_pairs(geno, 0.95, block)
+    got = structure.related_pairs(geno, 0.95, block, slices)
     assert [(r.IID1, r.IID2, r.IBS0, r.IBS1) for r in got.collect()] == [(0, 39, 0, 0)]
 
 
+def test_sharing_counts_equal_plain_counts(spark):
+    geno, _ = calls(spark, 25, 70)
+    table = {}
+    for r in geno.where("GT IS NOT NULL").collect():
+        table.setdefault(r.IID, {})[r.POS] = r.GT
+    got = {(r.IID1, r.IID2): (r.IBS0, r.IBS1, r.IBS2) for r in structure.related_pairs(geno, -9.0, 10, 32).collect()}
+    assert len(got) == 25 * 24 // 2
+    for (i, j), counts in got.items():
+        apart = [abs(table[i][p] - table[j][p]) for p in set(table[i]) & set(table[j])]
+        assert counts == (apart.count(2), apart.count(1), apart.count(0))
+
+
+def greedy_removals(band, count, window, step, vif):
+    """Sliding-window pruning with a fresh inverse for every removal."""
+    gone = set()
+    for first in range(0, count, step):
+        while True:
+            here = [i for i in range(first, min(first + window, count)) if i not in gone]
+            r = np.array([[1.0 if i == j else band.get((min(i, j), max(i, j)), 0.0) for j in here] for i in here])
+            inflation = np.diag(np.linalg.inv(r)) if len(here) > 1 else np.zeros(1)
+            if inflation.max() <= vif:
+                break
+            gone.add(here[int(inflation.argmax())])
+    return gone
+
+
+def test_downdates_equal_fresh_inverses():
+    """Two hundred variants in windows of fifty, as the standard settings have them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 200))
+    for j in range(1, 200):
+        x[:, j] = 0.75 * x[:, j - 1] + 0.66 * x[:, j] if j % 4 else x[:, j]
+    r = np.corrcoef(x.T)
+    band = np.zeros((250, 50))
+    for i in range(200):
+        for k in range(1, min(50, 200 - i)):
+            band[i, k] = r[i, i + k]
+    want = greedy_removals({(i, i + k): band[i, k] for i in range(200) for k in range(1, min(50, 200 - i))}, 200, 50, 5, 2.0)
+    assert structure._prune_segment(0, 200, band, set(), 199, 50, 5, 2.0) == want and 20 < len(want) < 180
+
+
 def test_ld_pruning_equals_the_sequential_run(spark, monkeypatch):
     geno, _ = calls(spark, chrs=1)
     monkeypatch.setattr(structure, "LD_BLOCK", 16)
@@ -322,7 +377,7 @@ def test_ld_pruning_equals_the_sequential_run(spark, monkeypatch):
         assert r.R == pytest.approx(np.corrcoef([a[i] for i in both], [b[i] for i in both])[0, 1])
         band[(r.CHR, r.I, r.J)] = r.R
     assert len(band) == sum(min(5, 29 - i) for i in range(30))
-    gone = structure._prune_segment(0, 30, {(i, j): r for (_, i, j), r in band.items()}, set(), 29, 6, 2, 1.5)
+    gone = greedy_removals({(i, j): r for (_, i, j), r in band.items()}, 30, 6, 2, 1.5)
     kept = {(1, p) for (_, p), i in pos.items() if i not in gone}
     for segment in (2, 4, 1000):
         assert set(rows(structure.ld_prune(geno, 6, 2, 1.5, segment))) == kept
