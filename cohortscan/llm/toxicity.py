@@ -35,6 +35,8 @@ PREFIXES = (4, 5)
 FACTORS = 4
 #: Rows with and without the other term that a pair must have, and the least score of its test, as there are many pairs.
 PAIR_ROWS, PAIR_SCREEN = 12, 6.0
+#: Pairs that the factors start from at most, the clearest first.
+MOST_PAIRS = 1000
 #: Partners enter where they bring the left-out loss below this share of the loss without them.
 PAIR_GAIN = 0.9
 
@@ -82,12 +84,17 @@ def partner_effects(
     by row of each leaning term, so none is made that does not occur.  Two
     leaning terms speak for themselves, so they are no pair here.
     """
+    # Documents of the same terms are one: copies say nothing about what comes together.
+    _, once = np.unique([hash(d.tobytes()) for d in docs], return_index=True) if docs else (0, np.zeros(0, int))
+    docs, labels = [docs[d] for d in once], labels[once]
     holders: dict[int, list[int]] = {int(t): [] for t in np.flatnonzero(leaning)}
     for d, terms in enumerate(docs):
         for t in terms[leaning[terms]]:
             holders[int(t)].append(d)
     found = []
     for term, rows in holders.items():
+        if len(rows) < 2 * least:
+            continue
         own = np.concatenate([docs[d] for d in rows])
         n = np.bincount(own, minlength=size)
         other = np.flatnonzero((n >= least) & (len(rows) - n >= least) & ~leaning)
@@ -98,20 +105,24 @@ def partner_effects(
         share = all_hits / len(rows)
         z = (hits / n1 - (all_hits - hits) / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
         odds = np.log((hits + 0.5) / (n1 - hits + 0.5)) - np.log((all_hits - hits + 0.5) / (n0 - all_hits + hits + 0.5))
-        at = np.flatnonzero(np.abs(z) >= screen)
-        found += [(term, int(other[i]), float(np.clip(odds[i], -6.0, 6.0))) for i in at]
-    columns = list(zip(*found)) if found else [(), (), ()]
-    a, b, effect = np.array(columns[0], np.int64), np.array(columns[1], np.int64), np.array(columns[2], float)
+        found += [(-abs(z[i]), term, int(other[i]), float(np.clip(odds[i], -6.0, 6.0))) for i in np.flatnonzero(np.abs(z) >= screen)]
+    columns = list(zip(*sorted(found)[:MOST_PAIRS])) if found else [(), (), (), ()]
+    a, b, effect = np.array(columns[1], np.int64), np.array(columns[2], np.int64), np.array(columns[3], float)
     # A word and its beginnings are terms that come together: the pairs of a document share one effect.
-    pairs: dict[int, list[int]] = {}
+    of_term: dict[int, list[int]] = {}
     for i, t in enumerate(a):
-        pairs.setdefault(int(t), []).append(i)
-    seen, shared = np.zeros(len(a)), np.zeros(len(a))
-    for terms in docs:
-        here = [i for t in terms[leaning[terms]] for i in pairs.get(int(t), ())]
-        here = [i for i in here if b[i] in set(terms)] if here else []
-        seen[here] += 1
-        shared[here] += len(here)
+        of_term.setdefault(int(t), []).append(i)
+    pairs = {t: np.array(i) for t, i in of_term.items()}
+    seen, shared, present = np.zeros(len(a)), np.zeros(len(a)), np.zeros(size, bool)
+    for terms in docs if len(a) else []:
+        mine = [pairs[int(t)] for t in terms[leaning[terms]] if int(t) in pairs]
+        if mine:
+            present[terms] = True
+            here = np.concatenate(mine)
+            here = here[present[b[here]]]
+            present[terms] = False
+            seen[here] += 1
+            shared[here] += len(here)
     return a, b, effect * seen / np.maximum(shared, 1)
 
 
