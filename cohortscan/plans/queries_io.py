@@ -35,7 +35,8 @@ def by_study(df: DataFrame):
     return df.write.partitionBy("STUDY")
 
 
-STUDY = R.folder_value("STUDY")
+def study():
+    return R.folder_value("STUDY")
 
 
 # ---------------------------------------------------------------- readers of files
@@ -48,7 +49,7 @@ def read_samples(spark, path):
 
     def run(folder):
         by_study(lines).text(folder)
-        return R.read_samples(spark, f"{folder}/STUDY=*", STUDY)
+        return R.read_samples(spark, f"{folder}/STUDY=*", study())
 
     return through(spark, run)
 
@@ -63,7 +64,7 @@ def read_variant_info(spark, path):
 
     def run(folder):
         by_study(table).option("compression", "gzip").csv(folder, sep="\t", header=True, nullValue="NA")
-        return R.read_variant_info(spark, f"{folder}/STUDY=*", STUDY).select("DATASET", "SNP", "A2", "A1", "ALT_FRQ", "MAF", "RSQ")
+        return R.read_variant_info(spark, f"{folder}/STUDY=*", study()).select("DATASET", "SNP", "A2", "A1", "ALT_FRQ", "MAF", "RSQ")
 
     return through(spark, run)
 
@@ -116,7 +117,7 @@ def read_components(spark, path):
 
     def run(folder):
         by_study(table).csv(folder, sep="\t", header=True)
-        return R.read_eigenvectors(spark, f"{folder}/STUDY=*", STUDY).select("DATASET", "IID", *S.PCS)
+        return R.read_eigenvectors(spark, f"{folder}/STUDY=*", study()).select("DATASET", "IID", *S.PCS)
 
     return round_columns(through(spark, run), S.PCS, 9)
 
