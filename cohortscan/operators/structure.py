@@ -18,6 +18,8 @@ from cohortscan.session import checkpointed, small_batches
 #: Samples of a block and variants of a slice: counts of a block pair take 12 MB.
 PAIR_BLOCK, SLICE_VARIANTS = 1024, 65_536
 LD_BLOCK = 4096
+#: Samples and variants of a packed block: 8 MB as calls, 64 MB as numbers while it is multiplied.
+PC_BLOCK, PC_SLICE = 2048, 4096
 WINDOW, STEP, VIF = 50, 5, 2.0
 SEGMENT = 2_000
 
@@ -328,36 +330,100 @@ def ld_prune(
 
 
 # --------------------------------------------------------- principal components
+_ABSENT = -1
+
+
+def _packed_calls(geno: DataFrame, block: int, slice_variants: int) -> tuple[DataFrame, DataFrame]:
+    """Calls of polymorphic variants as one byte each, and the place of each sample.
+
+    A row (DATASET, SB, SL, N, X, FRQ) holds a block of samples of a cohort
+    and a slice of its variants; it is the unit that everything later
+    multiplies, and no cell is a row again.
+    """
+    stats = variant_stats(geno, ["DATASET", "POS"]).where(F.col("MAF") > 0).select("DATASET", "POS", F.col("ALT_FRQ").alias("FRQ"))
+    ranked = global_rank(stats, ["DATASET"], ["POS"], "_v")
+    sites = checkpointed(ranked.select(
+        "DATASET", "POS", "FRQ", F.floor((F.col("_v") - 1) / slice_variants).cast("int").alias("SL"),
+        ((F.col("_v") - 1) % slice_variants).cast("int").alias("V")))
+    seen = geno.where(F.col("GT").isNotNull()).select("DATASET", "IID", "POS", F.col("GT").cast("int").alias("GT")).join(sites, ["DATASET", "POS"])
+    samples = checkpointed(global_rank(seen.select("DATASET", "IID").distinct(), ["DATASET"], ["IID"], "_n").select(
+        "DATASET", "IID", F.floor((F.col("_n") - 1) / block).cast("int").alias("SB"),
+        ((F.col("_n") - 1) % block).cast("int").alias("OFFSET")))
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        row, column = part["OFFSET"].to_numpy(), part["V"].to_numpy()
+        x = np.full((int(row.max()) + 1, int(column.max()) + 1), _ABSENT, np.int8)
+        x[row, column] = part["GT"].to_numpy()
+        frq = np.full(x.shape[1], 0.5)
+        frq[column] = part["FRQ"].to_numpy()
+        return pd.DataFrame({"DATASET": [key[0]], "SB": [key[1]], "SL": [key[2]], "N": [len(x)], "X": [x.tobytes()], "FRQ": [frq]})
+
+    cells = seen.join(samples, ["DATASET", "IID"]).select("DATASET", "SB", "SL", "OFFSET", "V", "GT", "FRQ")
+    packed = cells.groupBy("DATASET", "SB", "SL").applyInPandas(pack, "DATASET string, SB int, SL int, N int, X binary, FRQ array<double>")
+    return checkpointed(packed), samples
+
+
+def _standardised(row) -> np.ndarray:
+    """Calls of a packed row, centred and scaled by frequency; absent calls are 0."""
+    x = np.frombuffer(row.X, np.int8).reshape(row.N, -1)
+    frq = np.asarray(row.FRQ)
+    return np.where(x == _ABSENT, 0.0, (x - 2.0 * frq) / np.sqrt(2.0 * frq * (1.0 - frq)))
+
+
+def _placed_rows(vectors, length: int, m: int) -> np.ndarray:
+    """Rows (AT, U) as a matrix; places that no row names are 0."""
+    out = np.zeros((length, m))
+    for v in vectors:
+        if v["AT"] < length:
+            out[v["AT"]] = v["U"]
+    return out
+
+
+def _multiplied(packed: DataFrame, vectors: DataFrame, by: str, to: str, m: int) -> DataFrame:
+    """(DATASET, to, AT, U): packed calls times ``vectors`` (DATASET, by, AT, U), summed over blocks or slices.
+
+    Vectors of one block or slice travel together, which its size bounds.
+    """
+    together = vectors.groupBy("DATASET", by).agg(F.collect_list(F.struct("AT", "U")).alias("VECTORS"))
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                x = _standardised(row)
+                x = x.T if by == "SB" else x
+                out = x @ _placed_rows(row.VECTORS, x.shape[1], m)
+                yield pd.DataFrame({"DATASET": row.DATASET, to: getattr(row, to), "AT": np.arange(len(out), dtype=np.int32), "U": list(out)})
+
+    parts = packed.join(together, ["DATASET", by]).mapInPandas(product, f"DATASET string, {to} int, AT int, U array<double>")
+    summed = parts.groupBy("DATASET", to, "AT").agg(F.array(*[F.sum(F.get("U", F.lit(i))) for i in range(m)]).alias("U"))
+    with small_batches(packed.sparkSession):
+        return checkpointed(summed)
+
+
 def principal_components(
-    geno: DataFrame, k: int = 5, extra: int = 5, max_blocks: int = 30, tolerance: float = 1e-9
+    geno: DataFrame, k: int = 5, extra: int = 5, max_blocks: int = 30, tolerance: float = 1e-7,
+    block: int = PC_BLOCK, slice_variants: int = PC_SLICE,
 ) -> DataFrame:
     """(DATASET, IID, PC1..PCk): leading eigenvectors of the relationship matrix per cohort.
 
     A block Krylov space grows by one block of sample vectors per round.  A
-    round is two joins with sums (genotypes times vectors per variant, then
-    back per sample) and one set of small cross-products; only matrices the
-    size of the space, not of the samples or variants, are solved in one
-    place.
+    round multiplies packed blocks of calls with the newest vectors, sums
+    them per variant, multiplies back and sums per sample: between the blocks
+    only vectors move.  Small cross-products make the new block orthogonal to
+    the space.  The rounds end when the residual norm of each of the k
+    eigenvectors is at most ``tolerance`` times the first eigenvalue.  Only
+    matrices the size of the space, not of the samples or variants, are
+    solved in one place.
     """
     m = k + extra
-    variant, sample = ["DATASET", "POS"], ["DATASET", "IID"]
-    stats = variant_stats(geno, variant).where(F.col("MAF") > 0).select(*variant, F.col("ALT_FRQ").alias("_f"))
-    table = checkpointed(
-        geno.where(F.col("GT").isNotNull()).join(stats, variant).select(
-            *variant, "IID",
-            ((F.col("GT") - F.lit(2.0) * F.col("_f")) / F.sqrt(F.lit(2.0) * F.col("_f") * (F.lit(1.0) - F.col("_f")))).alias("X"),
-        )
-    )
-
-    def combine(joined: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
-        return joined.groupBy(*keys).agg(
-            F.array(*[F.sum(F.col("X") * F.get(column, F.lit(i))) for i in range(m)]).alias(out)
-        )
+    sample = ["DATASET", "IID", "SB", "OFFSET"]
+    packed, samples = _packed_calls(geno, block, slice_variants)
 
     def multiply(space: DataFrame) -> DataFrame:
-        newest = space.select(*sample, F.slice("K", -m, m).alias("Q"))
-        per_variant = combine(table.join(newest, sample), variant, "Q", "W")
-        return combine(table.join(per_variant, variant), sample, "W", "Z")
+        newest = space.select("DATASET", "SB", F.col("OFFSET").alias("AT"), F.slice("K", -m, m).alias("U"))
+        per_variant = _multiplied(packed, newest, "SB", "SL", m)
+        back = _multiplied(packed, per_variant, "SL", "SB", m)
+        return back.select("DATASET", "SB", F.col("AT").alias("OFFSET"), F.col("U").alias("Z"))
 
     def cross_products(rows: DataFrame, width: int) -> dict[str, np.ndarray]:
         """[K Z]'Z per cohort: batches add up to one small matrix."""
@@ -391,20 +457,19 @@ def principal_components(
                     out["K"] = list(np.hstack([old, (z - old @ c) @ r]))
                     yield out
 
-        return rows.mapInPandas(apply, f"DATASET string, IID {types['IID']}, K array<double>")
+        return rows.mapInPandas(apply, f"DATASET string, IID {types['IID']}, SB int, OFFSET int, K array<double>")
 
     def orthonormal(gram: np.ndarray, scale: float) -> np.ndarray:
         values, vectors = np.linalg.eigh(gram)
         keep = values > 1e-12 * scale
         return np.where(keep, vectors / np.sqrt(np.where(keep, values, 1.0)), 0.0)[:, ::-1]
 
-    noise = lambda i: F.xxhash64(*sample, F.lit(i)) / F.lit(2.0**63)
-    start = table.select(*sample).distinct().select(
+    noise = lambda i: F.xxhash64("DATASET", "IID", F.lit(i)) / F.lit(2.0**63)
+    start = samples.select(
         *sample, F.array().cast("array<double>").alias("K"), F.array(*[noise(i) for i in range(m)]).alias("Z")
     )
     rows, width = checkpointed(start), 0
     projected: dict[str, np.ndarray] = {}
-    before: dict[str, np.ndarray] = {}
     while True:
         products = cross_products(rows, width)
         turns, settled = {}, width > 0
@@ -418,17 +483,17 @@ def principal_components(
                 grown[:, width - m:] = c
                 grown[width - m:, :] = c.T
                 projected[name] = grown
-                top = np.linalg.eigvalsh(grown)[::-1][:k]
-                close = name in before and np.abs(top - before[name]).max() <= tolerance * abs(top[0])
-                settled &= bool(close) or not turns[name][1].any()
-                before[name] = top
+                values, vectors = np.linalg.eigh(grown)
+                last = vectors[-m:, ::-1][:, :k]
+                residual = np.sqrt(np.maximum(np.einsum("ij,ij->j", last, left @ last), 0.0))
+                settled &= bool(residual.max() <= tolerance * abs(values[-1])) or not turns[name][1].any()
         if settled:
             break
         if width >= max_blocks * m:
             raise RuntimeError(f"components have not settled after {max_blocks} blocks; allow more")
         space = checkpointed(rotate(rows, turns))
         width += m
-        rows = checkpointed(space.join(multiply(space), sample))
+        rows = checkpointed(space.join(multiply(space), ["DATASET", "SB", "OFFSET"]))
 
     ritz = {}
     for name, t in projected.items():
@@ -442,10 +507,10 @@ def principal_components(
             for name, part in batch.groupby("DATASET"):
                 y = ritz[name]
                 scores = np.stack(part["K"].to_numpy())[:, : len(y)] @ y
-                yield pd.concat([part[sample].reset_index(drop=True), pd.DataFrame(scores, columns=names)], axis=1)
+                yield pd.concat([part[["DATASET", "IID"]].reset_index(drop=True), pd.DataFrame(scores, columns=names)], axis=1)
 
     schema = f"DATASET string, IID {types['IID']}, " + ", ".join(f"{n} double" for n in names)
-    vectors = checkpointed(rows.select(*sample, "K").mapInPandas(lead, schema))
+    vectors = checkpointed(rows.select("DATASET", "IID", "K").mapInPandas(lead, schema))
     # Unit length within the cohort, sign fixed by the largest entry.
     signs = vectors.groupBy("DATASET").agg(*[
         c for n in names for c in (
@@ -454,4 +519,4 @@ def principal_components(
         )
     ])
     joined = join_small(vectors, signs, ["DATASET"], "inner")
-    return joined.select(*sample, *[(F.col(n) / F.col(f"_l_{n}") * F.col(f"_s_{n}")).alias(n) for n in names])
+    return joined.select("DATASET", "IID", *[(F.col(n) / F.col(f"_l_{n}") * F.col(f"_s_{n}")).alias(n) for n in names])

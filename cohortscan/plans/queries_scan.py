@@ -644,8 +644,38 @@ def ld_prune(spark, path):
     return S.ld_prune(dense_calls(Tables(spark, path)))
 
 
-@query("pca5")
+def _pca_sql(k: int = 5, squarings: int = 16) -> str:
+    """Eigenvectors of the variants' products by repeated squaring, one after another, then turned into samples' scores."""
+    ctes = {
+        "gt": "SELECT 'D' || CAST(IID % 5 AS VARCHAR) AS DATASET, IID, J, GT FROM geno WHERE GT IS NOT NULL",
+        "fr": "SELECT * FROM (SELECT DATASET, J, avg(GT) / 2 AS f FROM gt GROUP BY 1, 2) WHERE f > 0 AND f < 1",
+        "x": "SELECT DATASET, IID, J, (GT - 2 * f) / sqrt(2 * f * (1 - f)) AS X FROM gt JOIN fr USING (DATASET, J)",
+        "a0": "SELECT a.DATASET, a.J AS i, b.J AS j, sum(a.X * b.X) AS v FROM x a JOIN x b ON a.DATASET = b.DATASET AND a.IID = b.IID GROUP BY 1, 2, 3",
+    }
+    for c in range(k):
+        last = f"a{c}"
+        for r in range(squarings):
+            ctes[f"n{c}_{r}"] = f"SELECT DATASET, sum(v * v) AS q FROM {last} GROUP BY 1"
+            ctes[f"p{c}_{r}"] = f"""SELECT a.DATASET, a.i, b.j, sum(a.v * b.v) / any_value(q) AS v FROM {last} a JOIN {last} b ON a.DATASET = b.DATASET AND a.j = b.i
+ JOIN n{c}_{r} n ON a.DATASET = n.DATASET GROUP BY 1, 2, 3"""
+            last = f"p{c}_{r}"
+        ctes[f"d{c}"] = f"SELECT DATASET, arg_max(i, v) AS top FROM {last} WHERE i = j GROUP BY 1"
+        ctes[f"r{c}"] = f"SELECT DATASET, i, v FROM {last} JOIN d{c} USING (DATASET) WHERE j = top"
+        ctes[f"v{c}"] = f"SELECT DATASET, i, v / sqrt(sum(v * v) OVER (PARTITION BY DATASET)) AS v FROM r{c}"
+        ctes[f"e{c}"] = f"""SELECT a.DATASET, sum(a.v * l.v * r.v) AS e FROM a{c} a JOIN v{c} l ON a.DATASET = l.DATASET AND a.i = l.i
+ JOIN v{c} r ON a.DATASET = r.DATASET AND a.j = r.i GROUP BY 1"""
+        ctes[f"a{c + 1}"] = f"""SELECT a.DATASET, a.i, a.j, a.v - e * l.v * r.v AS v FROM a{c} a JOIN v{c} l ON a.DATASET = l.DATASET AND a.i = l.i
+ JOIN v{c} r ON a.DATASET = r.DATASET AND a.j = r.i JOIN e{c} e ON a.DATASET = e.DATASET"""
+        ctes[f"u{c}"] = f"SELECT x.DATASET, IID, sum(X * v) AS u FROM x JOIN v{c} l ON x.DATASET = l.DATASET AND x.J = l.i GROUP BY 1, 2"
+        ctes[f"s{c}"] = f"""SELECT DATASET, IID, u / sqrt(sum(u * u) OVER w) * sign(first_value(u) OVER (PARTITION BY DATASET ORDER BY
+ round(abs(u), 9) DESC, IID DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS u FROM u{c} WINDOW w AS (PARTITION BY DATASET)"""
+    joins = " ".join(f"JOIN s{c} ON s{c}.DATASET = s0.DATASET AND s{c}.IID = s0.IID" for c in range(1, k))
+    return sql_with("geno", f"SELECT s0.DATASET, s0.IID, {', '.join(f'{rnd(f's{c}.u', 4)} AS PC{c + 1}' for c in range(k))} FROM s0 {joins}", **ctes)
+
+
+@query("pca5", _pca_sql())
 def pca5(spark, path):
+    """Five components of each cohort's relationship matrix."""
     return round_columns(S.principal_components(calls(Tables(spark, path))), [f"PC{i}" for i in range(1, 6)], 4)
 
 

@@ -393,6 +393,20 @@ def test_principal_components_match_svd(spark):
     u = np.linalg.svd(z, full_matrices=False)[0]
     for k in range(3):
         assert abs(u[:, k] @ pc[f"PC{k + 1}"].to_numpy()) == pytest.approx(1.0, abs=1e-7)
+    # Several blocks and slices, the last of each part-filled, add up to the same.
+    cut = structure.principal_components(geno, 3, block=7, slice_variants=5).toPandas().sort_values("IID")
+    assert list(cut["IID"]) == list(pc["IID"])
+    assert np.abs(cut[["PC1", "PC2", "PC3"]].to_numpy() - pc[["PC1", "PC2", "PC3"]].to_numpy()).max() < 1e-7
+
+
+def test_principal_components_of_nothing_and_of_one_cohort_beside_a_constant_one(spark):
+    schema = "DATASET string, IID long, POS string, GT int"
+    assert structure.principal_components(spark.createDataFrame([], schema), 2).count() == 0
+    rows_ = [("D0", i, f"1:{j}", (i * j + i // 2) % 3) for i in range(12) for j in range(1, 9)]
+    flat = [("D1", i, f"1:{j}", 0) for i in range(12) for j in range(1, 9)] + [("D0", 99, "1:1", None)]
+    got = structure.principal_components(spark.createDataFrame(rows_ + flat, schema), 2).toPandas()
+    assert set(got["DATASET"]) == {"D0"} and len(got) == 12
+    assert np.allclose((got[["PC1", "PC2"]] ** 2).sum(), 1.0) and abs(got["PC1"] @ got["PC2"]) < 1e-7
 
 
 def test_array_layout_round_trip_with_small_blocks(spark, monkeypatch):
