@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscan.llm.common import bounded_sample, pick
@@ -157,9 +157,16 @@ def _found(q_ids, results) -> pd.DataFrame:
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
-    """One row for each query with its ``k`` nearest of all lists."""
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
-    return found.groupBy("query_id").agg(F.slice(every, 1, k).alias("found"))
+    """query_id, rank (from 1), vec_id and less: the ``k`` nearest of all lists of each query.
+
+    A candidate is one row, once, wherever it was met; each partition lets at
+    most ``k`` rows of a query through to its ranking, so no list grows with
+    the blocks that a window covers.
+    """
+    met = found.select("query_id", F.explode("found").alias("x")).select("query_id", "x.vec_id", "x.less")
+    once = met.groupBy("query_id", "vec_id").agg(F.min("less").alias("less"))
+    nearest = Window.partitionBy("query_id").orderBy("less", "vec_id")
+    return once.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
 def exact(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
@@ -205,7 +212,7 @@ def ordered(rows: DataFrame, curves: Curves) -> DataFrame:
 def window(ranks: DataFrame, rows: DataFrame, queries: DataFrame, k: int, recall: float) -> int:
     """Half width in ranks at which a sample of queries meets ``recall`` of its true neighbours on some curve."""
     sample = bounded_sample(queries, ["vec_id"], MEASURED).toPandas()
-    true = exact(rows, sample, k).select("query_id", F.explode("found.vec_id").alias("vec_id"))
+    true = exact(rows, sample, k).select("query_id", "vec_id")
     true = checkpointed(true)
     place = ranks.select("vec_id", "curve", "rank")
     pairs = true.join(place, "vec_id").join(
@@ -252,5 +259,4 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
 
     key = ["curve", "block", "salt"]
     found = blocks.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(meet, _FOUND)
-    return merged(found, k).select("query_id", F.posexplode("found").alias("at", "x")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
+    return merged(found, k).select("query_id", "rank", "vec_id", (-F.col("less")).alias("score"))
