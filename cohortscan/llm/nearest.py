@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.llm.common import bounded_sample, pick
@@ -37,6 +37,8 @@ BITS = 8
 FIT_ROWS = 4096
 MEASURED = 100
 RECALL = 0.96
+#: Lists of neighbours that are merged in one row.
+FAN = 64
 #: Rows of an ordering that one task compares with the queries around them.
 BLOCK = 4096
 QUERIES = 2048
@@ -156,17 +158,17 @@ def _found(q_ids, results) -> pd.DataFrame:
     return pd.DataFrame({"query_id": pd.Series(q_ids, dtype="int64"), "found": pd.Series(lists, dtype=object)})
 
 
-def merged(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank (from 1), vec_id and less: the ``k`` nearest of all lists of each query.
+def merged(found: DataFrame, k: int, parts: int) -> DataFrame:
+    """One row for each query with its ``k`` nearest of all lists (query_id, part, found).
 
-    A candidate is one row, once, wherever it was met; each partition lets at
-    most ``k`` rows of a query through to its ranking, so no list grows with
-    the blocks that a window covers.
+    ``part`` is from 0 to below ``parts``.  Lists of up to FAN parts are merged
+    at once, in as many rounds as that takes, so no row holds more than these.
     """
-    met = found.select("query_id", F.explode("found").alias("x")).select("query_id", "x.vec_id", "x.less")
-    once = met.groupBy("query_id", "vec_id").agg(F.min("less").alias("less"))
-    nearest = Window.partitionBy("query_id").orderBy("less", "vec_id")
-    return once.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
+    while parts > FAN:
+        found = found.groupBy("query_id", F.floor(F.col("part") / FAN).alias("part")).agg(F.slice(every, 1, k).alias("found"))
+        parts = -(-parts // FAN)
+    return found.groupBy("query_id").agg(F.slice(every, 1, k).alias("found"))
 
 
 def exact(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
@@ -179,7 +181,9 @@ def exact(rows: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
             if len(b):
                 yield _found(ids, best(b["vec_id"].to_numpy(), stacked(b["v"]), ids, q, k))
 
-    return merged(rows.mapInPandas(run, _FOUND), k)
+    # A list for each batch of a partition; ``rows`` are checkpointed, so their partitions are known.
+    lists = rows.mapInPandas(run, _FOUND).withColumn("part", F.spark_partition_id().cast("long"))
+    return merged(lists, k, rows.rdd.getNumPartitions())
 
 
 def ordered(rows: DataFrame, curves: Curves) -> DataFrame:
@@ -212,7 +216,7 @@ def ordered(rows: DataFrame, curves: Curves) -> DataFrame:
 def window(ranks: DataFrame, rows: DataFrame, queries: DataFrame, k: int, recall: float) -> int:
     """Half width in ranks at which a sample of queries meets ``recall`` of its true neighbours on some curve."""
     sample = bounded_sample(queries, ["vec_id"], MEASURED).toPandas()
-    true = exact(rows, sample, k).select("query_id", "vec_id")
+    true = exact(rows, sample, k).select("query_id", F.explode("found.vec_id").alias("vec_id"))
     true = checkpointed(true)
     place = ranks.select("vec_id", "curve", "rank")
     pairs = true.join(place, "vec_id").join(
@@ -245,18 +249,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     first = F.greatest(F.floor((F.col("rank") - half) / BLOCK), F.lit(0))
     final = F.least(F.floor((F.col("rank") + half) / BLOCK), F.lit(last))
     queries = ranks.where(asked).select(
-        F.col("vec_id").alias("query_id"), "v", "curve", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("salt"),
+        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "curve", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("salt"),
         F.explode(F.sequence(first, final)).alias("block"))
     blocks = ranks.select(
         "vec_id", "v", "curve", F.floor(F.col("rank") / BLOCK).alias("block"),
         F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
 
+    # The blocks of one window follow each other, so their remainders by the most there can be differ.
+    most = 2 * half // BLOCK + 2
+
     def meet(block, query):
         if not len(block) or not len(query):
-            return _found([], [])
+            return _found([], []).assign(part=pd.Series([], dtype="int64"))
         q_ids = query["query_id"].to_numpy()
-        return _found(q_ids, best(block["vec_id"].to_numpy(), stacked(block["v"]), q_ids, stacked(query["v"]), k))
+        met = best(block["vec_id"].to_numpy(), stacked(block["v"]), q_ids, stacked(query["q"]), k)
+        return _found(q_ids, met).assign(part=int(block["curve"].iloc[0]) * most + int(block["block"].iloc[0]) % most)
 
     key = ["curve", "block", "salt"]
-    found = blocks.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(meet, _FOUND)
-    return merged(found, k).select("query_id", "rank", "vec_id", (-F.col("less")).alias("score"))
+    found = blocks.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(meet, _FOUND + ", part long")
+    return merged(found, k, CURVES * most).select("query_id", F.posexplode("found").alias("at", "x")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))

@@ -257,6 +257,7 @@ def test_neighbours_in_several_blocks(spark, monkeypatch):
     """Clustered vectors of different lengths: windows are small and recall holds."""
     monkeypatch.setattr(nearest, "BLOCK", 64)
     monkeypatch.setattr(nearest, "QUERIES", 16)
+    monkeypatch.setattr(nearest, "FAN", 2)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16)) * 3
     x = np.concatenate([c + rng.normal(size=(50, 16)) * 0.2 for c in centres]).astype(np.float32)
