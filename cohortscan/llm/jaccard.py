@@ -1,12 +1,23 @@
-"""N-gram Jaccard join by banded MinHash.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
 A text is the set of its five-word shingles (lower-cased runs of letters and
 digits; a shorter text is one shingle).  Texts with equal sets are one class
-from the start.  Each tree is one band: it hashes a few MinHash values, and
-texts that share them meet.  The depth is the same for all trees and follows
-from their number, the threshold and the target recall alone, not from the data.  Pairs that meet are verified exactly, in blocks of bounded size, in
-the first tree that holds them; a block returns counts and local classes, not
-pairs.
+from the start.  Each tree of the forest is a sorted prefix trie: a signature
+of ``DEPTH`` MinHash values, first value in the highest bits of a long, so that
+the order of the longs is the order of the trie and neighbours in it share the
+longest prefixes.  Texts that share a whole signature in some tree are compared
+first; then the matched prefix is shortened value by value until the recall
+that the links found so far imply reaches the target.
+
+A link of similarity j is found at depth d with a probability p that is known,
+so each one found stands for 1 / p links.  One link at the threshold is added
+that stands for those not seen, so few links never pass for proof.  The
+shortest prefix is the one at which all links at the threshold meet with the
+target recall, whatever the data hold.
+
+Pairs that meet are verified exactly, in blocks of bounded size, at the first
+depth and in the first tree that holds them; a block returns counts and local
+classes, not pairs.
 
 Null and empty texts, and texts without words, have no shingles: they are
 linked with nothing and are a class each.  Rows that repeat a document count
@@ -22,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,10 +48,14 @@ WORDS = 5
 #: Least similarity, as a fraction so that the test is exact.
 THRESHOLD = (4, 5)
 TREES = 24
-DEPTH = 5
+#: MinHash values of a full signature, and the bits kept of each.
+DEPTH = 6
+BITS = 10
 RECALL = 0.99999
 #: Members of a bucket that are compared with each other in one go.
 CHUNK = 256
+#: Members of blocks in a partition, on average.
+MEMBERS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -69,15 +85,30 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_depth(trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """Longest prefix at which a pair at the threshold meets in some tree with the target recall."""
-    s = THRESHOLD[0] / THRESHOLD[1]
-    for r in range(depth, 0, -1):
-        if 1 - (1 - s**r) ** trees >= recall:
-            return r
+    for d in range(depth, 0, -1):
+        if 1 - missed(THRESHOLD[0] / THRESHOLD[1], d, trees) >= recall:
+            return d
     raise ValueError("more trees are needed for this recall")
 
 
-def prefixes(flat: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
-    """Hash of the prefix of each signature (row) in each tree (column); rows without shingles stay 0."""
+def missed(similarity, depth, trees: int = TREES):
+    """Probability that a pair shares no prefix of this depth in any tree."""
+    return (1 - similarity**depth) ** trees
+
+
+def unseen(similarity: np.ndarray) -> np.ndarray:
+    """Links that each found link stands for beside itself, at each depth from 1 (columns)."""
+    lost = missed(np.asarray(similarity, float)[:, None], np.arange(1, DEPTH + 1))
+    return lost / (1 - lost)
+
+
+def recall_of(told: np.ndarray, depth: int) -> float:
+    """Share of links found down to this depth, from what the links found stand for."""
+    return told[0] / (told[0] + told[depth])
+
+
+def signature_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Signature of each set of shingles (row) in each tree (column); rows without shingles stay 0."""
     out = np.zeros((len(sizes), TREES), np.uint64)
     has = np.flatnonzero(sizes)
     if not len(has):
@@ -86,14 +117,20 @@ def prefixes(flat: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
     rng = np.random.default_rng(2024)
     odd = rng.integers(1 << 62, size=(TREES, DEPTH), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     for t in range(TREES):
-        key = np.full(len(has), t + 1, np.uint64)
-        for d in range(depth):
+        key = np.zeros(len(has), np.uint64)
+        for d in range(DEPTH):
             h = flat * odd[t, d]
-            key = _mix(key + np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts))
+            least = _mix(np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts))
+            key = (key << np.uint64(BITS)) | (least >> np.uint64(64 - BITS))
         out[has, t] = key
     return out
 
 
+def cut_bits(depth: int) -> int:
+    """Bits of a signature after the prefix of this depth."""
+    return BITS * (DEPTH - depth)
+
+
 def identity(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Two sums that stand for a set of shingles, whatever their order."""
     ends, out = np.cumsum(sizes), []
@@ -103,13 +140,13 @@ def identity(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signatures(documents: DataFrame, depth: int) -> DataFrame:
-    """doc_id, row_key, s0, s1, n (identity and size of the shingle set) and keys (a prefix hash for each tree)."""
+def signatures(documents: DataFrame) -> DataFrame:
+    """doc_id, row_key, s0, s1, n (identity and size of the shingle set) and keys (a signature for each tree)."""
     def run(batches):
         for b in batches:
             flat, sizes = shingles(b.column("text").to_pylist())
             s0, s1 = identity(flat, sizes)
-            keys = prefixes(flat, sizes, depth)
+            keys = signature_keys(flat, sizes)
             at = pa.array(np.arange(0, keys.size + 1, TREES), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row_key"), pa.array(s0), pa.array(s1), pa.array(sizes),
@@ -120,43 +157,62 @@ def signatures(documents: DataFrame, depth: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, row_key long, s0 long, s1 long, n long, keys array<long>")
 
 
-def verified(rows: Iterator[tuple], group_of) -> Iterator[tuple[int, int, int]]:
-    """(node, links, root) from rows in order of their group."""
+def verified(rows: Iterator[tuple], group_of, depth: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(node, links, root, unseen) from rows in order of their group."""
     held, at = [], None
     for row in rows:
         g = group_of(row)
         if g != at and held:
-            yield from compare(at, held)
+            yield from compare(at, held, depth)
             held = []
         at = g
         held.append(row)
     if held:
-        yield from compare(at, held)
+        yield from compare(at, held, depth)
+
 
+def compare(group: tuple, rows: list[tuple], depth: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """Exact links within a chunk, or between two chunks, that no deeper prefix and no earlier tree has met.
 
-def compare(group: tuple, rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """Exact links within a chunk, or between two chunks, that no earlier tree has met."""
+    The last item is, with the left end of each link, the number of links it
+    stands for beside itself at each depth, first of all the link itself.
+    """
     tree, _, a, b = group
     chunk = np.array([r[0] for r in rows])
     node = np.array([r[1] for r in rows], np.int64)
     weight = np.array([r[2] for r in rows], np.int64)
     keys = np.stack([r[3] for r in rows])
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
     left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
+    new = np.ones((len(left), len(right)), bool)
+    same, deeper = keys >> cut_bits(depth), keys >> cut_bits(min(depth + 1, DEPTH))
+    for t in range(TREES):
+        if t < tree:
+            new &= same[left, t][:, None] != same[right, t][None, :]
+        if depth < DEPTH:
+            new &= deeper[left, t][:, None] != deeper[right, t][None, :]
+    if a == b:
+        np.fill_diagonal(new, False)
+    # Only sets with some new partner are intersected.
+    rows_left, rows_right = new.any(axis=1), new.any(axis=0)
+    left, right, new = left[rows_left], right[rows_right], new[np.ix_(rows_left, rows_right)]
+    if not len(left):
+        return []
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets], np.int64)
     inter = common(sets, left, right)
+    both = sizes[left][:, None] + sizes[right][None, :]
     p, q = THRESHOLD
-    link = inter * (p + q) >= p * (sizes[left][:, None] + sizes[right][None, :])
-    for t in range(tree):
-        link &= keys[left, t][:, None] != keys[right, t][None, :]
-    if a == b:
-        np.fill_diagonal(link, False)
+    link = (inter * (p + q) >= p * both) & new
     links = np.zeros(len(rows), np.int64)
     links[left] += link @ weight[right]
     if a != b:
         links[right] += link.T @ weight[left]
-    root = np.arange(len(rows))  # smallest node that links lead to, within this group
-    root = np.argsort(np.argsort(node, kind="stable"), kind="stable")
+    told = np.zeros((len(rows), 1 + DEPTH))
+    i, j = np.nonzero(link)
+    stands = np.concatenate((np.ones((len(i), 1)), unseen(inter[i, j] / (both[i, j] - inter[i, j]))), axis=1)
+    # Within one chunk both directions of a link are here.
+    np.add.at(told, left[i], stands / 2 if a == b else stands)
+    root = np.argsort(np.argsort(node, kind="stable"), kind="stable")  # smallest node that links lead to, in this group
     while True:
         before = root.copy()
         for i, one in enumerate(left):
@@ -168,7 +224,7 @@ def compare(group: tuple, rows: list[tuple]) -> list[tuple[int, int, int]]:
         if (before == root).all():
             break
     order = np.sort(node)
-    return [(int(node[i]), int(links[i]), int(order[root[i]])) for i in np.flatnonzero(links)]
+    return [(int(node[i]), int(links[i]), int(order[root[i]]), told[i]) for i in np.flatnonzero(links)]
 
 
 def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -212,16 +268,63 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def buckets(sets: DataFrame) -> DataFrame:
-    """node, m, keys, tree, key, chunks, chunk of the sets in buckets with members that no earlier tree has all met."""
+def shared_depths(trees: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Depth of the longest prefix that each signature shares with the next one, in order of tree and signature."""
+    apart = keys[1:] ^ keys[:-1]
+    out = np.zeros(len(apart), np.int32)
+    for d in range(1, DEPTH + 1):
+        out += (apart >> cut_bits(d)) == 0
+    return np.where(trees[1:] == trees[:-1], out, 0).astype(np.int32)
+
+
+def company(sets: DataFrame, floor: int) -> DataFrame:
+    """node, tree, key and reach: the longest prefix that a set shares with another, where that is ``floor`` or more.
+
+    Tries are cut into their branches at ``floor``, sorted, and read once with
+    one neighbour in hand; the longest shared prefix of a sorted signature is
+    always shared with a neighbour.
+    """
     met = sets.select("node", F.posexplode("keys").alias("tree", "key"))
-    shared = met.groupBy("tree", "key").count().where("count > 1").select("tree", "key")
-    met = met.join(shared, ["tree", "key"]).join(sets.select("node", "m", "keys"), "node")
-    key_of = [F.element_at("keys", t + 1) for t in range(TREES)]
-    spread = met.groupBy("tree", "key").agg(
-        F.count(F.lit(1)).alias("members"), *[(F.min(k) == F.max(k)).alias(f"e{t}") for t, k in enumerate(key_of)])
-    settled = F.array_contains(F.slice(F.array(*[F.col(f"e{t}") for t in range(TREES)]), F.lit(1), F.col("tree")), True)
-    new = spread.where(~F.coalesce(settled, F.lit(False))).select("tree", "key", "members")
+    branch = F.shiftright("key", cut_bits(floor))
+    ordered = met.repartition("tree", branch).sortWithinPartitions("tree", "key")
+
+    def run(batches):
+        held, before = None, 0  # the last row read and the prefix that it shares with the one before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(c).to_numpy() for c in ("node", "tree", "key")]
+            if held is not None:
+                rows = [np.concatenate((h, r)) for h, r in zip(held, rows)]
+            depths = np.concatenate(([before], shared_depths(rows[1], rows[2])))
+            yield found([r[:-1] for r in rows], np.maximum(depths[:-1], depths[1:]))
+            held, before = [r[-1:] for r in rows], depths[-1]
+        if held is not None:
+            yield found(held, np.array([before]))
+
+    def found(rows, reach):
+        kept = reach >= floor
+        node, tree, key = (r[kept] for r in rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node), pa.array(tree), pa.array(key), pa.array(reach[kept].astype(np.int32))],
+            ["node", "tree", "key", "reach"])
+
+    return ordered.mapInArrow(run, "node long, tree int, key long, reach int")
+
+
+def buckets(met: DataFrame, depth: int) -> DataFrame:
+    """node, m, keys, tree, key, chunks, chunk of the sets (node, m, keys, tree, key, reach) that share a prefix of this
+    depth with members that no longer prefix and no earlier tree has all met."""
+    met = met.where(F.col("reach") >= depth).withColumn("key", F.shiftright("key", cut_bits(depth)))
+
+    keys = [F.element_at("keys", t + 1) for t in range(TREES)]
+    # Bits in which members differ; a prefix is common if all of its bits are.
+    differ = [F.bit_or(k).bitwiseXOR(F.bit_and(k)).alias(f"d{t}") for t, k in enumerate(keys)]
+    spread = met.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), *differ)
+    before = [(F.col("tree") > t) & (F.shiftright(f"d{t}", cut_bits(depth)) == 0) for t in range(TREES)]
+    if depth < DEPTH:
+        before += [F.shiftright(f"d{t}", cut_bits(depth + 1)) == 0 for t in range(TREES)]
+    new = spread.where(~reduce(lambda a, b: a | b, before)).select("tree", "key", "members")
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     return met.join(new, ["tree", "key"]).select(
         "node", "m", "keys", "tree", "key", chunks.alias("chunks"),
@@ -249,15 +352,32 @@ def bodies(documents: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def links(documents: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, links, root from every block of every bucket; exact."""
-    met = checkpointed(buckets(sets))
+    """node, links, root from every block of every bucket, at each depth that the recall asks for; exact."""
+    floor = prefix_depth()
+    met = checkpointed(company(sets, floor).join(sets.select("node", "m", "keys"), "node"))
     asked = met.select("node").distinct().join(sets.select("node", "rep.row_key", "s0", "s1"), "node")
+    held = checkpointed(bodies(documents, asked))
+    # One link at the threshold stands for those that are not seen.
+    found, told = [], np.concatenate(([1.0], unseen([THRESHOLD[0] / THRESHOLD[1]])[0]))
+    for depth in range(DEPTH, floor - 1, -1):
+        found.append(checkpointed(links_at(held, met, depth)))
+        sums = found[-1].agg(*[F.sum(F.col("told")[i]) for i in range(1 + DEPTH)]).first()
+        told += np.array([x or 0.0 for x in sums])
+        if recall_of(told, depth) >= RECALL:
+            break
+    return reduce(DataFrame.union, found).select("node", "links", "root")
+
+
+def links_at(held: DataFrame, met: DataFrame, depth: int) -> DataFrame:
+    """node, links, root and told (what the links say about those not found) of the blocks at one depth."""
+    met = checkpointed(buckets(met, depth))
+    size = met.agg(F.sum("chunks")).first()[0] or 0
     rows = met.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
         "node", "m", "keys", "tree", "key", "chunk",
         F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
     group = ["tree", "key", "a", "b"]
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.join(bodies(documents, asked), "node").repartition(parts, *group).sortWithinPartitions(*group)
+    parts = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // MEMBERS))
+    rows = rows.join(held, "node").repartition(parts, *group).sortWithinPartitions(*group)
 
     def run(batches):
         def read():
@@ -268,19 +388,22 @@ def links(documents: DataFrame, sets: DataFrame) -> DataFrame:
                     yield chunk, node, m, keys[i], body, (t, k, x, y)
 
         out = []
-        for found in verified(read(), lambda r: r[5]):
-            out.append(found)
+        for one in verified(read(), lambda r: r[5], depth):
+            out.append(one)
             if len(out) >= 10_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    return rows.select(*group, "chunk", "node", "m", "keys", "set").mapInArrow(run, "node long, links long, root long")
+    return rows.select(*group, "chunk", "node", "m", "keys", "set").mapInArrow(
+        run, "node long, links long, root long, told array<double>")
 
 
-def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "links", "root"])
+def _batch(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    node, links, root, told = zip(*rows) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c, pa.int64()) for c in (node, links, root)), pa.array(list(told), pa.list_(pa.float64()))],
+        ["node", "links", "root", "told"])
 
 
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +412,7 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(documents.sparkSession)
     documents = keyed(pick(documents, "doc_id", "text")).select("doc_id", "row_key", "text")
     node = F.when(F.col("n") > 0, F.xxhash64("s0", "s1", "n")).alias("node")
-    signed = checkpointed(signatures(documents, prefix_depth()).select("doc_id", "row_key", node, "s0", "s1", "keys"))
+    signed = checkpointed(signatures(documents).select("doc_id", "row_key", node, "s0", "s1", "keys"))
     # The first row of a set or class has the least id, null last, then the least key.
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     sets = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(

@@ -147,12 +147,13 @@ def test_mix_edge_cases(spark):
     assert mixing.mixed_sources(odd.limit(0)).count() == 0 and mixing.mixed_corpus(odd.limit(0)).count() == 0
 
 
-def plain_classes(rows):
-    def grams(text):
-        w = re.findall(r"[^\W_]+", (text or "").lower())
-        return frozenset(" ".join(w[i: i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+def plain_shingles(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return frozenset(" ".join(w[i: i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
 
-    sets = [grams(r[1]) for r in rows]
+def plain_classes(rows):
+    sets = [plain_shingles(r[1]) for r in rows]
     label, links = list(range(len(rows))), [0] * len(rows)
     for i, j in itertools.combinations(range(len(rows)), 2):
         if sets[i] and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
@@ -195,6 +196,56 @@ def test_jaccard_edge_cases(spark):
     assert jaccard.prefix_depth(recall=0.9) > jaccard.prefix_depth(recall=0.999999) >= 1
 
 
+def test_forest_prefixes(spark):
+    """Neighbours in a sorted trie tell for every set the longest prefix that it shares with any other."""
+    rng = random.Random(8)
+    cut = [jaccard.cut_bits(d) for d in range(jaccard.DEPTH + 1)]
+
+    def key():
+        return sum(rng.randrange(3) << c for c in cut[1:])
+
+    rows = [(i, [key() for _ in range(jaccard.TREES)]) for i in range(150)]
+    sets = spark.createDataFrame(rows, "node long, keys array<long>").repartition(3)
+    got = {(r["node"], r["tree"]): (r["key"], r["reach"]) for r in jaccard.company(sets, 2).collect()}
+    wanted = {}
+    for t in range(jaccard.TREES):
+        for i, own in rows:
+            reach = max(sum(own[t] >> c == k[t] >> c for c in cut[1:]) for j, k in rows if j != i)
+            if reach >= 2:
+                wanted[i, t] = (own[t], reach)
+    assert got == wanted and len({r for _, r in got.values()}) > 3
+    assert jaccard.company(sets.limit(0), 2).count() == 0
+
+    flat, sizes = jaccard.shingles([prose(1, 300), changed(prose(1, 300), 2, 1), None, prose(2, 300)])
+    keys = jaccard.signature_keys(flat, sizes)
+    assert keys.shape == (4, jaccard.TREES) and not keys[2].any() and int(keys.max()) < 1 << jaccard.cut_bits(0)
+    shared = [(keys[0] >> np.uint64(c) == keys[1] >> np.uint64(c)).sum() for c in cut]
+    assert shared == sorted(shared, reverse=True) and shared[jaccard.DEPTH] and not (keys[0] == keys[3]).any()
+
+
+def test_forest_shortens_prefixes_until_the_recall(spark, monkeypatch):
+    """Many links far above the threshold end at whole signatures, links at the threshold need shorter prefixes."""
+    depths, reached = [], []
+    at = jaccard.links_at
+    monkeypatch.setattr(jaccard, "links_at", lambda held, met, depth: depths.append(depth) or at(held, met, depth))
+    for words, edits in ((400, 1), (100, 2)):
+        rows = [(i, changed(prose(i % 3, words), edits, i)) for i in range(60)]
+        docs = documents(spark, rows)
+        assert {tuple(r) for r in jaccard.jaccard_join(docs).collect()} == plain_classes(rows)
+        sets = {frozenset(plain_shingles(t)) for _, t in rows}
+        similar = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2)]
+        held = [0.8] + [j for j in similar if j >= 0.8]
+        lost = {d: sum((1 - j**d) ** jaccard.TREES / (1 - (1 - j**d) ** jaccard.TREES) for j in held) for d in range(1, 7)}
+        last = next(d for d in range(6, 0, -1) if len(held) / (len(held) + lost[d]) >= jaccard.RECALL)
+        assert depths == list(range(6, last - 1, -1))
+        reached.append(last)
+        depths.clear()
+    assert reached[0] > reached[1]
+    floor = jaccard.prefix_depth()
+    told = np.concatenate(([1.0], jaccard.unseen([0.8])[0]))
+    assert jaccard.recall_of(told, floor) >= jaccard.RECALL > jaccard.recall_of(told, floor + 1)
+
+
 def test_null_ids_and_texts_that_share_an_id(spark):
     """Null-id rows link, survive and are mixed; of near copies under one id a single one survives."""
     a, b, c, d = (prose(200 + i, 80) for i in range(4))
