@@ -38,7 +38,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.llm.common import pick, row_key, small_batches
@@ -54,6 +54,8 @@ BITS = 10
 RECALL = 0.99999
 #: Members of a bucket that are compared with each other in one go.
 CHUNK = 256
+#: Prefixes that part a bucket, at most.
+PARTING = 12
 #: Members of blocks in a partition, on average.
 MEMBERS = 20_000
 _WORD = re.compile(r"[^\W_]+")
@@ -313,22 +315,61 @@ def company(sets: DataFrame, floor: int) -> DataFrame:
 
 
 def buckets(met: DataFrame, depth: int) -> DataFrame:
-    """node, m, keys, tree, key, chunks, chunk of the sets (node, m, keys, tree, key, reach) that share a prefix of this
-    depth with members that no longer prefix and no earlier tree has all met."""
-    met = met.where(F.col("reach") >= depth).withColumn("key", F.shiftright("key", cut_bits(depth)))
-
-    keys = [F.element_at("keys", t + 1) for t in range(TREES)]
+    """The sets (node, m, keys, tree, key, reach) that share a prefix of this depth with members that no longer prefix
+    and no earlier tree has all met; members is the size of the bucket."""
+    met = met.where(F.col("reach") >= depth).withColumn("key", F.shiftright("key", cut_bits(depth))).drop("reach")
     # Bits in which members differ; a prefix is common if all of its bits are.
-    differ = [F.bit_or(k).bitwiseXOR(F.bit_and(k)).alias(f"d{t}") for t, k in enumerate(keys)]
+    differ = [F.bit_or(k).bitwiseXOR(F.bit_and(k)).alias(f"d{t}") for t, k in enumerate(_keys("keys"))]
     spread = met.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), *differ)
-    before = [(F.col("tree") > t) & (F.shiftright(f"d{t}", cut_bits(depth)) == 0) for t in range(TREES)]
-    if depth < DEPTH:
-        before += [F.shiftright(f"d{t}", cut_bits(depth + 1)) == 0 for t in range(TREES)]
+    before = _in_tree(depth, lambda t, cut: F.shiftright(f"d{t}", cut) == 0)
     new = spread.where(~reduce(lambda a, b: a | b, before)).select("tree", "key", "members")
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    return met.join(new, ["tree", "key"]).select(
-        "node", "m", "keys", "tree", "key", chunks.alias("chunks"),
-        F.pmod(F.xxhash64(F.lit("chunk"), "node"), chunks).cast("int").alias("chunk"))
+    return met.join(new, ["tree", "key"])
+
+
+def _keys(column: str) -> list[Column]:
+    return [F.element_at(column, t + 1) for t in range(TREES)]
+
+
+def _in_tree(depth: int, test) -> list[Column]:
+    """``test`` (tree, bits cut off) for every prefix at which members of a bucket may have met before."""
+    at = [(F.col("tree") > t) & test(t, cut_bits(depth)) for t in range(TREES)]
+    return at + ([test(t, cut_bits(depth + 1)) for t in range(TREES)] if depth < DEPTH else [])
+
+
+def blocks(met: DataFrame, depth: int) -> DataFrame:
+    """The rows of ``buckets`` once for each block of chunks in which they can meet someone new: chunk, a, b.
+
+    Members that share an earlier prefix with a chosen member, the pivot of the
+    bucket, have met each other.  A large bucket is parted by the prefixes that
+    most members share with the pivot; parts with such a prefix in common need
+    no block, so a group of near copies does not return whole in every tree.
+    """
+    pivots = met.groupBy("tree", "key").agg(F.min_by("keys", "node").alias("pivot"))
+    own, other = _keys("keys"), _keys("pivot")
+    alike = _in_tree(depth, lambda t, cut: F.shiftright(own[t], cut) == F.shiftright(other[t], cut))
+    bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(alike)]
+    large = met.where(F.col("members") > CHUNK).join(pivots, ["tree", "key"]).select(
+        *met.columns, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("shared"))
+    # As many prefixes as part the bucket into about as many parts as it has chunks.
+    width = F.least(F.lit(PARTING), F.ceil(F.log2(F.col("members") / CHUNK))).cast("int")
+    counts = [F.struct(F.sum(F.shiftright("shared", i).bitwiseAND(1)).alias("n"), F.lit(1 << i).cast("long").alias("bit"))
+              for i in range(len(bits))]
+    chosen = large.groupBy("tree", "key", "members").agg(F.sort_array(F.array(*counts), asc=False).alias("counts")).select(
+        "tree", "key", F.aggregate(F.slice("counts", F.lit(1), width), F.lit(0).cast("long"), lambda x, c: x.bitwiseOR(c["bit"])).alias("asked"))
+    large = large.join(chosen, ["tree", "key"]).withColumn("part", F.col("shared").bitwiseAND(F.col("asked"))).select(*met.columns, "part")
+    parted = met.where(F.col("members") <= CHUNK).withColumn("part", F.lit(0).cast("long")).unionByName(large)
+    parts = parted.groupBy("tree", "key", "part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    # At most 2 to the power PARTING parts, whatever the size of the bucket.
+    listed = parts.groupBy("tree", "key").agg(F.collect_list(F.struct("part", "chunks")).alias("parts"))
+    mine = F.element_at(F.filter("parts", lambda p: p["part"] == F.col("part")), 1)["chunks"]
+    rows = parted.join(listed, ["tree", "key"]).withColumn(
+        "chunk", F.concat_ws(":", "part", F.pmod(F.xxhash64(F.lit("chunk"), "node"), mine)))
+    rows = rows.withColumn("with", F.explode(F.filter("parts", lambda p: p["part"].bitwiseAND(F.col("part")) == 0))).drop("parts")
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("with.chunks") - 1)))
+    partner = F.concat_ws(":", "with.part", "at")
+    return rows.select(
+        "node", "m", "keys", "tree", "key", "chunk",
+        F.least("chunk", partner).alias("a"), F.greatest("chunk", partner).alias("b"))
 
 
 def bodies(documents: DataFrame, asked: DataFrame) -> DataFrame:
@@ -370,13 +411,10 @@ def links(documents: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links_at(held: DataFrame, met: DataFrame, depth: int) -> DataFrame:
     """node, links, root and told (what the links say about those not found) of the blocks at one depth."""
-    met = checkpointed(buckets(met, depth))
-    size = met.agg(F.sum("chunks")).first()[0] or 0
-    rows = met.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "node", "m", "keys", "tree", "key", "chunk",
-        F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    rows = blocks(checkpointed(buckets(met, depth)), depth)
+    size = rows.count()
     group = ["tree", "key", "a", "b"]
-    parts = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // MEMBERS))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // MEMBERS))
     rows = rows.join(held, "node").repartition(parts, *group).sortWithinPartitions(*group)
 
     def run(batches):

@@ -246,6 +246,23 @@ def test_forest_shortens_prefixes_until_the_recall(spark, monkeypatch):
     assert jaccard.recall_of(told, floor) >= jaccard.RECALL > jaccard.recall_of(told, floor + 1)
 
 
+def test_large_buckets_are_parted(spark, monkeypatch):
+    """A group of near copies keeps all links, and its blocks grow less than those of whole buckets."""
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rows = [(i, changed(prose(5, 300), 1 + i % 4, i)) for i in range(200)]
+    seen, parted = [], jaccard.blocks
+
+    def counted(met, depth):
+        out = parted(met, depth)
+        whole = met.agg({"members": "sum"}).first()[0] or 0  # one row for each member and member of its bucket
+        seen.append((out.count() * jaccard.CHUNK, whole))
+        return out
+
+    monkeypatch.setattr(jaccard, "blocks", counted)
+    assert {tuple(r) for r in jaccard.jaccard_join(documents(spark, rows)).collect()} == plain_classes(rows)
+    assert sum(a for a, _ in seen) < 0.7 * sum(b for _, b in seen)
+
+
 def test_null_ids_and_texts_that_share_an_id(spark):
     """Null-id rows link, survive and are mixed; of near copies under one id a single one survives."""
     a, b, c, d = (prose(200 + i, 80) for i in range(4))
