@@ -316,14 +316,20 @@ def company(sets: DataFrame, floor: int) -> DataFrame:
 
 def buckets(met: DataFrame, depth: int) -> DataFrame:
     """The sets (node, m, keys, tree, key, reach) that share a prefix of this depth with members that no longer prefix
-    and no earlier tree has all met; members is the size of the bucket."""
+    and no earlier tree has all met.  members is the size of the bucket, shared has a bit for each earlier prefix that a
+    set shares with the pivot of the bucket, its least member."""
     met = met.where(F.col("reach") >= depth).withColumn("key", F.shiftright("key", cut_bits(depth))).drop("reach")
     # Bits in which members differ; a prefix is common if all of its bits are.
     differ = [F.bit_or(k).bitwiseXOR(F.bit_and(k)).alias(f"d{t}") for t, k in enumerate(_keys("keys"))]
-    spread = met.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), *differ)
+    spread = met.groupBy("tree", "key").agg(
+        F.count(F.lit(1)).alias("members"), F.min_by("keys", "node").alias("pivot"), *differ)
     before = _in_tree(depth, lambda t, cut: F.shiftright(f"d{t}", cut) == 0)
-    new = spread.where(~reduce(lambda a, b: a | b, before)).select("tree", "key", "members")
-    return met.join(new, ["tree", "key"])
+    new = spread.where(~reduce(lambda a, b: a | b, before)).select("tree", "key", "members", "pivot")
+    own, other = _keys("keys"), _keys("pivot")
+    alike = _in_tree(depth, lambda t, cut: F.shiftright(own[t], cut) == F.shiftright(other[t], cut))
+    bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(alike)]
+    shared = reduce(lambda a, b: a.bitwiseOR(b), bits).alias("shared")
+    return met.join(new, ["tree", "key"]).select(*met.columns, "members", shared)
 
 
 def _keys(column: str) -> list[Column]:
@@ -339,37 +345,33 @@ def _in_tree(depth: int, test) -> list[Column]:
 def blocks(met: DataFrame, depth: int) -> DataFrame:
     """The rows of ``buckets`` once for each block of chunks in which they can meet someone new: chunk, a, b.
 
-    Members that share an earlier prefix with a chosen member, the pivot of the
-    bucket, have met each other.  A large bucket is parted by the prefixes that
-    most members share with the pivot; parts with such a prefix in common need
-    no block, so a group of near copies does not return whole in every tree.
+    Members that share an earlier prefix with the pivot have met each other.  A
+    bucket of several chunks is parted by the prefixes that most members share
+    with the pivot; parts with such a prefix in common need no block, so a
+    group of near copies does not return whole in every tree.
     """
-    pivots = met.groupBy("tree", "key").agg(F.min_by("keys", "node").alias("pivot"))
-    own, other = _keys("keys"), _keys("pivot")
-    alike = _in_tree(depth, lambda t, cut: F.shiftright(own[t], cut) == F.shiftright(other[t], cut))
-    bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(alike)]
-    large = met.where(F.col("members") > CHUNK).join(pivots, ["tree", "key"]).select(
-        *met.columns, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("shared"))
+    plain = ["node", "m", "keys", "tree", "key"]
+    small = met.where(F.col("members") <= CHUNK).select(*plain, *[F.lit("0:0").alias(c) for c in ("chunk", "a", "b")])
+    large = met.where(F.col("members") > CHUNK)
     # As many prefixes as part the bucket into about as many parts as it has chunks.
     width = F.least(F.lit(PARTING), F.ceil(F.log2(F.col("members") / CHUNK))).cast("int")
+    prefixes = TREES if depth == DEPTH else 2 * TREES
     counts = [F.struct(F.sum(F.shiftright("shared", i).bitwiseAND(1)).alias("n"), F.lit(1 << i).cast("long").alias("bit"))
-              for i in range(len(bits))]
+              for i in range(prefixes)]
     chosen = large.groupBy("tree", "key", "members").agg(F.sort_array(F.array(*counts), asc=False).alias("counts")).select(
         "tree", "key", F.aggregate(F.slice("counts", F.lit(1), width), F.lit(0).cast("long"), lambda x, c: x.bitwiseOR(c["bit"])).alias("asked"))
-    large = large.join(chosen, ["tree", "key"]).withColumn("part", F.col("shared").bitwiseAND(F.col("asked"))).select(*met.columns, "part")
-    parted = met.where(F.col("members") <= CHUNK).withColumn("part", F.lit(0).cast("long")).unionByName(large)
-    parts = parted.groupBy("tree", "key", "part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    part = F.col("shared").bitwiseAND(F.col("asked")).alias("part")
+    large = checkpointed(large.join(chosen, ["tree", "key"]).select(*plain, part))
+    parts = large.groupBy("tree", "key", "part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     # At most 2 to the power PARTING parts, whatever the size of the bucket.
     listed = parts.groupBy("tree", "key").agg(F.collect_list(F.struct("part", "chunks")).alias("parts"))
     mine = F.element_at(F.filter("parts", lambda p: p["part"] == F.col("part")), 1)["chunks"]
-    rows = parted.join(listed, ["tree", "key"]).withColumn(
+    rows = large.join(listed, ["tree", "key"]).withColumn(
         "chunk", F.concat_ws(":", "part", F.pmod(F.xxhash64(F.lit("chunk"), "node"), mine)))
     rows = rows.withColumn("with", F.explode(F.filter("parts", lambda p: p["part"].bitwiseAND(F.col("part")) == 0))).drop("parts")
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("with.chunks") - 1)))
     partner = F.concat_ws(":", "with.part", "at")
-    return rows.select(
-        "node", "m", "keys", "tree", "key", "chunk",
-        F.least("chunk", partner).alias("a"), F.greatest("chunk", partner).alias("b"))
+    return small.unionByName(rows.select(*plain, "chunk", F.least("chunk", partner).alias("a"), F.greatest("chunk", partner).alias("b")))
 
 
 def bodies(documents: DataFrame, asked: DataFrame) -> DataFrame:
