@@ -17,7 +17,11 @@ target recall, whatever the data hold.
 
 Pairs that meet are verified exactly, in blocks of bounded size, at the first
 depth and in the first tree that holds them; a block returns counts and local
-classes, not pairs.
+classes, not pairs.  Large buckets of the shortest prefix that have sets in
+common are one crowd, if all its pairs are no more than those of its buckets:
+its sets are compared with each other once, and no tree brings them together
+again.  Links inside crowds do not count for the recall, as none of them is
+left unseen.
 
 Null and empty texts, and texts without words, have no shingles: they are
 linked with nothing and are a class each.  Rows that repeat a document count
@@ -174,7 +178,7 @@ def verified(rows: Iterator[tuple], group_of, depth: int) -> Iterator[tuple[int,
 
 
 def compare(group: tuple, rows: list[tuple], depth: int) -> list[tuple[int, int, int, np.ndarray]]:
-    """Exact links within a chunk, or between two chunks, that no deeper prefix and no earlier tree has met.
+    """Exact links within a chunk, or between two chunks, that no deeper prefix, no earlier tree and no crowd has met.
 
     The last item is, with the left end of each link, the number of links it
     stands for beside itself at each depth, first of all the link itself.
@@ -192,6 +196,9 @@ def compare(group: tuple, rows: list[tuple], depth: int) -> list[tuple[int, int,
             new &= same[left, t][:, None] != same[right, t][None, :]
         if depth < DEPTH:
             new &= deeper[left, t][:, None] != deeper[right, t][None, :]
+    crowd = np.array([r[5] or 0 for r in rows], np.int64)
+    alone = np.array([r[5] is None for r in rows])
+    new &= (crowd[left][:, None] != crowd[right][None, :]) | alone[left][:, None] | alone[right][None, :]
     if a == b:
         np.fill_diagonal(new, False)
     # Only sets with some new partner are intersected.
@@ -314,15 +321,39 @@ def company(sets: DataFrame, floor: int) -> DataFrame:
     return ordered.mapInArrow(run, "node long, tree int, key long, reach int")
 
 
+def crowds(met: DataFrame, depth: int) -> DataFrame | None:
+    """node, crowd and members (its size) of the sets that large buckets of this depth tie together.
+
+    A crowd that has more pairs than its buckets have together, as a chain of
+    buckets with few sets in common, is none.
+    """
+    at = met.select("node", "tree", F.shiftright("key", cut_bits(depth)).alias("key"))
+    large = checkpointed(at.groupBy("tree", "key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where(F.col("size") > CHUNK))
+    if large.isEmpty():
+        return None
+    tied = checkpointed(at.join(large, ["tree", "key"]).select("node", "first").distinct())
+    roots = components(tied.where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    crowd = F.coalesce("root", "node").alias("crowd")
+    nodes = checkpointed(tied.select("node").distinct().join(roots, "node", "left").select("node", crowd))
+    pairs = F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs")
+    spent = large.withColumnRenamed("first", "node").join(nodes, "node").groupBy("crowd").agg(pairs)
+    sizes = nodes.groupBy("crowd").agg(F.count(F.lit(1)).alias("members")).join(spent, "crowd")
+    once = F.col("members").cast("double") * F.col("members")
+    return checkpointed(nodes.join(sizes.where(once <= F.col("pairs")).select("crowd", "members"), "crowd").select("node", "crowd", "members"))
+
+
 def buckets(met: DataFrame, depth: int) -> DataFrame:
-    """The sets (node, m, keys, tree, key, reach) that share a prefix of this depth with members that no longer prefix
-    and no earlier tree has all met.  members is the size of the bucket, shared has a bit for each earlier prefix that a
-    set shares with the pivot of the bucket, its least member."""
+    """The sets (node, m, keys, crowd, tree, key, reach) that share a prefix of this depth with members that no longer
+    prefix, no earlier tree and no crowd has all met.  members is the size of the bucket, shared has a bit for each
+    earlier prefix that a set shares with the pivot of the bucket, its least member."""
     met = met.where(F.col("reach") >= depth).withColumn("key", F.shiftright("key", cut_bits(depth))).drop("reach")
     # Bits in which members differ; a prefix is common if all of its bits are.
     differ = [F.bit_or(k).bitwiseXOR(F.bit_and(k)).alias(f"d{t}") for t, k in enumerate(_keys("keys"))]
     spread = met.groupBy("tree", "key").agg(
-        F.count(F.lit(1)).alias("members"), F.min_by("keys", "node").alias("pivot"), *differ)
+        F.count(F.lit(1)).alias("members"), F.min_by("keys", "node").alias("pivot"), *differ, F.count("crowd").alias("crowded"),
+        F.min("crowd").alias("low"), F.max("crowd").alias("high"))
+    spread = spread.where("crowded < members OR low < high")
     before = _in_tree(depth, lambda t, cut: F.shiftright(f"d{t}", cut) == 0)
     new = spread.where(~reduce(lambda a, b: a | b, before)).select("tree", "key", "members", "pivot")
     own, other = _keys("keys"), _keys("pivot")
@@ -345,13 +376,20 @@ def _in_tree(depth: int, test) -> list[Column]:
 def blocks(met: DataFrame, depth: int) -> DataFrame:
     """The rows of ``buckets`` once for each block of chunks in which they can meet someone new: chunk, a, b.
 
+    Rows without a column ``shared`` are crowds, where all have to meet, in wider chunks.
     Members that share an earlier prefix with the pivot have met each other.  A
     bucket of several chunks is parted by the prefixes that most members share
     with the pivot; parts with such a prefix in common need no block, so a
     group of near copies does not return whole in every tree.
     """
-    plain = ["node", "m", "keys", "tree", "key"]
+    plain = ["node", "m", "keys", "crowd", "tree", "key"]
     small = met.where(F.col("members") <= CHUNK).select(*plain, *[F.lit("0:0").alias(c) for c in ("chunk", "a", "b")])
+    if "shared" not in met.columns:
+        chunks = F.ceil(F.col("members") / (2 * CHUNK)).cast("int")
+        rows = met.where(F.col("members") > CHUNK).withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "node"), chunks).cast("string"))
+        rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        partner = F.col("at").cast("string")
+        return small.unionByName(rows.select(*plain, "chunk", F.least("chunk", partner).alias("a"), F.greatest("chunk", partner).alias("b")))
     large = met.where(F.col("members") > CHUNK)
     # As many prefixes as part the bucket into about as many parts as it has chunks.
     width = F.least(F.lit(PARTING), F.ceil(F.log2(F.col("members") / CHUNK))).cast("int")
@@ -402,6 +440,15 @@ def links(documents: DataFrame, sets: DataFrame) -> DataFrame:
     held = checkpointed(bodies(documents, asked))
     # One link at the threshold stands for those that are not seen.
     found, told = [], np.concatenate(([1.0], unseen([THRESHOLD[0] / THRESHOLD[1]])[0]))
+    crowd, none = crowds(met, floor), F.lit(None).cast("long").alias("crowd")
+    if crowd is None:
+        met = met.withColumn("crowd", none)
+    else:
+        together = crowd.join(sets.select("node", "m", "keys"), "node").select(
+            "node", "m", "keys", none, F.lit(0).alias("tree"), F.col("crowd").alias("key"), "members")
+        # No tree comes before the first and no prefix is longer than the whole: every pair is new.
+        found.append(checkpointed(compared(held, blocks(checkpointed(together), DEPTH), DEPTH)))
+        met = checkpointed(met.join(crowd.select("node", "crowd"), "node", "left"))
     for depth in range(DEPTH, floor - 1, -1):
         found.append(checkpointed(links_at(held, met, depth)))
         sums = found[-1].agg(*[F.sum(F.col("told")[i]) for i in range(1 + DEPTH)]).first()
@@ -413,7 +460,11 @@ def links(documents: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links_at(held: DataFrame, met: DataFrame, depth: int) -> DataFrame:
     """node, links, root and told (what the links say about those not found) of the blocks at one depth."""
-    rows = blocks(checkpointed(buckets(met, depth)), depth)
+    return compared(held, blocks(checkpointed(buckets(met, depth)), depth), depth)
+
+
+def compared(held: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+    """node, links, root and told of the blocks in ``rows``."""
     size = rows.count()
     group = ["tree", "key", "a", "b"]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // MEMBERS))
@@ -423,19 +474,19 @@ def links_at(held: DataFrame, met: DataFrame, depth: int) -> DataFrame:
         def read():
             for b in batches:
                 keys = b.column("keys").flatten().to_numpy().reshape(-1, TREES)
-                values = [b.column(c).to_pylist() for c in (*group, "chunk", "node", "m", "set")]
-                for i, (t, k, x, y, chunk, node, m, body) in enumerate(zip(*values)):
-                    yield chunk, node, m, keys[i], body, (t, k, x, y)
+                values = [b.column(c).to_pylist() for c in (*group, "chunk", "node", "m", "set", "crowd")]
+                for i, (t, k, x, y, chunk, node, m, body, crowd) in enumerate(zip(*values)):
+                    yield chunk, node, m, keys[i], body, crowd, (t, k, x, y)
 
         out = []
-        for one in verified(read(), lambda r: r[5], depth):
+        for one in verified(read(), lambda r: r[6], depth):
             out.append(one)
             if len(out) >= 10_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    return rows.select(*group, "chunk", "node", "m", "keys", "set").mapInArrow(
+    return rows.select(*group, "chunk", "node", "m", "keys", "set", "crowd").mapInArrow(
         run, "node long, links long, root long, told array<double>")
 
 

@@ -263,6 +263,36 @@ def test_large_buckets_are_parted(spark, monkeypatch):
     assert sum(a for a, _ in seen) < 0.7 * sum(b for _, b in seen)
 
 
+def test_crowds_are_compared_once(spark, monkeypatch):
+    """The trees join and deal no rows of a group of near copies again, and sets beside it keep their links to it."""
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rows = [(i, changed(prose(5, 300), 1 + i % 4, i)) for i in range(120)]
+    rows += [(200 + i, changed(prose(5, 300), 12 + i % 5, i)) for i in range(30)]
+    rows += [(300 + i, changed(prose(6 + i % 4, 300), i % 3, i)) for i in range(24)]
+    seen, found = [], jaccard.buckets
+
+    def counted(met, depth):
+        out = found(met, depth)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "buckets", counted)
+    assert {tuple(r) for r in jaccard.jaccard_join(documents(spark, rows)).collect()} == plain_classes(rows)
+    assert seen and sum(seen) < 24 * 120
+
+
+def test_chains_of_buckets_are_no_crowd(spark, monkeypatch):
+    """Buckets with one set in common stay apart where all pairs of the chain would be more than their own."""
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    key = lambda i: 0 if i < 10 else 1 << jaccard.cut_bits(1)
+    chain = [(i, t, key(i) if t < 2 else 7) for i in range(20) for t in range(2)] + [(9, 2, 5), *[(i, 2, 5) for i in range(10, 13)]]
+    met = spark.createDataFrame(chain, "node long, tree int, key long")
+    got = {(r["node"], r["crowd"], r["members"]) for r in jaccard.crowds(met, 4).collect()}
+    assert got == {(i, 0, 20) for i in range(20)}  # two trees of two buckets hold as many pairs as all 20 sets
+    once = met.where("tree != 1")
+    assert jaccard.crowds(once, 4).count() == 0 and jaccard.crowds(once.limit(2), 4) is None
+
+
 def test_null_ids_and_texts_that_share_an_id(spark):
     """Null-id rows link, survive and are mixed; of near copies under one id a single one survives."""
     a, b, c, d = (prose(200 + i, 80) for i in range(4))
