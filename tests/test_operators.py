@@ -332,6 +332,38 @@ def test_sharing_counts_equal_plain_counts(spark):
         assert counts == (apart.count(2), apart.count(1), apart.count(0))
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("slices", [8192, 7])
+def test_pairs_of_sample_arrays_equal_those_of_calls(spark, slices):
+    """With a missing call, a null id, a sample without calls, one that comes twice and arrays of different length."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [None if rng.random() < 0.1 else int(rng.integers(0, 3)) for _ in range(20 if i % 5 else 17)]) for i in range(40)]
+    rows += [(40, rows[3][1]), (41, None), (42, []), (None, [1] * 20), (4, rows[4][1])]
+    geno = spark.createDataFrame(rows, "IID long, CALLS array<tinyint>")
+    long = geno.select("IID", F.posexplode("CALLS").alias("POS", "GT"))
+    got, want = (sorted(map(tuple, structure.related_pairs(g, -9.0, 16, slices).collect())) for g in (geno, long))
+    assert len(got) == 41 * 40 // 2 and [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5] for r in got], [r[5] for r in want])
+    assert [r[:2] for r in map(tuple, structure.related_pairs(geno, 0.95, None, slices).collect())] == [(3, 40)]
+
+
+def test_counts_of_pairs_are_not_written(spark):
+    """300 pairs of blocks: their counts would take 15 MB before compression, their packed calls less than one."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"1:{p}", int(x)) for i, row in enumerate(rng.integers(0, 3, (1500, 8))) for p, x in enumerate(row)]
+    geno = spark.createDataFrame(rows, "IID long, POS string, GT int").cache()
+    geno.count()
+    before = set(shuffle_files(spark))
+    structure.related_pairs(geno, 2.0, 64).count()
+    assert sum(size for name, size in shuffle_files(spark).items() if name not in before) < 2_500_000
+    geno.unpersist()
+
+
 def greedy_removals(band, count, window, step, vif):
     """Sliding-window pruning with a fresh inverse for every removal."""
     gone = set()
