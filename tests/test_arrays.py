@@ -118,3 +118,51 @@ def test_sets_without_events_or_variance(spark):
     got = cox.cox_scan(geno, table, ["X1"]).collect()
     assert [(r.POS, r.N_OBS, r.N_EVENT, r.STATUS) for r in got] == [("1:5", 6, 0, "NO_VARIANCE")]
     assert pd.isna(got[0].BETA)
+
+
+class Noted(cox.CoxFit):
+    """Remembers the subjects of every run."""
+
+    def part(self, state, block):
+        self.runs = [*getattr(self, "runs", []), block.place]
+        return super().part(state, block)
+
+
+def test_sums_are_taken_over_runs_of_whole_subjects(monkeypatch):
+    """Also where one subject has more rows than a run; the sums are those of all rows at once."""
+    rng = np.random.default_rng(4)
+    place = np.repeat(np.arange(9), [3, 1, 4, 12, 2, 2, 1, 5, 3])
+    n = len(place)
+    start, event = rng.integers(0, 9, n).astype(float), rng.random(n) < 0.5
+    stop, x, s = start + rng.integers(1, 6, n), rng.normal(size=(n, 2)), rng.integers(0, 3, (4, 9)).astype(float)
+    s[2, 3] = np.nan
+    block = Block(s, place, np.column_stack([start, stop, event, x]), np.unique(stop[event]))
+    monkeypatch.setattr(arrays, "ROWS_TOGETHER", 6)
+    fit = Noted(["A", "B"])
+    state = fit.start(4)
+    for _ in range(4):
+        fit.runs = []
+        total = arrays.summed(fit, state, block)
+        assert np.array_equal(np.concatenate(fit.runs), place) and len(fit.runs) > 4
+        assert all(len(r) <= 6 or len(set(r)) == 1 for r in fit.runs)
+        assert all(a[-1] < b[0] for a, b in zip(fit.runs, fit.runs[1:]))
+        for k, v in cox.CoxFit(["A", "B"]).part(state, block).items():
+            assert np.allclose(total[k], v, rtol=1e-11, atol=1e-11), k
+        state = fit.advance(state, total)
+
+
+def test_blocks_are_bounded_by_rows(study, monkeypatch):
+    """Few subjects with many rows are several blocks too, and event times go with a set and not with its rows."""
+    _, by_subject, table, _ = study
+    one = collected(cox.cox_scan(by_subject, table, COVS))
+    calls, packed = [], []
+    whole, pack = arrays.across_blocks, arrays.packed_rows
+    monkeypatch.setattr(arrays, "BLOCK_ROWS", 170)
+    monkeypatch.setattr(arrays, "across_blocks", lambda *a: calls.append(1) or whole(*a))
+    monkeypatch.setattr(arrays, "packed_rows", lambda *a: packed.append(pack(*a)) or packed[-1])
+    several = collected(cox.cox_scan(by_subject, table, COVS))
+    assert calls and list(several.index) == list(one.index)
+    for c in SHOWN:
+        assert np.allclose(several[c].astype(float), one[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True), c
+    blocks = packed[0].collect()
+    assert sum(r.DATASET == "D0" for r in blocks) == 3 and all({g.OUTCOME for g in r.GRIDS} == {"P", "Q"} for r in blocks)
