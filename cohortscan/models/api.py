@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortscan.models.arrays import SubjectArrays
 from cohortscan.models.cox import cox_scan
 from cohortscan.models.linear import conditional_scan, linear_scan, plain_linear_scan
 from cohortscan.models.logistic import logistic_scan
@@ -16,7 +17,7 @@ TIME = "YEARfDIAG"
 
 
 def scan(
-    model: str, geno: DataFrame, rows: DataFrame, covariates: list[str], manifest: DataFrame | None = None,
+    model: str, geno: DataFrame | SubjectArrays, rows: DataFrame, covariates: list[str], manifest: DataFrame | None = None,
     form: str | None = None, scale: bool = True,
 ) -> DataFrame:
     """Scan every variant of ``geno`` for every (DATASET, OUTCOME) of ``rows``.
@@ -24,7 +25,8 @@ def scan(
     model: lgsbl, lnsgl, coxhm, lnmxi, lnmxs, lncns or slope.  ``form`` picks
     among the three lnmxs fits: ``interaction`` (random intercept, default),
     ``gee`` or ``random_slope``.  Principal components present in ``rows`` are
-    always added to the covariates.
+    always added to the covariates.  lgsbl, coxhm and ``random_slope`` also
+    take genotypes by subject.
     """
     extra = [c for c in PCS if c in rows.columns and c not in covariates]
     names = [*covariates, *extra]

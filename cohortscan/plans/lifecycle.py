@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscan.models.api import scan
+from cohortscan.models.arrays import SubjectArrays
 from cohortscan.operators import assoc as A
 from cohortscan.operators import ids as I
 from cohortscan.operators import manifest as M
@@ -54,23 +55,28 @@ def prepare_visits(
     return Prepared(baseline, longitudinal, B.attach_components(survival, components), manifest)
 
 
-def run_manifest(geno: DataFrame, prepared: Prepared, covariates: list[str]) -> DataFrame:
+def run_manifest(
+    geno: DataFrame, prepared: Prepared, covariates: list[str], arrays: SubjectArrays | None = None
+) -> DataFrame:
     """Every model of every manifest row over all variants, with a STATUS for each.
 
     Each model is one scan over all its (DATASET, OUTCOME) sets; covariates
     that the manifest does not list for a set are left out there, and
-    components in the tables always take part.
+    components in the tables always take part.  ``arrays`` are the same
+    genotypes by subject: with them the iterative models get phenotype rows
+    once for 64 variants, and not once for each window of a chromosome.
     """
     manifest = checkpointed(prepared.manifest)
     over_time = B.time_covariate(covariates)
     within = [c for c in over_time if c in TIME_VARYING]
     kind = F.col("KIND")
     single, visits = (prepared.longitudinal.where(kind == k).drop("KIND") for k in ("single", "longitudinal"))
+    fitted = geno if arrays is None else arrays
     runs = [
-        ("lgsbl", prepared.baseline, covariates), ("lnsgl", single, over_time), ("lnmxi", visits, over_time),
-        ("lnmxs", visits, over_time), ("lncns", visits, within), ("coxhm", prepared.survival, covariates),
+        ("lgsbl", fitted, prepared.baseline, covariates), ("lnsgl", geno, single, over_time), ("lnmxi", geno, visits, over_time),
+        ("lnmxs", geno, visits, over_time), ("lncns", geno, visits, within), ("coxhm", fitted, prepared.survival, covariates),
     ]
-    return reduce(DataFrame.unionByName, [scan(m, geno, rows, names, manifest) for m, rows, names in runs])
+    return reduce(DataFrame.unionByName, [scan(m, calls, rows, names, manifest) for m, calls, rows, names in runs])
 
 
 def combine_results(results: DataFrame, info: DataFrame | None = None) -> DataFrame:

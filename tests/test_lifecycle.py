@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortscan.models.api import scan
+from cohortscan.models.arrays import SubjectArrays
 from cohortscan.operators import pheno as B
 from cohortscan.plans import lifecycle, queries_scan
 from cohortscan.plans.views import Tables
@@ -57,3 +60,16 @@ def test_results_are_pooled_once(study):
     assert meta.repeated_inputs(combined).count() == 0
     graded = lifecycle.grade(combined, prepared.manifest)
     assert graded.count() > 0 and graded.where("TIER NOT BETWEEN 0 AND 5").count() == 0
+
+
+def test_arrays_by_subject_give_the_same_results(study):
+    """Iterative models on arrays of the same three variants; phenotype rows are sent once for all of them."""
+    geno, prepared, results = study
+    whole = Tables(geno.sparkSession, PATH).cohort_arrays()
+    arrays = SubjectArrays(whole.rows.withColumn("DOSAGES", F.slice("DOSAGES", 1, 3)), whole.variants.where("J < 3"))
+    got = lifecycle.run_manifest(geno, prepared, queries_scan.STUDY_COVARIATES, arrays)
+    key, shown = ["MODEL", "DATASET", "OUTCOME", "POS", "TERM"], ["BETA", "SE", "NEGLOG10P"]
+    a, b = (df.where("MODEL IN ('lgsbl', 'coxhm')").toPandas().set_index(key).sort_index() for df in (got, results))
+    assert len(a) and list(a.index) == list(b.index) and list(a.STATUS) == list(b.STATUS) and list(a.N_OBS) == list(b.N_OBS)
+    for c in shown:
+        assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True), c
